@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexarena.llm import neardup
-from lexarena.llm.common import table
+from lexarena.llm import bitpack, cascade, decontam, mixing, neardup
+from lexarena.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +20,69 @@ def query(fn):
     return fn
 
 
+def vocabulary_file(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's topic, tokens, raked cell weight, probability and whether it is sampled."""
+    out = mixing.mix_to_targets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
+ORACLES["op1_mixing_to_target_weights"] = mixing.oracle()
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of each document and whether the cascade keeps it."""
+    out = cascade.cascade(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op4_quality_rules"] = r"""
+    WITH w AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+      FROM documents),
+    grams AS (
+      SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+    named AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM grams),
+    dup AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM named),
+    covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM dup, range(3) t(j) WHERE n > 1 GROUP BY doc_id),
+    m AS (
+      SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+        length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims, len(regexp_extract_all(text, '\p{Lu}{2,}')) AS n_shouts
+      FROM w LEFT JOIN covered USING (doc_id)),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words
+        OR word_chars > 15 * n_words OR 100 * n_exclaims > 30 * n_words OR 100 * n_shouts > 30 * n_words) AS kept
+    FROM f"""
+
+
+@query
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in the packed files, read back from them."""
+    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    bitpack.encode_shards(table(spark, sf_dir, "documents"), path, vocabulary_file("byte_bpe_50k.json"), end_id=2)
+    return bitpack.read_documents(spark, path)
+
+
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept over 4-word shingles at a similarity of 0.8."""
