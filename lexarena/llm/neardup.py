@@ -7,9 +7,12 @@ fold into an odd sketch (Mitzenmacher, Pagh and Pham, 2014): a bitmap in which s
 flips one bit, so the population count of two sketches' XOR estimates their similarity. A pair in a
 band is verified on the full sets unless its estimate lies 6 standard deviations under the limit.
 
+A second odd sketch folds the whole set instead of samples. Its XOR never counts more ones than the sets
+differ in, and counts nearly all of them while they are few, so it tells 0.78 from 0.8.
+
 No bucket is enumerated: each member meets one random member (the hub) of each of its buckets. Only
-members that stay in different components then meet each other, in a join that checks sketches while
-it joins. Buckets that many copies share are one row per class, so groups of copies cost nothing.
+members that stay in different components then meet each other, in a join whose condition reads the
+whole-set sketches: it puts out little more than links. Copies are one row per class.
 """
 
 from __future__ import annotations
@@ -23,15 +26,24 @@ from lexarena.llm.common import chain, keep, mix, save, shingle_sets, text_slice
 from lexarena.llm.graph import components
 
 SKETCH_LONGS = 16
+WHOLE_LONGS = 32
+
+
+def odd(row: np.ndarray, value: np.ndarray, rows: int, longs: int) -> np.ndarray:
+    """Odd sketches of `rows` sets: each value of a row flips one of 64 * longs bits."""
+    bits = 64 * longs
+    flat = row * bits + (value % np.uint64(bits)).astype(np.int64)
+    parity = (np.bincount(flat, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(parity, axis=1).view(np.uint64)
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (128 bits that name the set), bands, sketch; one row per document."""
-    samples, bits = bands * rows, 64 * SKETCH_LONGS
+    """doc_id, n_shingles, s1, s2 (128 bits that name the set), bands, sketch, whole; one row per document."""
+    samples = bands * rows
     rng = np.random.default_rng(6)
     mul = rng.integers(0, 1 << 32, samples, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     add = rng.integers(0, 1 << 32, samples, dtype=np.uint64).astype(np.uint32)
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>, whole array<long>"
 
     def run(batches):
         for batch in batches:
@@ -42,6 +54,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 n, full = last - first, np.flatnonzero(size)
                 s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 keys, sketch = np.zeros((n, bands), np.uint64), np.zeros((n, SKETCH_LONGS), np.uint64)
+                whole = odd(np.repeat(np.arange(n), size), mix(h ^ np.uint64(0x2545F4914F6CDD1D)), n, WHOLE_LONGS)
                 if len(full):
                     at = bounds[:-1][full]
                     s1[full], s2[full] = np.add.reduceat(h, at), np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
@@ -52,14 +65,12 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     wide = least.astype(np.uint64)
                     for b in range(bands):
                         keys[full, b] = chain([np.full(len(full), b, np.uint64), *(wide[:, b * rows + r] for r in range(rows))])
-                    bit = mix(wide + (np.arange(samples, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
-                    flat = (np.arange(len(full), dtype=np.uint64)[:, None] * np.uint64(bits) + bit).ravel().astype(np.int64)
-                    odd = (np.bincount(flat, minlength=len(full) * bits) & 1).astype(np.uint8).reshape(len(full), bits)
-                    sketch[full] = np.packbits(odd, axis=1).view(np.uint64)
+                    drawn = mix(wide + (np.arange(samples, dtype=np.uint64) << np.uint64(32)))
+                    sketch[full] = odd(np.repeat(np.arange(len(full)), samples), drawn.ravel(), len(full), SKETCH_LONGS)
                 lists = lambda a, w: pa.ListArray.from_arrays(pa.array(np.arange(0, n * w + 1, w, dtype=np.int32)), pa.array(a.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(keys, bands), lists(sketch, SKETCH_LONGS)],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"],
+                    [ids.slice(first, n), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists(keys, bands), lists(sketch, SKETCH_LONGS), lists(whole, WHOLE_LONGS)],
+                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch", "whole"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -112,6 +123,20 @@ def _alike(samples: int, percent: int, x: str, y: str) -> str:
     return f"100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles) AND {ones} <= {most:.1f}"
 
 
+def _close(percent: int, x: str, y: str) -> str:
+    """SQL for: the whole-set sketches allow the similarity.
+
+    Linked sets of s hashes together differ in at most d = s (1 - t) / (1 + t) of them. The XOR's ones
+    are at most d, and in large sets, where flips meet, at most their mean m q plus 6 deviations.
+    """
+    m = 64 * WHOLE_LONGS
+    ones = " + ".join(f"bit_count({x}.whole[{i}] ^ {y}.whole[{i}])" for i in range(WHOLE_LONGS))
+    d = f"(({x}.n_shingles + {y}.n_shingles) * {100 - percent} / {100.0 + percent})"
+    q = f"((1 - exp(-2 * {d} / {m})) / 2)"
+    sizes = f"100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles)"
+    return f"{sizes} AND {ones} <= least({d} + 1e-6, {m} * {q} + 6 * sqrt({m} * {q} * (1 - {q})))"
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document; links join sets at percent similarity or more.
 
@@ -123,17 +148,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = save(signatures(docs, k, bands, rows), "signatures")
     some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", "sketch", "whole")))
     reps = save(reps, "classes")
     member = reps.select("rep", F.explode("bands").alias("key"))
     hubs = member.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("hub")).where("n > 1")
     shared = save(member.join(hubs, "key"), "buckets")
-    slim = reps.select("rep", "n_shingles", "sketch")
+    slim = reps.select("rep", "n_shingles", "sketch", "whole")
     met = shared.where("rep <> hub").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
-    alike = F.expr(_alike(bands * rows, percent, "x", "y"))
-    met = met.join(slim.select(F.col("rep").alias("u"), F.struct("n_shingles", "sketch").alias("x")), "u")
-    met = met.join(slim.select(F.col("rep").alias("v"), F.struct("n_shingles", "sketch").alias("y")), "v")
-    met = keep(met.where(alike).select("u", "v"))
+    alike, close = F.expr(_alike(bands * rows, percent, "x", "y")), F.expr(_close(percent, "x", "y"))
+    met = met.join(slim.select(F.col("rep").alias("u"), F.struct("n_shingles", "sketch", "whole").alias("x")), "u")
+    met = met.join(slim.select(F.col("rep").alias("v"), F.struct("n_shingles", "sketch", "whole").alias("y")), "v")
+    met = keep(met.where(alike & close).select("u", "v"))
     nodes = reps.join(shared.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "s1")
     sets = save(full_sets(docs.join(nodes, "doc_id"), k), "sets")
 
@@ -149,9 +174,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # buckets that still hold several components: their members meet across components
     rows_of = _labelled(shared.where("n > 2").select("key", F.col("rep").alias("node")), parts)
     mixed = rows_of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows_of = rows_of.join(mixed, "key").join(slim.withColumnRenamed("rep", "node"), "node")
-    side = lambda s: rows_of.select("key", F.struct("node", "component", "n_shingles", "sketch").alias(s))
-    rest = side("x").join(side("y"), "key").where(alike & F.expr("x.component < y.component"))
+    rows_of = rows_of.join(mixed, "key").join(slim.select(F.col("rep").alias("node"), "n_shingles", "whole"), "node")
+    side = lambda s: rows_of.select("key", F.struct("node", "component", "n_shingles", "whole").alias(s))
+    rest = side("x").join(side("y"), "key").where(F.expr("x.component < y.component") & close)
     rest = rest.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
     rest = keep(rest.join(met, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
