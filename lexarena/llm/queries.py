@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarena.llm import bitpack, cascade, decontam, mixing, neardup
+from lexarena.llm import bitpack, cascade, decontam, mixing, neardup, toxicity
 from lexarena.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept over 4-word shingles at a similarity of 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
