@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarena.llm import bitpack, cascade, decontam, mixing, neardup, toxicity
+from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, pii, revisit, rollup, toxicity
 from lexarena.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,92 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stupid-backoff score of every document, bigrams over the counts of all others."""
+    return lm.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_lm_scoring"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    t AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    g AS (SELECT r, doc_id, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w0 FROM t),
+    uni AS (SELECT w1, count(*) AS c FROM g GROUP BY w1), uni_d AS (SELECT r, w1, count(*) AS c FROM g GROUP BY r, w1),
+    bi AS (SELECT w0, w1, count(*) AS c FROM g WHERE i > 1 GROUP BY w0, w1), bi_d AS (SELECT r, w0, w1, count(*) AS c FROM g WHERE i > 1 GROUP BY r, w0, w1),
+    s AS (SELECT g.r, g.doc_id, g.i, u.c - ud.c AS c1, coalesce(v.c - vd.c, 0) AS c0, coalesce(b.c - bd.c, 0) AS c01,
+        (SELECT count(*) FROM g) - len(d.w) AS n
+      FROM g JOIN d ON d.r = g.r JOIN uni u ON u.w1 = g.w1 JOIN uni_d ud ON ud.r = g.r AND ud.w1 = g.w1
+      LEFT JOIN uni v ON v.w1 = g.w0 LEFT JOIN uni_d vd ON vd.r = g.r AND vd.w1 = g.w0
+      LEFT JOIN bi b ON b.w0 = g.w0 AND b.w1 = g.w1 LEFT JOIN bi_d bd ON bd.r = g.r AND bd.w0 = g.w0 AND bd.w1 = g.w1),
+    m AS (SELECT r, CAST(round_even(1000000 * CASE WHEN i = 1 THEN ln((c1 + 1) / (n + 1)) WHEN c01 > 0 AND c0 > 0 THEN ln(c01 / c0)
+        ELSE ln(0.4) + ln((c1 + 1) / (n + 1)) END, 0) AS BIGINT) AS micro FROM s)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(sum(micro), 0) AS BIGINT) AS score_micro
+    FROM d LEFT JOIN m ON m.r = d.r GROUP BY d.r, d.doc_id, len(w)"""
+
+
+@query
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of a crawl over pages, with the response it stands for and its merged headers."""
+    out = revisit.resolve(revisit.crawl_of(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform("headers", lambda e: F.concat(e["name"], F.lit("="), e["value"])), ";")
+    return out.select("record_id", "url", "response_id", "state", "digest", "length", headers.alias("headers"))
+
+
+ORACLES["op3_warc_revisits"] = r"""
+    WITH p AS (
+      SELECT page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS rest, md5(coalesce(html, '')) AS digest,
+        CAST(strlen(coalesce(html, '')) AS BIGINT) AS length, page_id * 60 AS ts FROM pages),
+    q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+        regexp_replace(regexp_extract(rest, '^[^/?]*(.*)$', 1), '([?&])(ref|utm_[a-z]*)=[^&]*', '\1', 'g') AS tail FROM p),
+    c AS (SELECT *, host || regexp_replace(regexp_replace(replace(regexp_replace(tail, '&+', '&', 'g'), '?&', '?'), '[?&]$', ''), '/$', '') AS url FROM q),
+    full_ AS (SELECT url, ts, page_id * 4 AS response_id, digest, length FROM c),
+    v AS (
+      SELECT page_id * 4 + 1 AS record_id, url, ts, ts - 86400 AS at, substr(digest, 1, 16) AS etag, 'W/' AS weak, 'max-age=1' AS age FROM c UNION ALL
+      SELECT page_id * 4 + 2, url, ts, ts + 604800, substr(digest, 1, 16), 'W/', 'max-age=60' FROM c UNION ALL
+      SELECT page_id * 4 + 3, url, ts, ts + 1209600, reverse(substr(digest, 1, 16)), '', 'max-age=90' FROM c),
+    last AS (SELECT v.record_id, max(struct_pack(ts := f.ts, id := f.response_id)) AS r FROM v JOIN full_ f ON f.url = v.url AND f.ts < v.at GROUP BY v.record_id),
+    j AS (SELECT v.*, f.response_id, f.digest, f.length, f.response_id IS NOT NULL AND substr(f.digest, 1, 16) = v.etag AS same
+      FROM v LEFT JOIN last USING (record_id) LEFT JOIN full_ f ON f.response_id = last.r.id)
+    SELECT record_id, url, response_id, CASE WHEN response_id IS NULL THEN 'no_response' WHEN same THEN 'resolved' ELSE 'mismatch' END AS state,
+      CASE WHEN same THEN digest END AS digest, CASE WHEN same THEN length END AS length,
+      CASE WHEN same THEN 'cache-control=' || age || ';content-length=' || length || ';content-type=text/html;date=' || ts || ';etag=' || weak || etag END AS headers
+    FROM j"""
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of each document, counted and hashed, and all spans."""
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query
+def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after five batches over documents, one of them applied twice.
+
+    Inserts of word counts, deletes of documents under 50 words, revisions of documents with tables to
+    counts without their bars, inserts of piece counts; then the deletes once more, which change nothing.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text").withColumn("n", cascade.n_words(F.col("text")))
+    held = rollup.TokenTotals(spark, f"{shared_dir(spark)}/token-totals-{uuid.uuid4().hex}")
+    change = lambda df, kind, tokenizer, n="n", old=None: df.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(kind).alias("change"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
+    deletes = change(docs.where("n < 50"), "delete", "words-1")
+    revised = docs.where("n >= 50 AND contains(text, ' | ')").withColumn("new", F.col("n") - cascade.n_chars_of(F.col("text"), "|"))
+    held.apply("insert-words", change(docs, "insert", "words-1"))
+    held.apply("delete-short", deletes)
+    held.apply("revise-tables", change(revised, "revise", "words-1", "new", "n"))
+    held.apply("insert-pieces", change(docs.withColumn("n", rollup.n_pieces(F.col("text"))), "insert", "pieces-2"))
+    held.apply("delete-short", deletes)
+    return held.totals()
+
+
+ORACLES["op10_token_rollups"] = r"""
+    WITH d AS (
+      SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+        len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{Nd}+|[^\p{L}\p{Nd}\x20\x09-\x0D]')) AS pieces FROM documents),
+    t AS (
+      SELECT source, lang, 'words-1' AS tokenizer, 1 AS docs, CASE WHEN contains(text, ' | ') THEN n - length(regexp_replace(text, '[^|]', '', 'g')) ELSE n END AS tokens
+      FROM d WHERE n >= 50 UNION ALL SELECT source, lang, 'pieces-2', 1, pieces FROM d)
+    SELECT source, lang, tokenizer, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL"""
