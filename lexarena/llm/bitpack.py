@@ -10,9 +10,9 @@ writer's commit protocol holds in every store and a lost executor leaves no half
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,16 +92,16 @@ class Shard:
 # Fixed: the byte-level alphabet. Printable bytes stand for themselves, the others take the code points from 256 on, in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
-_UNSAFE = re.compile(r"\s \s")
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """The tokenizers library behind a cache of space-separated pieces.
 
-    The byte-level pattern never lets a token reach over a single space into what precedes it, so a
-    text may be cut before each space that follows a non-space or precedes one, and a piece's ids
-    don't depend on its neighbours. Texts with other runs of white space are encoded whole.
+    The byte-level pattern never lets a token reach over a single space into what precedes it, and a
+    single line end between two words is a token. So where only single spaces and line ends separate
+    words, a text may be cut before each space and around each line end, and a piece's ids don't depend
+    on its neighbours. Texts with any other white space are encoded whole.
     """
 
     CACHE = 1_000_000
@@ -119,56 +119,71 @@ class Encoder:
         self.lengths, self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _add(self, piece: str, ids: list[int] | np.ndarray) -> None:
-        k = len(self.index)
-        if k == len(self.lengths):
-            self.lengths, self.starts = (np.concatenate((a, np.zeros(k, np.int64))) for a in (self.lengths, self.starts))
+    def _add(self, found: dict[str, list[int]]) -> None:
+        """Append pieces and their ids to the cache."""
+        k, size = len(self.index), list(map(len, found.values()))
+        ids = np.fromiter(chain.from_iterable(found.values()), np.uint32, sum(size))
+        while k + len(size) > len(self.lengths):
+            self.lengths, self.starts = (np.concatenate((a, np.zeros(len(a), np.int64))) for a in (self.lengths, self.starts))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
-        self.lengths[k], self.starts[k] = len(ids), self.used
+        self.lengths[k : k + len(size)] = size
+        self.starts[k : k + len(size)] = self.used + np.cumsum(size) - size
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.index[piece] = k
+        self.index.update(zip(found, range(k, k + len(size)), strict=True))
 
-    def _ids(self, piece: str) -> np.ndarray:
+    def _ids(self, piece: str, found: dict[str, list[int]]) -> list[int]:
+        if piece in found:
+            return found[piece]
         k = self.index[piece]
-        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Letters after at most one space are one word to the pattern, so they go to the model itself; stops after them are a word of their own."""
-        rest, tailed = [], []
+        rest, tailed, found = set(), [], {}
+        tokenize, index = self.model.tokenize, self.index
         for piece in pieces:
             core = piece.rstrip(".,")
             if not core[core[:1] == " " :].isalpha():
-                rest.append(piece)
+                rest.add(piece)
                 continue
-            if core not in self.index:
-                self._add(core, [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(_BYTE_CHARS))])
+            if core not in index and core not in found:
+                found[core] = [t.id for t in tokenize(core.encode().decode("latin-1").translate(_BYTE_CHARS))]
             if core != piece:
-                tailed.append((piece, core, piece[len(core) :]))
-        rest += {tail for _, _, tail in tailed} - self.index.keys() - set(rest)
-        for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self._add(piece, e.ids)
+                tail = piece[len(core) :]
+                tailed.append((piece, core, tail))
+                if tail not in index:
+                    rest.add(tail)
+        whole = [p for p in rest if p not in index]
+        for piece, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            found[piece] = e.ids
         for piece, core, tail in tailed:
-            self._add(piece, np.concatenate((self._ids(core), self._ids(tail))))
+            found[piece] = self._ids(core, found) + self._ids(tail, found)
+        self._add(found)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.index) > self.CACHE:
             self.clear()
-        out: list[np.ndarray] = []
+        cut: list[list[str] | None] = []
+        missing: set[str] = set()
         for text in texts:
-            pieces = text.split(" ")
-            if len(pieces) < 2 or "" in pieces or _UNSAFE.search(text):
+            words, cuts = text.split(), text.count(" ") + text.count("\n")
+            if len(words) != cuts + 1 or sum(map(len, words)) + cuts != len(text) or "\0" in text:
+                cut.append(None)
+                continue
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            cut.append(pieces)
+            missing.update(set(pieces).difference(self.index))
+        if missing:
+            self._learn(missing)
+        out: list[np.ndarray] = []
+        for text, pieces in zip(texts, cut, strict=True):
+            if pieces is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            index = self.index
-            pieces[1:] = [" " + p for p in pieces[1:]]
-            at = list(map(index.get, pieces))
-            if None in at:
-                self._learn(list(dict.fromkeys(p for p, k in zip(pieces, at, strict=True) if k is None)))
-                at = list(map(index.__getitem__, pieces))
-            k = np.array(at)
+            k = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
             n = self.lengths[k]
             ends = np.cumsum(n)
             out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.starts[k] - (ends - n), n)])
