@@ -1,39 +1,8 @@
-"""Registered queries (name -> callable) and their oracle SQL."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexarena.plans import domain, relational  # noqa: F401 - they register their queries
+from lexarena.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lexarena.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: file a query under its name, with its oracle SQL if it has one."""
-
-    def put(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return put
-
-
-@register(
-    "ranking_topk",
-    """SELECT c_custkey AS advogado_id, c_acctbal AS mu, CAST(c_nationkey AS DOUBLE) AS sigma,
-              c_acctbal - 3 * c_nationkey AS conservative_skill
-       FROM customer ORDER BY conservative_skill DESC, advogado_id LIMIT 20""",
-)
-def ranking_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratings = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("advogado_id"), F.col("c_acctbal").alias("mu"), F.col("c_nationkey").cast("double").alias("sigma")
-    )
-    skill = ratings.withColumn("conservative_skill", F.col("mu") - 3 * F.col("sigma"))
-    return skill.orderBy(F.desc_nulls_last("conservative_skill"), "advogado_id").limit(20)
+__all__ = ["ORACLES", "QUERIES"]
