@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarena.llm.common import keep
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """The edges with each partition's own components as stars around their smallest nodes; nothing moves."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(p, p)
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        stars = [(x, root(x)) for x in list(parent)]
+        stars = [(x, r) for x, r in stars if x != r]
+        for i in range(0, len(stars), 10_000):
+            u, v = zip(*stars[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star step then one small-star step over edges (u, v) with u > v."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.where("u > v").distinct()
+    large = both.join(least, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -25,13 +50,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is a checkpointed table, so a lost executor costs one step. The loop ends once a step
     changes nothing: every node then points at the smallest node of its component.
     """
-    edges = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = keep(_contract(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     seen = None
     while True:
-        print_of = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if print_of == seen:
-            break
-        seen = print_of
         edges = keep(_star(edges))
+        found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if found == seen:
+            break
+        seen = found
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))

@@ -10,9 +10,10 @@ band is verified on the full sets unless its estimate lies 6 standard deviations
 A second odd sketch folds the whole set instead of samples. Its XOR never counts more ones than the sets
 differ in, and counts nearly all of them while they are few, so it tells 0.78 from 0.8.
 
-No bucket is enumerated: each member meets one random member (the hub) of each of its buckets. Only
-members that stay in different components then meet each other, in a join whose condition reads the
-whole-set sketches: it puts out little more than links. Copies are one row per class.
+No bucket is enumerated: each member meets one random member (the hub) of each of its buckets and tries
+three of those that pass. Only members that stay in different components then meet each other, in a join
+whose condition reads the whole-set sketches: it puts out little more than links. Copies are one row per
+class.
 """
 
 from __future__ import annotations
@@ -150,37 +151,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", "sketch", "whole")))
     reps = save(reps, "classes")
-    member = reps.select("rep", F.explode("bands").alias("key"))
+    member = reps.select("rep", "s1", F.explode("bands").alias("key"))
     hubs = member.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("hub")).where("n > 1")
-    shared = save(member.join(hubs, "key"), "buckets")
+    shared = save(member.join(hubs.select("key", "hub"), "key"), "buckets")
     slim = reps.select("rep", "n_shingles", "sketch", "whole")
     met = shared.where("rep <> hub").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
     alike, close = F.expr(_alike(bands * rows, percent, "x", "y")), F.expr(_close(percent, "x", "y"))
     met = met.join(slim.select(F.col("rep").alias("u"), F.struct("n_shingles", "sketch", "whole").alias("x")), "u")
     met = met.join(slim.select(F.col("rep").alias("v"), F.struct("n_shingles", "sketch", "whole").alias("y")), "v")
-    met = keep(met.where(alike & close).select("u", "v"))
-    nodes = reps.join(shared.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "s1")
+    nodes = shared.select(F.col("rep").alias("doc_id"), "s1").distinct()
     sets = save(full_sets(docs.join(nodes, "doc_id"), k), "sets")
 
-    # each class first tries one partner; the pairs that this leaves between components follow
-    tried = met.groupBy("u").agg(F.min("v").alias("v"))
+    # each class first tries up to three of the hubs it met: the least, the greatest and a random one
+    some_of = F.array_distinct(F.array(F.min("v"), F.max("v"), F.max(F.struct(F.xxhash64("u", "v"), "v"))["v"]))
+    tried = keep(met.where(alike & close).groupBy("u").agg(some_of.alias("v")).select("u", F.explode("v").alias("v")))
     links = keep(_confirmed(tried, sets, percent))
-    parts = components(links)
-    later = met.join(tried, ["u", "v"], "left_anti")
-    later = _across(later, parts)
-    links = keep(links.unionAll(_confirmed(later, sets, percent)))
-    parts = components(links)
-
-    # buckets that still hold several components: their members meet across components
-    rows_of = _labelled(shared.where("n > 2").select("key", F.col("rep").alias("node")), parts)
+    parts = keep(components(links))
+
+    # then members of one bucket meet across components
+    rows_of = _labelled(shared.select("key", F.col("rep").alias("node")), parts)
     mixed = rows_of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     rows_of = rows_of.join(mixed, "key").join(slim.select(F.col("rep").alias("node"), "n_shingles", "whole"), "node")
     side = lambda s: rows_of.select("key", F.struct("node", "component", "n_shingles", "whole").alias(s))
     rest = side("x").join(side("y"), "key").where(F.expr("x.component < y.component") & close)
     rest = rest.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
-    rest = keep(rest.join(met, ["u", "v"], "left_anti"))
+    rest = keep(rest.join(tried, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
-        parts = components(keep(links.unionAll(_confirmed(rest, sets, percent))))
+        parts = components(links.unionAll(_confirmed(rest, sets, percent)))
 
     class_of = _labelled(reps.select("s1", "s2", "n_shingles", F.col("rep").alias("node")), parts).withColumnRenamed("component", "component_id")
     # a doc_id with several rows joins the classes of all its rows
@@ -197,14 +194,6 @@ def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    for end in ("u", "v"):
-        side = parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-        pairs = pairs.join(side, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
-    return pairs.where("c_u <> c_v").select("u", "v")
-
-
 def _with_repeats(some: DataFrame, class_of: DataFrame, twice: DataFrame) -> DataFrame:
     """Join the components that rows of one repeated doc_id fall into."""
     named = some.join(twice, "doc_id", "left_semi").join(class_of, ["s1", "s2", "n_shingles"])
