@@ -37,13 +37,13 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_envelopes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(extraction envelopes, files that aren't JSON) of a folder; one bad file doesn't stop the others."""
-    fields = schemas.ENVELOPE.simpleString().removeprefix("struct<").removesuffix(">").replace("decisions:array<variant>", "decisions:string")
-    rows = spark.read.schema(fields.replace(":", " ") + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
-    rows = rows.withColumn("path", F.col("_metadata.file_path"))
-    items = F.try_variant_get(F.try_parse_json("decisions"), "$", "array<variant>")
-    good = rows.where("_corrupt_record IS NULL").withColumn("decisions", F.coalesce(items, F.array().cast("array<variant>"))).drop("_corrupt_record")
-    return good.withColumn("file_name_source", F.coalesce("file_name_source", F.element_at(F.split("path", "/"), -1))), rows.where("_corrupt_record IS NOT NULL").select("path")
+    """(extraction envelopes, files that aren't JSON objects) of a folder; one bad file doesn't stop the others."""
+    files = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    fields = [get(n, k).alias(n) for n, k in (f.split(" ") for f in schemas.ENVELOPE.split(", ")) if n not in ("decisions", "file_name_source")]
+    name = F.coalesce(get("file_name_source", "string"), F.element_at(F.split("path", "/"), -1)).alias("file_name_source")
+    decisions = F.coalesce(get("decisions", "array<variant>"), F.array().cast("array<variant>")).alias("decisions")
+    return files.where("v IS NOT NULL").select("path", name, *fields, decisions), files.where("v IS NULL").select("path")
 
 
 def read_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
