@@ -18,7 +18,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and v != v):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
