@@ -12,8 +12,8 @@ differ in, and counts nearly all of them while they are few, so it tells 0.78 fr
 
 No bucket is enumerated: each member meets one random member (the hub) of each of its buckets and tries
 three of those that pass. Only members that stay in different components then meet each other, in a join
-whose condition reads the whole-set sketches: it puts out little more than links. Copies are one row per
-class.
+whose condition reads the whole-set sketches and the first bucket that the two share: it puts out little
+more than links, each once. Copies are one row per class.
 """
 
 from __future__ import annotations
@@ -171,9 +171,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # then members of one bucket meet across components
     rows_of = _labelled(shared.select("key", F.col("rep").alias("node")), parts)
     mixed = rows_of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows_of = rows_of.join(mixed, "key").join(slim.select(F.col("rep").alias("node"), "n_shingles", "whole"), "node")
-    side = lambda s: rows_of.select("key", F.struct("node", "component", "n_shingles", "whole").alias(s))
-    rest = side("x").join(side("y"), "key").where(F.expr("x.component < y.component") & close)
+    rows_of = rows_of.join(mixed, "key").join(reps.select(F.col("rep").alias("node"), "n_shingles", "whole", "bands"), "node")
+    side = lambda s: rows_of.select("key", F.struct("node", "component", "n_shingles", "whole", "bands").alias(s))
+    first = F.expr("array_intersect(x.bands, y.bands)[0] = key")  # a pair meets once, in the first bucket that it shares
+    rest = side("x").join(side("y"), "key").where(F.expr("x.component < y.component") & close & first)
     rest = rest.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
     rest = keep(rest.join(tried, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
