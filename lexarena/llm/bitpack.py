@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +90,6 @@ class Shard:
         return self.tokens(int(self.bounds[i]), int(self.bounds[i + 1]))
 
 
-# Fixed: the byte-level alphabet. Printable bytes stand for themselves, the others take the code points from 256 on, in order.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -101,7 +99,8 @@ class Encoder:
     The byte-level pattern never lets a token reach over a single space into what precedes it, and a
     single line end between two words is a token. So where only single spaces and line ends separate
     words, a text may be cut before each space and around each line end, and a piece's ids don't depend
-    on its neighbours. Texts with any other white space are encoded whole.
+    on its neighbours. Pieces that are new are encoded together, one to a line. Texts with any other
+    white space are encoded whole.
     """
 
     CACHE = 1_000_000
@@ -111,79 +110,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.line_end = self._plain("\n")
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = defaultdict(count().__next__)  # a new piece gets the next number
         self.lengths, self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _add(self, found: dict[str, list[int]]) -> None:
-        """Append pieces and their ids to the cache."""
-        k, size = len(self.index), list(map(len, found.values()))
-        ids = np.fromiter(chain.from_iterable(found.values()), np.uint32, sum(size))
-        while k + len(size) > len(self.lengths):
+        self.known = self.used = 0
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self) -> None:
+        """Encode the pieces that the index has numbered since the last call."""
+        k, end = self.known, len(self.index)
+        pieces = list(islice(reversed(self.index), end - k))[::-1]
+        ids = self._plain("\n".join(pieces))
+        breaks = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
+        if "\n" in pieces or len(breaks) != len(pieces):  # the line end itself, or a token that takes it in
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            size, ids = np.array([len(f) for f in found]), np.array(list(chain.from_iterable(found)), np.uint32)
+        else:
+            size = np.diff(breaks, prepend=-1) - 1
+            ids = np.delete(ids, breaks[:-1])
+        while end > len(self.lengths):
             self.lengths, self.starts = (np.concatenate((a, np.zeros(len(a), np.int64))) for a in (self.lengths, self.starts))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
-        self.lengths[k : k + len(size)] = size
-        self.starts[k : k + len(size)] = self.used + np.cumsum(size) - size
+        self.lengths[k:end] = size
+        self.starts[k:end] = self.used + np.cumsum(size) - size
         self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.index.update(zip(found, range(k, k + len(size)), strict=True))
-
-    def _ids(self, piece: str, found: dict[str, list[int]]) -> list[int]:
-        if piece in found:
-            return found[piece]
-        k = self.index[piece]
-        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Letters after at most one space are one word to the pattern, so they go to the model itself; stops after them are a word of their own."""
-        rest, tailed, found = set(), [], {}
-        tokenize, index = self.model.tokenize, self.index
-        for piece in pieces:
-            core = piece.rstrip(".,")
-            if not core[core[:1] == " " :].isalpha():
-                rest.add(piece)
-                continue
-            if core not in index and core not in found:
-                found[core] = [t.id for t in tokenize(core.encode().decode("latin-1").translate(_BYTE_CHARS))]
-            if core != piece:
-                tail = piece[len(core) :]
-                tailed.append((piece, core, tail))
-                if tail not in index:
-                    rest.add(tail)
-        whole = [p for p in rest if p not in index]
-        for piece, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            found[piece] = e.ids
-        for piece, core, tail in tailed:
-            found[piece] = self._ids(core, found) + self._ids(tail, found)
-        self._add(found)
+        self.known, self.used = end, self.used + len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.index) > self.CACHE:
+        if self.known > self.CACHE:
             self.clear()
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
+        cut: list[np.ndarray | None] = []
         for text in texts:
             words, cuts = text.split(), text.count(" ") + text.count("\n")
-            if len(words) != cuts + 1 or sum(map(len, words)) + cuts != len(text) or "\0" in text:
+            if len(words) != cuts + 1 or sum(map(len, words)) + cuts != len(text) or "\0" in text or len(self.line_end) != 1:
                 cut.append(None)
                 continue
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            cut.append(pieces)
-            missing.update(set(pieces).difference(self.index))
-        if missing:
-            self._learn(missing)
+            cut.append(np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces)))
+        if len(self.index) > self.known:
+            self._learn()
         out: list[np.ndarray] = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        for text, k in zip(texts, cut, strict=True):
+            if k is None:
+                out.append(self._plain(text))
                 continue
-            k = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
             n = self.lengths[k]
             ends = np.cumsum(n)
             out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.starts[k] - (ends - n), n)])
