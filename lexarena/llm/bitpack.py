@@ -13,7 +13,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +117,10 @@ class Encoder:
         self.index: dict[str, int] = defaultdict(count().__next__)  # a new piece gets the next number
         self.lengths, self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.known = self.used = 0
+        self.alone = np.ones(1 << 16, bool)  # may be cut off from what stands around it
+        self.index["\n"]
+        self._add(["\n"], np.array([len(self.line_end)]), self.line_end)
+        self.alone[self.index["\n"]] = len(self.line_end) == 1
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -125,16 +129,26 @@ class Encoder:
         """Encode the pieces that the index has numbered since the last call."""
         k, end = self.known, len(self.index)
         pieces = list(islice(reversed(self.index), end - k))[::-1]
-        ids = self._plain("\n".join(pieces))
+        alone = np.fromiter((len(w := p.split()) == 1 and len(w[0]) == len(p) - (p[:1] == " ") for p in pieces), bool, end - k)
+        whole = list(compress(pieces, alone))
+        ids = self._plain("\n".join(whole))
         breaks = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
-        if "\n" in pieces or len(breaks) != len(pieces):  # the line end itself, or a token that takes it in
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            size, ids = np.array([len(f) for f in found]), np.array(list(chain.from_iterable(found)), np.uint32)
+        if len(breaks) != len(whole):  # a token that takes the line end in
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+            size, ids = np.array([len(f) for f in found], np.int64), np.array(list(chain.from_iterable(found)), np.uint32)
         else:
             size = np.diff(breaks, prepend=-1) - 1
             ids = np.delete(ids, breaks[:-1])
+        every = np.zeros(end - k, np.int64)
+        every[alone] = size
+        self._add(pieces, every, ids)
+        self.alone[k:end] = alone
+
+    def _add(self, pieces: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        """Store the ids of the next pieces."""
+        k, end = self.known, self.known + len(pieces)
         while end > len(self.lengths):
-            self.lengths, self.starts = (np.concatenate((a, np.zeros(len(a), np.int64))) for a in (self.lengths, self.starts))
+            self.lengths, self.starts, self.alone = (np.concatenate((a, np.zeros(len(a), a.dtype))) for a in (self.lengths, self.starts, self.alone))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
         self.lengths[k:end] = size
@@ -148,8 +162,7 @@ class Encoder:
             self.clear()
         cut: list[np.ndarray | None] = []
         for text in texts:
-            words, cuts = text.split(), text.count(" ") + text.count("\n")
-            if len(words) != cuts + 1 or sum(map(len, words)) + cuts != len(text) or "\0" in text or len(self.line_end) != 1:
+            if "\0" in text:
                 cut.append(None)
                 continue
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -158,7 +171,7 @@ class Encoder:
             self._learn()
         out: list[np.ndarray] = []
         for text, k in zip(texts, cut, strict=True):
-            if k is None:
+            if k is None or not self.alone[k].all():
                 out.append(self._plain(text))
                 continue
             n = self.lengths[k]
