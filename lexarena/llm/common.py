@@ -71,8 +71,8 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, offsets) of runs of rows with about limit bytes; a null text is empty, a text stays whole."""
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, offsets) of runs of at most `rows` rows with about limit bytes; a null text is empty, a text stays whole."""
     column = column.fill_null("").cast(pa.large_string())
     if not len(column):
         return
@@ -81,7 +81,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
+        last = min(first + rows, max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1))
         yield first, last, raw[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
         first = last
 

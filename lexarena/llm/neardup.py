@@ -28,6 +28,7 @@ from lexarena.llm.graph import components
 
 SKETCH_LONGS = 16
 WHOLE_LONGS = 32
+SLICE_ROWS = 1 << 10  # texts sketched at once: counting their bits takes 16 KB a text
 
 
 def odd(row: np.ndarray, value: np.ndarray, rows: int, longs: int) -> np.ndarray:
@@ -49,7 +50,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for first, last, raw, offs in text_slices(batch.column(1)):
+            for first, last, raw, offs in text_slices(batch.column(1), rows=SLICE_ROWS):
                 h, bounds = shingle_sets(raw, offs, k)
                 size = np.diff(bounds)
                 n, full = last - first, np.flatnonzero(size)
