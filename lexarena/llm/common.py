@@ -37,6 +37,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now: it acts on the driver's garbage collections."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Checkpoint a small table; Spark's cleaner removes its files once nothing refers to them."""
     shared_dir(df.sparkSession)

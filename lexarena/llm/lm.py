@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarena.llm.common import chain, mix, save, text_slices, word_hashes
+from lexarena.llm.common import chain, mix, release, save, text_slices, word_hashes
 
 ORDER = 2
 BACKOFF = 0.4
@@ -124,4 +124,5 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     asked = rows.groupBy("batch").applyInPandas(ask, "part long, batch long, words long, keys binary, counts binary")
     answers = asked.groupBy("part").applyInPandas(answer, "batch long, part long, words long, wide int, totals binary")
     answers = save(answers, "ngram-totals")
+    release(docs.sparkSession)  # the texts and requests that the first job shuffled
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, n_words long, score_micro long")
