@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,6 +40,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs now: it acts on the driver's garbage collections."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

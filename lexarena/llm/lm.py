@@ -122,7 +122,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         return pd.DataFrame({"doc_id": ids, "n_words": n, "score_micro": run[ends] - run[ends - n]})
 
     asked = rows.groupBy("batch").applyInPandas(ask, "part long, batch long, words long, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInPandas(answer, "batch long, part long, words long, wide int, totals binary")
-    answers = save(answers, "ngram-totals")
+    answers = save(asked.groupBy("part").applyInPandas(answer, "batch long, part long, words long, wide int, totals binary"), "ngram-totals")
+    del asked
     release(docs.sparkSession)  # the texts and requests that the first job shuffled
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, n_words long, score_micro long")
