@@ -86,6 +86,7 @@ def probabilities(cells: DataFrame, budget: float) -> DataFrame:
 
     Cells in descending weight / mass saturate first: with the first k at 1, the scale is what the
     budget leaves over the weight that is left, and k is the least that keeps the next one under 1.
+    From that k on the scales only fall, so its scale is the largest of those that fit.
     """
     ratio = cells.where("mass > 0").withColumn("ratio", F.col("weight") / F.col("mass"))
     order = Window.orderBy(F.desc("ratio"), *DIMS)
@@ -93,7 +94,7 @@ def probabilities(cells: DataFrame, budget: float) -> DataFrame:
     rest = order.rowsBetween(0, Window.unboundedFollowing)
     scale = (F.lit(float(budget)) - F.coalesce(F.sum("mass").over(ahead), F.lit(0))) / F.sum("weight").over(rest)
     fits = ratio.where("ratio > 0").withColumn("scale", scale).where("scale * ratio <= 1 AND scale >= 0")
-    best = fits.agg(F.min("scale").alias("scale"))
+    best = fits.agg(F.max("scale").alias("scale"))
     both = ratio.crossJoin(F.broadcast(best))  # one row
     p = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.coalesce("scale", F.lit(float("inf"))) * F.col("ratio"))).otherwise(0.0)
     return both.select(*DIMS, "mass", "weight", p.alias("probability"))

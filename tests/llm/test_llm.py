@@ -50,6 +50,29 @@ def test_mixing_meets_targets_and_both_rakings_agree(spark):
     assert sum(r.mass * r.probability for r in p) == pytest.approx(2000.0) and all(0 <= r.probability <= 1 for r in p)
 
 
+def test_mixing_meets_the_budget_with_cells_at_one(spark):
+    frame = lambda cells: spark.createDataFrame([("s", "l", str(i), m, float(w)) for i, (m, w) in enumerate(cells)], "source string, lang string, topic string, mass long, weight double")
+    for cells, share, full in (([(100, 0.5), (100, 0.5)], 0.5, 0), ([(10, 0.4), (90, 0.3), (900, 0.3)], 0.5, 2), ([(10, 0.5), (1000, 0.5)], 0.5, 1), ([(7, 0.5), (9, 0.5)], 1.0, 2)):
+        budget = share * sum(m for m, _ in cells)
+        out = mixing.probabilities(frame(cells), budget).collect()
+        low, high = 0.0, 1e9  # the budget condition alone, by bisection
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(m, mid * w) for m, w in cells) < budget else (low, mid)
+        assert [r.probability for r in sorted(out, key=lambda r: r.topic)] == pytest.approx([min(1, high * w / m) for m, w in cells])
+        assert sum(r.probability > 1 - 1e-9 for r in out) == full and sum(r.mass * r.probability for r in out) == pytest.approx(budget)
+
+
+def test_mixing_queries_expect_half_the_tokens(spark):
+    import corpus_pipeline
+
+    out = QUERIES["op1_mixing_to_target_weights"](spark, DATA).toPandas()
+    assert (out.probability * out.n_tokens).sum() == pytest.approx(out.n_tokens.sum() / 2, rel=1e-4)
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    n = lambda df: df.agg(F.sum(cascade.n_words(F.col("text")))).first()[0]
+    assert n(corpus_pipeline.mix(spark, given, DATA)) == pytest.approx(n(given) / 2, rel=0.25)
+
+
 def test_mixing_odd_cases(spark):
     out = {(r.doc_id, r.n_tokens): r for r in mixing.mix_to_targets(docs(spark, ODD)).collect()}
     assert not out[1, 0].sampled and out[2, 0].probability == 0 and len(out) == 9
