@@ -9,26 +9,25 @@ these into a score, and the same texts choose the discount: a large one leaves e
 has shown a few times only to the shared counts.
 
 The models are fitted on a bounded sample of labelled texts (TRAIN_DOCS of each class at most, by hash
-of doc_id, MAX_BIGRAMS bigrams at most), so what is broadcast is bounded: about 12 bytes a bigram and
-16 a word. Scoring reads whole texts.
+of doc_id) with all their bigrams. What is broadcast grows with the bigrams of that sample, not with
+the table: about 12 bytes a bigram and 16 a word, one discount at a time. Scoring reads whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarena.llm.common import chain, text_slices, word_hashes
+from lexarena.llm.common import chain, save, text_slices, word_hashes
 from lexarena.llm.decontam import _ALNUM
 
 TRAIN_DOCS = 8_000
-MAX_BIGRAMS = 1_000_000
 WINDOWS = (1, 4, 16, 64)
 DISCOUNTS = (0.75, 1.5, 3.0, 6.0, 12.0)
 FIT_SHARE = 4  # one labelled text in this many fits the curve, the others the counts
+CHUNK = 1 << 20  # bigrams that the driver's arithmetic takes at once
 
 
 def _clean(raw: np.ndarray) -> np.ndarray:
@@ -53,7 +52,7 @@ def _ngrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """(bigram, before, word, ordinary, toxic) summed over texts (text, toxic)."""
+    """(before, word, ordinary, toxic) of every bigram, summed over texts (text, toxic)."""
 
     def run(batches):
         for batch in batches:
@@ -66,25 +65,51 @@ def _counts(texts: DataFrame) -> DataFrame:
                 _, at, back = np.unique(both, return_index=True, return_inverse=True)
                 n1 = np.bincount(back, weights=toxic, minlength=len(at)).astype(np.int64)
                 n0 = np.bincount(back, weights=~toxic, minlength=len(at)).astype(np.int64)
-                cells = [both[at].view(np.int64), before[at].view(np.int64), word[at].view(np.int64), n0, n1]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["bigram", "before", "word", "ordinary", "toxic"])
+                cells = [before[at].view(np.int64), word[at].view(np.int64), n0, n1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["before", "word", "ordinary", "toxic"])
 
-    rows = texts.select("text", "toxic").mapInArrow(run, "bigram long, before long, word long, ordinary long, toxic long")
-    return rows.groupBy("bigram", "before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    rows = texts.select("text", "toxic").mapInArrow(run, "before long, word long, ordinary long, toxic long")
+    return rows.groupBy("before", "word").agg(F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic"))
+
+
+def _fetched(counts: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of counts; the Arrow table itself is freed."""
+    t = counts.toArrow()
+    return [t.column(c).to_numpy() for c in t.column_names]
+
+
+def _chunks(n: int) -> list[slice]:
+    return [slice(i, i + CHUNK) for i in range(0, n, CHUNK)]
 
 
 class Index:
     """The counted bigrams in order of their hashes, and their words; the models of all discounts share it."""
 
-    def __init__(self, t: pa.Table):
-        column = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        key = column("bigram").view(np.uint64)
+    def __init__(self, counts: DataFrame):
+        before, word, *n = _fetched(counts)
+        before, word = before.view(np.uint64), word.view(np.uint64)
+        key = np.empty(len(word), np.uint64)
+        for s in _chunks(len(word)):
+            key[s] = chain([before[s], word[s]])
         order = np.argsort(key)
         self.bigrams = key[order]
-        both = np.concatenate((column("word")[order], column("before")[order])).view(np.uint64)
-        self.words, at = np.unique(both, return_inverse=True)
-        self.word, self.before = at[: len(order)].astype(np.int32), at[len(order) :].astype(np.int32)
-        self.counts = {c: column(name)[order].astype(np.float64) for c, name in enumerate(("ordinary", "toxic"))}
+        del key
+        self.words = np.union1d(np.unique(word), np.unique(before))
+        self.word, self.before = self._places(word[order]), self._places(before[order])
+        self.counts = {c: n[c][order] for c in (0, 1)}
+
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        out = np.empty(len(words), np.int32)
+        for s in _chunks(len(words)):
+            out[s] = np.searchsorted(self.words, words[s])
+        return out
+
+    def total(self, at: np.ndarray, weights) -> np.ndarray:
+        """Sums by word of weights(slice) over the bigrams' words or words before."""
+        out = np.zeros(len(self.words))
+        for s in _chunks(len(at)):
+            out += np.bincount(at[s], weights=weights(s), minlength=len(out))
+        return out
 
 
 class Model:
@@ -92,23 +117,24 @@ class Model:
 
     def __init__(self, index: Index, d: float):
         words, w, v, n = index.words, index.word, index.before, index.counts
-        pooled = np.bincount(w, minlength=len(words)) + 1.0  # distinct contexts in either class, one more for the unseen
+        pooled = index.total(w, lambda s: None) + 1.0  # distinct contexts in either class, one more for the unseen
         shared = pooled / (pooled.sum() + len(words))
         rest = 1.0 / (pooled.sum() + len(words))
-        lower, back, unseen, ratio = {}, {}, {}, {}
+        lower, back, unseen, total = {}, {}, {}, {}
         for c in (0, 1):
-            here = n[c] > 0
-            kinds = np.bincount(w[here], minlength=len(words)).astype(float)
-            all_kinds = max(here.sum(), 1)
+            kinds = index.total(w, lambda s: n[c][s] > 0)
+            all_kinds = max(kinds.sum(), 1)
             gap = np.minimum(kinds, d).sum() / all_kinds
             lower[c] = np.maximum(kinds - d, 0) / all_kinds + gap * shared
             unseen[c] = gap * rest
-            total = np.bincount(v, weights=n[c], minlength=len(words))
-            freed = np.bincount(v, weights=np.minimum(n[c], d), minlength=len(words))
-            back[c] = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-            ratio[c] = np.maximum(n[c] - d, 0) / np.maximum(total[v], 1) + back[c][v] * lower[c][w]
+            total[c] = index.total(v, lambda s: n[c][s])
+            freed = index.total(v, lambda s: np.minimum(n[c][s], d))
+            back[c] = np.where(total[c] > 0, freed / np.maximum(total[c], 1), 1.0)
         self.bigrams = index.bigrams
-        self.seen = np.log(ratio[1] / ratio[0]).astype(np.float32)
+        self.seen = np.empty(len(w), np.float32)
+        for s in _chunks(len(w)):
+            ratio = [np.maximum(n[c][s] - d, 0) / np.maximum(total[c][v[s]], 1) + back[c][v[s]] * lower[c][w[s]] for c in (0, 1)]
+            self.seen[s] = np.log(ratio[1] / ratio[0])
         self.words = words
         self.word = np.log(lower[1] / lower[0]).astype(np.float32)
         self.context = np.log(back[1] / back[0]).astype(np.float32)
@@ -172,7 +198,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_bigrams: int = MAX_BIGRAMS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """The models and the curve, from labelled documents outside the held-out fold."""
     given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     given = given.where(~held_out(F.col("doc_id"))).withColumn("mark", F.xxhash64("doc_id", F.lit(8)))
@@ -186,36 +212,38 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_bi
         drawn = some if drawn is None else drawn.unionAll(some)
     texts = docs.join(F.broadcast(drawn), "doc_id")  # at most 2 * train_docs rows
     fits = F.pmod(F.col("mark"), F.lit(FIT_SHARE)) == 0
-    table = _counts(texts.where(~fits)).orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "bigram").limit(max_bigrams).toArrow()
-    if not table.num_rows or not all(pc.sum(table.column(c)).as_py() for c in ("toxic", "ordinary")):
+    index = Index(_counts(texts.where(~fits)))
+    if not all(index.counts[c].any() for c in (0, 1)):
         return {"prior": prior}
     spark = docs.sparkSession
-    index = Index(table)
-    del table
-    models = [Model(index, d) for d in DISCOUNTS]
-    del index
-    every = spark.sparkContext.broadcast(models)
-    width = 1 + len(WINDOWS)
-    names = [f"f{i}" for i in range(width * len(models))]
+    fitting = save(texts.where(fits).select("text", "toxic"), "toxicity-fit")
+    names = [f"f{i}" for i in range(1 + len(WINDOWS))]
+    curves = []
+    for d in DISCOUNTS:
+        shared = spark.sparkContext.broadcast(Model(index, d))
+        seen = fitting.mapInArrow(_measured(shared, names), "n long, " + ", ".join(f"{f} double" for f in names) + ", toxic int").where("n > 0").toPandas()
+        shared.destroy()
+        if seen["toxic"].nunique() < 2:
+            return {"prior": prior, "model": spark.sparkContext.broadcast(Model(index, DISCOUNTS[0]))}
+        y = seen["toxic"].to_numpy().astype(float)
+        share = {c: total[c] / (y == c).sum() for c in (0, 1)}
+        weight = np.where(y == 1, share[1], share[0])
+        weight *= len(y) / weight.sum()
+        curves.append(_logistic(_features(seen["n"].to_numpy(), seen[names].to_numpy()), y, weight))
+    best = min(range(len(curves)), key=lambda i: curves[i][0])
+    return {"prior": prior, "model": spark.sparkContext.broadcast(Model(index, DISCOUNTS[best])), "curve": curves[best][1], "discount": DISCOUNTS[best]}
+
+
+def _measured(shared, names: list[str]):
+    """Texts' evidence under one broadcast model, with their labels."""
 
     def run(batches):
         for batch in batches:
             for first, last, raw, offs in text_slices(batch.column(0)):
-                found = [m.evidence(raw, offs) for m in every.value]
-                x = np.column_stack([f for _, f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(found[0][0]), *(pa.array(x[:, i].copy()) for i in range(x.shape[1])), batch.column(1).slice(first, last - first)], names=["n", *names, "toxic"])
-
-    seen = texts.where(fits).select("text", "toxic").mapInArrow(run, "n long, " + ", ".join(f"{f} double" for f in names) + ", toxic int").where("n > 0").toPandas()
-    every.destroy()
-    if seen["toxic"].nunique() < 2:
-        return {"prior": prior, "model": spark.sparkContext.broadcast(models[0])}
-    y = seen["toxic"].to_numpy().astype(float)
-    share = {c: total[c] / (y == c).sum() for c in (0, 1)}
-    weight = np.where(y == 1, share[1], share[0])
-    weight *= len(y) / weight.sum()
-    curves = [_logistic(_features(seen["n"].to_numpy(), seen[names[i * width : (i + 1) * width]].to_numpy()), y, weight) for i in range(len(models))]
-    best = min(range(len(models)), key=lambda i: curves[i][0])
-    return {"prior": prior, "model": spark.sparkContext.broadcast(models[best]), "curve": curves[best][1], "discount": DISCOUNTS[best]}
+                n, x = shared.value.evidence(raw, offs)
+                yield pa.RecordBatch.from_arrays([pa.array(n), *(pa.array(x[:, i].copy()) for i in range(x.shape[1])), batch.column(1).slice(first, last - first)], names=["n", *names, "toxic"])
+
+    return run
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

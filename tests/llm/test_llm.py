@@ -342,6 +342,16 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_counts_every_bigram_of_its_sample(spark):
+    rng = np.random.default_rng(3)
+    texts = {i: [f"w{k}" for k in rng.integers(0, 60_000, 4500)] for i in range(480)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    fitted = toxicity.fit(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string"), labels)
+    counted = labels.where(~toxicity.held_out(F.col("doc_id"))).where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(toxicity.FIT_SHARE)) != 0).collect()
+    want = {pair for r in counted for pair in zip([None, *texts[r.doc_id]], texts[r.doc_id])}
+    assert len(want) > 1_000_000 and len(fitted["model"].value.bigrams) == len(want)
+
+
 # ---- personal data
 
 
