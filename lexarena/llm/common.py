@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def freeing(spark: SparkSession):
+    """Queries that end in here delete their own shuffle files: what they wrote is what is read from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends in files every executor can reach."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs now: it acts on the driver's garbage collections."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Checkpoint a small table; Spark's cleaner removes its files once nothing refers to them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freeing(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 # ---- hashes of words and shingles, over the UTF-8 bytes of many texts at once

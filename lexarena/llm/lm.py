@@ -1,41 +1,38 @@
-"""Stupid-backoff scores (Brants et al., 2007) from n-gram counts of the whole corpus.
-
-Documents are dealt into batches; a batch's distinct n-grams, of all orders, are its requests, packed as
-sorted hashes with the batch's own counts and dealt by hash into count partitions. Each count partition
-sums what all batches sent and answers each batch with the totals, in the order of its request. A batch
-then joins the totals to its documents' n-grams and sums the scores of each document.
-
-Requests are batches times count partitions blobs, as a shuffle of as many tasks would write; give larger
-inputs larger batches (batch_bytes: about 20 times as much memory in a task). An n-gram crosses the network once for each batch that holds it, whatever its count, so a frequent one
-weighs no more than a rare one, and no task gets all rows of one key.
+"""Stupid-backoff scores (Brants et al., 2007) from n-gram counts of the whole corpus, as joins.
+
+The n-grams of all orders are counted with a groupBy on their hashes: a table of counts, partitioned by
+hash, without the n-grams of a single document, which no other document can ask for. Then each document
+explodes to one row for each distinct n-gram of the highest order. A row joins the table of its order; if
+the n-gram isn't there it goes on to the order below with its last words, and if it is, to the count of
+its context. What is found is summed per document.
+
+An n-gram with at least 1 / `hot` of all words is hot. There are at most `hot` of each order, so their
+counts are broadcast and settled while exploding; only the others are joined, and none of those can
+make up more than 1 / `hot` of the rows. Documents are joined in `portions` by a hash of their ids, which
+bounds what is shuffled at once; the files of a portion's shuffles go when it is written.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarena.llm.common import chain, mix, release, save, text_slices, word_hashes
+from lexarena.llm.common import chain, save, text_slices, word_hashes
 
 ORDER = 2
 BACKOFF = 0.4
-BATCH_BYTES = 12 << 20
+HOT = 1_000_000
+PORTIONS = 4
 SCALE = 1_000_000
 
 
-def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _grams(raw: np.ndarray, offs: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """([hash of the n-gram that ends at each word, for n = 1..order; 0 where the text is too short], index of each word's text)."""
-    import pyarrow as pa
-
-    words, docs = [], []
-    for first, _, raw, offs in text_slices(pa.array(texts, pa.string())):
-        h, doc = word_hashes(raw, offs)
-        words.append(h)
-        docs.append(doc + first)
-    word = np.concatenate(words) if words else np.empty(0, np.uint64)
-    doc = np.concatenate(docs) if docs else np.empty(0, np.int64)
+    word, doc = word_hashes(raw, offs)
     out = []
     for n in range(1, order + 1):
         g = np.zeros(len(word), np.uint64)
@@ -46,16 +43,157 @@ def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.nd
     return out, doc
 
 
-def _requests(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct n-grams sorted by (part, hash), their counts, bounds of the parts)."""
-    every = np.concatenate([g[g != 0] for g in grams])
-    key, count = np.unique(every, return_counts=True)
-    part = (mix(key) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return key[order], count[order], np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, in sorted arrays."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def ngram_counts(rows: DataFrame, order: int) -> DataFrame:
+    """(n, gram, c) of the n-grams of two documents or more in texts (text); n = 0 has the number of all words."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, raw, offs in text_slices(batch.column(0)):
+                grams, doc = _grams(raw, offs, order)
+                if not len(doc):
+                    continue
+                parts = [(0, np.zeros(1, np.int64), np.array([len(doc)]), np.array([2]))]
+                for n, g in enumerate(grams, 1):
+                    live = g != 0
+                    g, d = g[live], doc[live]
+                    at = np.argsort(g, kind="stable")
+                    g, d = g[at], d[at]
+                    first = _starts(g) if len(g) else np.empty(0, np.int64)
+                    pairs = np.searchsorted(_starts(g, d), np.append(first, len(g))) if len(g) else np.zeros(1, np.int64)
+                    parts.append((n, g[first].view(np.int64), np.diff(np.append(first, len(g))), np.diff(pairs)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([np.full(len(g), n, np.int32) for n, g, _, _ in parts]))] + [pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3)],
+                    names=["n", "gram", "c", "docs"],
+                )
+
+    counted = rows.select("text").mapInArrow(run, "n int, gram long, c long, docs long").groupBy("n", "gram")
+    return counted.agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")).where("docs > 1").select("n", "gram", "c")
+
+
+def _chain_columns(order: int) -> list[str]:
+    """For j < order: the n-gram of the last j words and the context of the (j + 1)-gram, each as hash and count.
+
+    The hash is null if the n-gram is hot: the count is then what the other documents have of it, else
+    it is the document's own, to be taken off the corpus's.
+    """
+    return [f"{c}{j}" for j in range(1, order) for c in ("suffix", "suffix_n", "context", "context_n")]
 
 
-def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def exploded(rows: DataFrame, order: int, backoff: float, hot, total: int) -> DataFrame:
+    """Of each document (doc_id, h, text) a row with o = 0 and the sum of what is settled, and a row for each n-gram that is to be joined.
+
+    h names the text; o is the order of n-gram g, top the order it was first looked for with, own how often
+    it occurs in the document, m the number of words that it scores, micro the sum of a row with o = 0.
+    """
+    names = ["doc_id", "h", "n_words", "o", "top", "m", "g", "own", "micro", *_chain_columns(order)]
+    schema = ", ".join(f"{c} {'int' if c in ('o', 'top') else 'long'}" for c in names)
+
+    def run(batches):
+        tables = hot.value
+        for batch in batches:
+            for first, last, raw, offs in text_slices(batch.column(2)):
+                ids, h = batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
+                grams, doc = _grams(raw, offs, order)
+                texts = last - first
+                n_words = np.bincount(doc, minlength=texts)
+                place = np.arange(len(doc)) - (np.cumsum(n_words) - n_words)[doc]
+                own, top_rows = [], []
+                for g in grams:
+                    live = np.flatnonzero(g)
+                    key = chain([doc[live].astype(np.uint64), g[live]])
+                    at = np.argsort(key)
+                    starts = _starts(key[at]) if len(at) else np.empty(0, np.int64)
+                    size = np.diff(np.append(starts, len(at)))
+                    n = np.zeros(len(g), np.int64)
+                    n[live[at]] = np.repeat(size, size)
+                    own.append(n)
+                    top_rows = live[at[starts]]
+                at = np.sort(np.concatenate((top_rows, np.flatnonzero(place < order - 1))))
+                top = np.minimum(place[at] + 1, order)
+                m = np.where(top == order, own[-1][at], 1)
+
+                def others(n: int, where: np.ndarray) -> np.ndarray:
+                    """What the other documents have of the n-grams that end there, if hot; else -1."""
+                    keys, counts = tables[n - 1]
+                    if not len(keys):
+                        return np.full(len(where), -1)
+                    g = grams[n - 1][where]
+                    i = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+                    return np.where(keys[i] == g, counts[i] - own[n - 1][where], -1)
+
+                rest = {n: others(n, at) for n in range(1, order + 1)}
+                before = {n: others(n, np.maximum(at - 1, 0)) for n in range(1, order)}
+                score, done = np.zeros(len(at)), np.zeros(len(at), bool)
+                for n in range(1, order + 1):
+                    here = (top == n) & (rest[n] >= 0)
+                    done |= here
+                    if n == 1:
+                        score[here] = np.log((rest[1][here] + 1) / (total - n_words[doc[at[here]]] + 1))
+                    else:
+                        score[here] = np.log(rest[n][here] / before[n - 1][here])
+                settled = np.bincount(doc[at], weights=np.where(done, m * np.rint(score * SCALE), 0), minlength=texts).astype(np.int64)
+                i = at[~done]
+                top, m, owner = top[~done], m[~done], doc[i]
+                level = lambda arrays: np.choose(top - 1, [a[i] for a in arrays]) if len(i) else np.empty(0, np.int64)
+                cells = [ids.take(pa.array(owner)), h.take(pa.array(owner)), n_words[owner], top.astype(np.int32), top.astype(np.int32), m, level([g.view(np.int64) for g in grams]), level(own), np.zeros(len(i), np.int64)]
+                none = np.zeros(texts, np.int32)
+                ends = [ids, h, n_words, none, none, np.ones(texts, np.int64), h, np.zeros(texts, np.int64), settled]
+                for j in range(1, order):
+                    for known, where in ((rest[j][~done], i), (before[j][~done], np.maximum(i - 1, 0))):
+                        cells.append(pa.array(grams[j - 1][where].view(np.int64), mask=(known >= 0) | (top <= j)))
+                        cells.append(np.where(known >= 0, known, own[j - 1][where]))
+                ends += [pa.nulls(texts, pa.int64())] * (4 * (order - 1))
+                for part in (ends, cells):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in part], names=names)
+
+    return rows.select("doc_id", "h", "text").mapInArrow(run, schema)
+
+
+def _level(rows: DataFrame, counts: DataFrame, o: int, backoff: float, total: int) -> DataFrame:
+    """rows after the join with the table of order o: summed (o = 0), or to be joined with a lower order.
+
+    A row whose num is set has found its n-gram, in num places of other documents, and looks up the context.
+    """
+    table = counts.where(F.col("n") == o).select(F.col("gram").alias("g"), "c")
+    col = F.col
+    here, found, rest = col("o") == o, col("c").isNotNull(), col("c") - col("own")
+    value = lambda x, order: F.rint(F.lit(SCALE) * (x + F.lit(math.log(backoff)) * (col("top") - F.lit(order)))).cast("long")
+    word = lambda n: F.log((n + 1) / (F.lit(total) - col("n_words") + 1))
+    score = F.when(here & col("num").isNotNull(), value(F.log(col("num") / rest), o + 1))
+    if o == 1:
+        score = score.when(here, value(word(F.coalesce(rest, F.lit(0))), 1))
+        to: dict[str, Column] = {}
+    else:
+        suffix, n_suffix, context, n_context = (col(f"{c}{o - 1}") for c in ("suffix", "suffix_n", "context", "context_n"))
+        score = score.when(here & found & context.isNull(), value(F.log(rest / n_context), o))
+        lower = value(word(n_suffix), 1) if o == 2 else value(F.log(n_suffix / col(f"context_n{o - 2}")), o - 1)
+        score = score.when(here & ~found & suffix.isNull(), lower)
+        to = {"g": F.when(found, context).otherwise(suffix), "own": F.when(found, n_context).otherwise(n_suffix), "num": F.when(found, rest)}
+    wait = (col("o") > 0) & ~here
+    moved = here & score.isNull()
+    out = {
+        "micro": F.when(here, score * col("m")).otherwise(F.when(col("o") == 0, col("micro"))),
+        "m": F.when(moved | wait | (col("o") == 0), col("m")).otherwise(0),
+        "top": F.when(moved | wait, col("top")),
+        "o": F.when(moved, o - 1).otherwise(F.when(wait, col("o")).otherwise(0)),
+    }
+    for c, kind in (("g", "long"), ("own", "long"), ("num", "long")):
+        out[c] = F.when(moved, to[c] if to else F.lit(None).cast(kind)).when(wait, col(c))
+    below = [f"{c}{j}" for j in range(1, o - 1) for c in ("suffix", "suffix_n", "context", "context_n")]
+    out |= {c: F.when(moved | wait, col(c)) for c in below}
+    keys = ["doc_id", "h", "n_words", "o", "top", "g", "own", "num", *below]
+    rows = rows.join(table, "g", "left").select("doc_id", "h", "n_words", *(e.alias(c) for c, e in out.items()))
+    return rows.groupBy(*keys).agg(F.sum("micro").alias("micro"), F.sum("m").alias("m"))
+
+
+def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, hot: int = HOT, portions: int = PORTIONS) -> DataFrame:
     """doc_id, n_words, score_micro of each document; the mean log score of a word is score_micro / n_words / 1e6.
 
     Counts are those of all documents, without the document's own (so no text vouches for itself). With
@@ -63,66 +201,32 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     both counts are positive, else backoff times the score with a context shorter by one; a single word
     has (c(word) + 1) / (N + 1), N all words but the document's own. Natural logs are rounded to millionths,
     so that sums don't depend on their order. score_micro is 0 for a text without words; null texts
-    are empty; rows that repeat a doc_id are documents of their own. Extra columns are not read.
+    are empty; rows that repeat a doc_id are documents of their own, also with one text. A text of any
+    length is one row of a task. An empty table gives an empty one. Extra columns are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = max(1, -(-size // batch_bytes))
-    parts = -(-batches // 3)
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, doc = _grams(pdf["text"].tolist(), order)
-        key, count, bounds = _requests(grams, parts)
-        cut = lambda a, kind: [a[x:y].astype(kind).tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pd.DataFrame({"part": np.arange(parts), "batch": pdf["batch"].iloc[0], "words": len(doc), "keys": cut(key, np.uint64), "counts": cut(count, np.uint32)})
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.float64)
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=counts)[back] if len(back) else counts
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        answers = [t.astype(np.uint32 if t.max(initial=0) < 1 << 32 else np.uint64) for t in np.split(total, cuts)]
-        return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "words": int(pdf["words"].sum()), "wide": [a.itemsize for a in answers], "totals": [a.tobytes() for a in answers]})
-
-    def score(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["doc_id"]
-        grams, doc = _grams(pdf["text"].tolist(), order)
-        texts = len(pdf)
-        n = np.bincount(doc, minlength=texts)
-        if not len(doc):
-            return pd.DataFrame({"doc_id": ids, "n_words": n, "score_micro": 0})
-        key, _, _ = _requests(grams, parts)
-        answers = answers.sort_values("part")
-        total = np.concatenate([np.frombuffer(t, np.uint32 if w == 4 else np.uint64) for t, w in zip(answers["totals"], answers["wide"], strict=True)]).astype(np.int64)
-        by = np.argsort(key)
-        key, total = key[by], total[by]
-        count = []
-        for g in grams:  # of each word's n-gram: the corpus's count without the document's own
-            live = g != 0
-            all_of = np.where(live, total[np.minimum(np.searchsorted(key, g), len(key) - 1)], 0)
-            pair = np.lexsort((g, doc))
-            new = np.ones(len(g), bool)
-            new[1:] = (g[pair][1:] != g[pair][:-1]) | (doc[pair][1:] != doc[pair][:-1])
-            group = np.cumsum(new) - 1
-            own = np.empty(len(g), np.int64)
-            own[pair] = np.bincount(group)[group]
-            count.append(np.where(live, all_of - own, 0))
-        everything = int(answers["words"].iloc[0])
-        s = np.log((count[0] + 1) / (everything - n[doc] + 1))
-        for k in range(1, order):  # contexts of k words; a context's count is that of the n-gram one word back
-            context = np.concatenate(([0], count[k - 1][:-1]))
-            seen = (count[k] > 0) & (context > 0) & (grams[k] != 0)
-            here = grams[k] != 0
-            s = np.where(seen, np.log(np.where(seen, count[k], 1) / np.where(seen, context, 1)), np.where(here, np.log(backoff) + s, s))
-        micro = np.rint(s * SCALE).astype(np.int64)
-        run = np.concatenate(([0], np.cumsum(micro)))
-        ends = np.cumsum(n)
-        return pd.DataFrame({"doc_id": ids, "n_words": n, "score_micro": run[ends] - run[ends - n]})
-
-    asked = rows.groupBy("batch").applyInPandas(ask, "part long, batch long, words long, keys binary, counts binary")
-    answers = save(asked.groupBy("part").applyInPandas(answer, "batch long, part long, words long, wide int, totals binary"), "ngram-totals")
-    del asked
-    release(docs.sparkSession)  # the texts and requests that the first job shuffled
-    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, n_words long, score_micro long")
+    counts = save(ngram_counts(rows, order), "ngram-counts")
+    total = (counts.where("n = 0").first() or {"c": 0})["c"]
+    often = counts.where((F.col("n") > 0) & (F.col("c") >= F.lit(max(total, 1) / hot))).orderBy("gram").toPandas()  # at most hot of each order
+    tables = [often[often["n"] == n] for n in range(1, order + 1)]
+    tables = [(t["gram"].to_numpy().view(np.uint64), t["c"].to_numpy()) for t in tables]
+    tables = [(k[by], c[by]) for k, c in tables for by in [np.argsort(k)]]
+    shared = spark.sparkContext.broadcast(tables)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    out = None
+    for p in range(portions):
+        some = rows.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(portions)) == p)
+        todo = exploded(some, order, backoff, shared, total).withColumn("num", F.lit(None).cast("long"))
+        done = None
+        for o in range(order, 0, -1):
+            joined = save(_level(todo, counts, o, backoff, total), "ngram-rows")
+            ended = joined.where("o = 0").select("doc_id", "h", "n_words", "micro", "m")
+            done = ended if done is None else done.unionAll(ended)
+            todo = joined.where("o > 0")
+        # a row with o = 0 comes from each copy of a document, and copies have equal sums
+        whole = done.groupBy("doc_id", "h", "n_words").agg(F.sum("micro").alias("micro"), F.sum("m").alias("copies"))
+        each = whole.select("doc_id", "n_words", F.expr("micro div copies").alias("score_micro"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        part = save(each.select("doc_id", "n_words", "score_micro"), "ngram-scores")
+        out = part if out is None else out.unionAll(part)
+    return out

@@ -296,27 +296,32 @@ def test_odd_sketches():
 # ---- language model
 
 
-def test_stupid_backoff_orders_and_batches(spark):
-    pairs = [*ODD, (20, "a b c d x"), (21, "A b c")]
-    one = {(r.doc_id, r.n_words): r.score_micro for r in lm.stupid_backoff(docs(spark, pairs), order=3).collect()}
-    many = {(r.doc_id, r.n_words): r.score_micro for r in lm.stupid_backoff(docs(spark, pairs), order=3, batch_bytes=200).collect()}
-    assert one == many and one[1, 0] == 0
-    texts = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for _, t in pairs]
-    grams = lambda ws, n: Counter(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1))
-    count = {n: sum((grams(w, n) for w in texts), Counter()) for n in (1, 2, 3)}
-    total, at = sum(map(len, texts)), 10
-    w = texts[at]
-    own = {n: grams(w, n) for n in (1, 2, 3)}
-    c = lambda *g: count[len(g)][g] - own[len(g)][g]
-
-    def s(*g):
-        if len(g) == 1:
-            return (c(*g) + 1) / (total - len(w) + 1)
-        return c(*g) / c(*g[:-1]) if c(*g) > 0 and c(*g[:-1]) > 0 else 0.4 * s(*g[1:])
-
-    want = sum(round(1e6 * np.log(s(*w[max(0, i - 2) : i + 1]))) for i in range(len(w)))
-    assert abs(one[20, 5] - want) <= 5
-    assert lm.stupid_backoff(docs(spark, [])).count() == 0
+def backoff_by_hand(texts, order):
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    grams = lambda ws: Counter(tuple(ws[i : i + n]) for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+    count, total, out = sum((grams(w) for w in texts), Counter()), sum(map(len, texts)), []
+    for w in texts:
+        own = grams(w)
+
+        def s(*g, own=own, n=len(w)):
+            c = lambda g: count[g] - own[g]
+            if len(g) == 1:
+                return np.log((c(g) + 1) / (total - n + 1))
+            return np.log(c(g) / c(g[:-1])) if c(g) > 0 and c(g[:-1]) > 0 else np.log(0.4) + s(*g[1:])
+
+        out.append((len(w), sum(round(1e6 * s(*w[max(0, i - order + 1) : i + 1])) for i in range(len(w)))))
+    return out
+
+
+@pytest.mark.parametrize(("order", "hot", "portions"), [(1, 10, 1), (2, 10**6, 2), (3, 1, 1), (3, 12, 2), (4, 40, 1)])
+def test_stupid_backoff_equals_brute_force(spark, order, hot, portions):
+    rng = random.Random(11)
+    pairs = [*ODD, (20, "a b c d x"), (21, "A b c"), (22, None), *((30 + i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 25)))) for i in range(25))]
+    got = Counter((r.doc_id, r.n_words, r.score_micro) for r in lm.stupid_backoff(docs(spark, pairs), order=order, hot=hot, portions=portions).collect())
+    want = Counter((i, *x) for (i, _), x in zip(pairs, backoff_by_hand([t for _, t in pairs], order), strict=True))
+    near = lambda c: sorted(((i or 0, n, round(x, -1)) for i, n, x in c.elements()))  # noqa: E731 - a logarithm may differ in its last bit
+    assert len(near(got)) == len(pairs) and all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 10 for a, b in zip(near(got), near(want), strict=True))
+    assert lm.stupid_backoff(docs(spark, []), order=order).count() == 0
 
 
 # ---- toxicity
