@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 
 from lexarena.llm.common import keep
 
+HELD = 500_000
+
 
 def _contract(edges: DataFrame) -> DataFrame:
-    """The edges with each partition's own components as stars around their smallest nodes; nothing moves."""
+    """The edges with each partition's own components as stars around their smallest nodes; nothing moves.
+
+    A task holds at most HELD nodes: beyond that it puts out the stars that it has and starts afresh.
+    """
 
     def run(batches):
         parent: dict[int, int] = {}
@@ -20,27 +25,41 @@ def _contract(edges: DataFrame) -> DataFrame:
                 parent[x] = x = parent.setdefault(p, p)
             return x
 
+        def stars():
+            found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            for i in range(0, len(found), 10_000):
+                u, v = zip(*found[i : i + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
         for batch in batches:
             for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(u), root(v)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        stars = [(x, root(x)) for x in list(parent)]
-        stars = [(x, r) for x, r in stars if x != r]
-        for i in range(0, len(stars), 10_000):
-            u, v = zip(*stars[i : i + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            if len(parent) > HELD:
+                yield from stars()
+        yield from stars()
 
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) with m, the least of u and its v's.
+
+    The table of m is checkpointed, so that both sides of the join are plain shuffles: Spark then splits
+    a node that holds a large part of all pairs, or broadcasts m where it is small.
+    """
+    least = keep(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return pairs.join(least, "u").select("u", "v", "m")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star step then one small-star step over edges (u, v) with u > v."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+    large = keep(_with_least(both).where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    small = _with_least(large)
+    small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
     return small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

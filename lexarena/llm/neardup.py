@@ -12,8 +12,8 @@ differ in, and counts nearly all of them while they are few, so it tells 0.78 fr
 
 No bucket is enumerated: each member meets one random member (the hub) of each of its buckets and tries
 three of those that pass. Only members that stay in different components then meet each other, in a join
-whose condition reads the whole-set sketches and the first bucket that the two share: it puts out little
-more than links, each once. Copies are one row per class.
+by blocks of a bucket whose condition reads the whole-set sketches and the first bucket that the two share:
+it puts out little more than links, each once. Copies are one row per class.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from lexarena.llm.graph import components
 
 SKETCH_LONGS = 16
 WHOLE_LONGS = 32
+BLOCK = 1_000  # members of a bucket that a task compares with as many others
 SLICE_ROWS = 1 << 10  # texts sketched at once: counting their bits takes 16 KB a text
 
 
@@ -139,7 +140,7 @@ def _close(percent: int, x: str, y: str) -> str:
     return f"{sizes} AND {ones} <= least({d} + 1e-6, {m} * {q} + 6 * sqrt({m} * {q} * (1 - {q})))"
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document; links join sets at percent similarity or more.
 
     A component is named by its smallest doc_id; kept marks that document. Null or empty texts, or
@@ -171,12 +172,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     # then members of one bucket meet across components
     rows_of = _labelled(shared.select("key", F.col("rep").alias("node")), parts)
-    mixed = rows_of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows_of = rows_of.join(mixed, "key").join(reps.select(F.col("rep").alias("node"), "n_shingles", "whole", "bands"), "node")
-    side = lambda s: rows_of.select("key", F.struct("node", "component", "n_shingles", "whole", "bands").alias(s))
-    first = F.expr("array_intersect(x.bands, y.bands)[0] = key")  # a pair meets once, in the first bucket that it shares
-    rest = side("x").join(side("y"), "key").where(F.expr("x.component < y.component") & close & first)
-    rest = rest.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
+    rest = _across(rows_of, reps.select(F.col("rep").alias("node"), "n_shingles", "whole", "bands"), percent, block)
     rest = keep(rest.join(tried, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         parts = components(links.unionAll(_confirmed(rest, sets, percent)))
@@ -191,6 +187,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _across(rows: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """(u, v) of members of one bucket (key, node, component) in different components whose sketches are close.
+
+    Of two such members one at least is light: outside the bucket's largest component. So a bucket's members
+    meet its light ones only, and both are dealt in blocks of about `block`: a pair of blocks, not a
+    bucket, is what a task gets together, and a bucket of one component but for a few costs little.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > most")
+    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
+    sizes = sizes.select("key", "main", cut("n").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("light_blocks"))
+    members = rows.join(sizes, "key").join(classes, "node").withColumn("light", F.col("component") != F.col("main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    kept = ("node", "component", "n_shingles", "whole", "bands")
+    x = members.select("key", own("blocks", 1).alias("i"), every("light_blocks").alias("j"), F.struct(*kept, "light").alias("x"))
+    y = members.where("light").select("key", every("blocks").alias("i"), own("light_blocks", 2).alias("j"), F.struct(*kept).alias("y"))
+    once = F.expr("x.component <> y.component AND (NOT x.light OR x.node < y.node)")
+    first = F.expr("array_intersect(x.bands, y.bands)[0] = key")  # a pair meets once, in the first bucket that it shares
+    found = x.join(y, ["key", "i", "j"]).where(once & F.expr(_close(percent, "x", "y")) & first)
+    return found.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
+
+
 def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """rows with the component of their node; a node without a link is its own."""
     return rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -248,7 +248,8 @@ def components_by_hand(pairs, k, percent):
     return {i: (len(s), root[i]) for i, s in sets.items()}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [2, 1000])
+def test_near_duplicates_equal_brute_force(spark, block):
     rng = random.Random(6)
     base = [[rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(50)) for _ in range(60)] for _ in range(6)]
     pairs = [(i, t) for i, t in ODD if i is not None][:-1]
@@ -257,7 +258,7 @@ def test_near_duplicates_equal_brute_force(spark):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(60)] = f"q{rng.randrange(10**6)}"
         pairs.append((1000 + n, " ".join(w).upper() if n % 7 == 0 else " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, pairs), k=4).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, pairs), k=4, block=block).collect()}
     assert got == components_by_hand(pairs, 4, 80)
 
 
