@@ -150,7 +150,7 @@ ORACLES["op3_warc_revisits"] = r"""
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of each document, counted and hashed, and all spans."""
-    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.find(table(spark, sf_dir, "documents")).drop("base", "found")
 
 
 @query

@@ -368,18 +368,77 @@ def test_base_spans():
     assert ("card", "4111 1111 1111 1111") in {(pii.KINDS[k], "x 4111 1111 1111 1111 y"[a:b]) for k, a, b in pii.base_spans("x 4111 1111 1111 1111 y")}
 
 
+def naive_base_spans(text):
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    out = []
+    for k, p in enumerate(patterns):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if (k == 0) or (k == 1 and all(int(x) <= 255 for x in m[0].split("."))) or (k == 2 and 16 <= len(d) <= 19 and pii.luhn(d)) or (k == 3 and 8 <= len(d) <= 15):
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(12)
+    for alphabet, n in (("ab1239 .@+-_()é\n%", 8000), ("012.5 -+", 4000), ("4 1-", 2000), ("a.@-b", 4000)):
+        for _ in range(n):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+            assert pii.base_spans(text) == naive_base_spans(text), text
+
+
+@pytest.mark.parametrize("unit", ["1", "a", "1.2", "a@", "+1 ", "(12) ", "a1:", "A9", "at (at) ", "=", "é"])
+def test_a_million_characters_take_a_moment(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    pii.base_spans(text)
+    list(pii._wider(text))
+    assert time.process_time() - began < 5  # quadratic scans take hours
+
+
 def test_pii_query_shape_and_added_spans(spark):
     import hashlib
 
+    rng = random.Random(13)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     pairs = [*ODD, *((100 + i, f"é call +1 (301) 555-{1000 + i} or mail u{i}@x{i}.org") for i in range(200)), *((400 + i, f"write to bob{i} [at] host{i} [dot] com today") for i in range(20)), (999, "plain 2024 text 12-34")]
-    out = {r.doc_id: r for r in pii.find(docs(spark, pairs)).collect()}
+    pairs += [(500 + i, f'of the token = "{hexes(40)}" and of') for i in range(20)] + [(600 + i, f"call (301) 555-{2000 + i} at noon") for i in range(20)] + [(100, pairs[10][1])]
+    found = pii.find(docs(spark, pairs)).collect()
+    out = {r.doc_id: r for r in found}
     r = out[100]
-    assert (r.n_email, r.n_phone, r.spans) == (1, 1, "email:30:39,phone:7:24") and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    assert (r.n_email, r.n_phone, r.spans) == (1, 1, "email:33:42,phone:7:24") and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    assert len(found) == len(pairs) and [x.spans for x in found if x.doc_id == 100] == [r.spans] * 2
     assert out[999].spans == "" == out[1].spans and out[1].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert out[400].n_email == 0 and all(out[i].spans.startswith(out[i].base) for i in out if i is not None)
+    for x in found:
+        base = [f for f in x.found if f.base]
+        assert ",".join(f"{f.kind}:{f.start}:{f.end}" for f in base) == x.base and x.n_spans == len(x.found)
+        assert [(pii.KINDS.index(f.kind), f.start) for f in x.found] == sorted((pii.KINDS.index(f.kind), f.start) for f in x.found)
+    assert out[400].n_email == 0 and out[400].spans == "email:9:34"
+    assert sum(out[500 + i].n_secret == 1 for i in range(20)) >= 18 and sum(out[400 + i].n_spans == 1 for i in range(20)) >= 18
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_added_spans_of_the_documents(spark):
+    given = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    out = {r.doc_id: r for r in QUERIES["op9_pii"](spark, DATA.replace("0.001", "0.01")).collect()}
+    planted = clean = caught = 0
+    for d in given.collect():
+        secrets = [m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', d.text or "")]
+        planted += len(secrets)
+        caught += sum(f"secret:{a}:{b}" in out[d.doc_id].spans.split(",") for a, b in secrets)
+        clean += not secrets and out[d.doc_id].n_spans > len(pii.base_spans(d.text or ""))
+    assert planted > 10 and caught / planted >= 0.95 and clean <= 0.01 * len(out)
+
+
+def test_the_classifier_reads_features_not_votes():
+    features, n, target = np.array([[0] * 8, [1] * 8, [0] * 7 + [1]]), np.array([50.0, 50.0, 1.0]), np.array([1.0, 0.0, 0.0])
+    bias, w = pii.classify(features, n, target)
+    p = lambda x: 1 / (1 + np.exp(-bias - sum(w[j, v] for j, v in enumerate(x))))
+    assert p([0] * 8) > 0.9 > 0.1 > p([1] * 8)
+
+
 def test_em_finds_the_reliable_labeler():
     rng = random.Random(10)
     counts = Counter()
