@@ -28,6 +28,8 @@ BACKOFF = 0.4
 HOT = 1_000_000
 PORTIONS = 4
 SCALE = 1_000_000
+COUNT_BYTES = 6 << 20  # text whose n-grams a task sums at once before Spark does
+ROW_BYTES = 1 << 20  # text that a task explodes at once
 
 
 def _grams(raw: np.ndarray, offs: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -55,7 +57,7 @@ def ngram_counts(rows: DataFrame, order: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, _, raw, offs in text_slices(batch.column(0)):
+            for _, _, raw, offs in text_slices(batch.column(0), limit=COUNT_BYTES):
                 grams, doc = _grams(raw, offs, order)
                 if not len(doc):
                     continue
@@ -87,37 +89,36 @@ def _chain_columns(order: int) -> list[str]:
 
 
 def exploded(rows: DataFrame, order: int, backoff: float, hot, total: int) -> DataFrame:
-    """Of each document (doc_id, h, text) a row with o = 0 and the sum of what is settled, and a row for each n-gram that is to be joined.
+    """Of each document (doc_id, d, text) a row with o = 0 and the sum of what is settled, and a row for each n-gram that is to be joined.
 
-    h names the text; o is the order of n-gram g, top the order it was first looked for with, own how often
-    it occurs in the document, m the number of words that it scores, micro the sum of a row with o = 0.
+    d names the document by a hash; o is the order of n-gram g and own how often it occurs in the document.
+    Only a row with o = 0 has doc_id and micro. An n-gram of the highest order scores own words, a shorter one
+    (at the start of a text) one word.
     """
-    names = ["doc_id", "h", "n_words", "o", "top", "m", "g", "own", "micro", *_chain_columns(order)]
-    schema = ", ".join(f"{c} {'int' if c in ('o', 'top') else 'long'}" for c in names)
+    names = ["d", "n_words", "o", "g", "own", "doc_id", "micro", *_chain_columns(order)]
+    schema = ", ".join(f"{c} {'int' if c == 'o' else 'long'}" for c in names)
 
     def run(batches):
         tables = hot.value
         for batch in batches:
-            for first, last, raw, offs in text_slices(batch.column(2)):
-                ids, h = batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
+            for first, last, raw, offs in text_slices(batch.column(2), limit=ROW_BYTES):
+                ids, d = batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
                 grams, doc = _grams(raw, offs, order)
                 texts = last - first
                 n_words = np.bincount(doc, minlength=texts)
                 place = np.arange(len(doc)) - (np.cumsum(n_words) - n_words)[doc]
-                own, top_rows = [], []
+                own = []
                 for g in grams:
                     live = np.flatnonzero(g)
                     key = chain([doc[live].astype(np.uint64), g[live]])
-                    at = np.argsort(key)
-                    starts = _starts(key[at]) if len(at) else np.empty(0, np.int64)
-                    size = np.diff(np.append(starts, len(at)))
+                    by = np.argsort(key)
+                    starts = _starts(key[by]) if len(by) else np.empty(0, np.int64)
+                    size = np.diff(np.append(starts, len(by)))
                     n = np.zeros(len(g), np.int64)
-                    n[live[at]] = np.repeat(size, size)
+                    n[live[by]] = np.repeat(size, size)
                     own.append(n)
-                    top_rows = live[at[starts]]
-                at = np.sort(np.concatenate((top_rows, np.flatnonzero(place < order - 1))))
+                at = np.sort(np.concatenate((live[by[starts]], np.flatnonzero(place < order - 1))))
                 top = np.minimum(place[at] + 1, order)
-                m = np.where(top == order, own[-1][at], 1)
 
                 def others(n: int, where: np.ndarray) -> np.ndarray:
                     """What the other documents have of the n-grams that end there, if hot; else -1."""
@@ -138,13 +139,13 @@ def exploded(rows: DataFrame, order: int, backoff: float, hot, total: int) -> Da
                         score[here] = np.log((rest[1][here] + 1) / (total - n_words[doc[at[here]]] + 1))
                     else:
                         score[here] = np.log(rest[n][here] / before[n - 1][here])
+                m = np.where(top == order, own[-1][at], 1)
                 settled = np.bincount(doc[at], weights=np.where(done, m * np.rint(score * SCALE), 0), minlength=texts).astype(np.int64)
-                i = at[~done]
-                top, m, owner = top[~done], m[~done], doc[i]
+                i, top = at[~done], top[~done]
+                owner = doc[i]
                 level = lambda arrays: np.choose(top - 1, [a[i] for a in arrays]) if len(i) else np.empty(0, np.int64)
-                cells = [ids.take(pa.array(owner)), h.take(pa.array(owner)), n_words[owner], top.astype(np.int32), top.astype(np.int32), m, level([g.view(np.int64) for g in grams]), level(own), np.zeros(len(i), np.int64)]
-                none = np.zeros(texts, np.int32)
-                ends = [ids, h, n_words, none, none, np.ones(texts, np.int64), h, np.zeros(texts, np.int64), settled]
+                cells = [d.take(pa.array(owner)), n_words[owner], top.astype(np.int32), level([g.view(np.int64) for g in grams]), level(own), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())]
+                ends = [d, n_words, np.zeros(texts, np.int32), d, np.zeros(texts, np.int64), ids, settled]
                 for j in range(1, order):
                     for known, where in ((rest[j][~done], i), (before[j][~done], np.maximum(i - 1, 0))):
                         cells.append(pa.array(grams[j - 1][where].view(np.int64), mask=(known >= 0) | (top <= j)))
@@ -153,7 +154,7 @@ def exploded(rows: DataFrame, order: int, backoff: float, hot, total: int) -> Da
                 for part in (ends, cells):
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in part], names=names)
 
-    return rows.select("doc_id", "h", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", "d", "text").mapInArrow(run, schema)
 
 
 def _level(rows: DataFrame, counts: DataFrame, o: int, backoff: float, total: int) -> DataFrame:
@@ -179,18 +180,18 @@ def _level(rows: DataFrame, counts: DataFrame, o: int, backoff: float, total: in
     wait = (col("o") > 0) & ~here
     moved = here & score.isNull()
     out = {
-        "micro": F.when(here, score * col("m")).otherwise(F.when(col("o") == 0, col("micro"))),
-        "m": F.when(moved | wait | (col("o") == 0), col("m")).otherwise(0),
-        "top": F.when(moved | wait, col("top")),
+        "micro": F.when(here, score * col("m")).otherwise(col("micro")),
+        "m": F.when(moved | wait, col("m")).when(col("o") == 0, 1).otherwise(0),
         "o": F.when(moved, o - 1).otherwise(F.when(wait, col("o")).otherwise(0)),
+        "top": F.when(moved | wait, col("top")),
     }
     for c, kind in (("g", "long"), ("own", "long"), ("num", "long")):
         out[c] = F.when(moved, to[c] if to else F.lit(None).cast(kind)).when(wait, col(c))
     below = [f"{c}{j}" for j in range(1, o - 1) for c in ("suffix", "suffix_n", "context", "context_n")]
     out |= {c: F.when(moved | wait, col(c)) for c in below}
-    keys = ["doc_id", "h", "n_words", "o", "top", "g", "own", "num", *below]
-    rows = rows.join(table, "g", "left").select("doc_id", "h", "n_words", *(e.alias(c) for c, e in out.items()))
-    return rows.groupBy(*keys).agg(F.sum("micro").alias("micro"), F.sum("m").alias("m"))
+    keys = ["d", "n_words", "o", "top", "g", "own", "num", *below]
+    rows = rows.join(table, "g", "left").select("d", "n_words", "doc_id", *(e.alias(c) for c, e in out.items()))
+    return rows.groupBy(*keys).agg(F.max("doc_id").alias("doc_id"), F.sum("micro").alias("micro"), F.sum("m").alias("m"))
 
 
 def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, hot: int = HOT, portions: int = PORTIONS) -> DataFrame:
@@ -201,8 +202,8 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     both counts are positive, else backoff times the score with a context shorter by one; a single word
     has (c(word) + 1) / (N + 1), N all words but the document's own. Natural logs are rounded to millionths,
     so that sums don't depend on their order. score_micro is 0 for a text without words; null texts
-    are empty; rows that repeat a doc_id are documents of their own, also with one text. A text of any
-    length is one row of a task. An empty table gives an empty one. Extra columns are not read.
+    are empty; rows that repeat a doc_id are documents of their own, also with one text (documents are
+    told apart by 64-bit hashes of id and text, and their words). A text of any length is one row of a task. An empty table gives an empty one. Extra columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -213,19 +214,20 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     tables = [(t["gram"].to_numpy().view(np.uint64), t["c"].to_numpy()) for t in tables]
     tables = [(k[by], c[by]) for k, c in tables for by in [np.argsort(k)]]
     shared = spark.sparkContext.broadcast(tables)
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("d", F.xxhash64("doc_id", "text"))
     out = None
     for p in range(portions):
-        some = rows.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(portions)) == p)
-        todo = exploded(some, order, backoff, shared, total).withColumn("num", F.lit(None).cast("long"))
+        some = rows.where(F.pmod(F.xxhash64("d"), F.lit(portions)) == p)
+        m = F.when(F.col("o") == order, F.col("own")).otherwise(F.lit(1))
+        todo = exploded(some, order, backoff, shared, total).withColumns({"num": F.lit(None).cast("long"), "top": F.col("o"), "m": m})
         done = None
         for o in range(order, 0, -1):
             joined = save(_level(todo, counts, o, backoff, total), "ngram-rows")
-            ended = joined.where("o = 0").select("doc_id", "h", "n_words", "micro", "m")
+            ended = joined.where("o = 0").select("d", "n_words", "doc_id", "micro", "m")
             done = ended if done is None else done.unionAll(ended)
             todo = joined.where("o > 0")
         # a row with o = 0 comes from each copy of a document, and copies have equal sums
-        whole = done.groupBy("doc_id", "h", "n_words").agg(F.sum("micro").alias("micro"), F.sum("m").alias("copies"))
+        whole = done.groupBy("d", "n_words").agg(F.max("doc_id").alias("doc_id"), F.sum("micro").alias("micro"), F.sum("m").alias("copies"))
         each = whole.select("doc_id", "n_words", F.expr("micro div copies").alias("score_micro"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
         part = save(each.select("doc_id", "n_words", "score_micro"), "ngram-scores")
         out = part if out is None else out.unionAll(part)
