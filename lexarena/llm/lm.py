@@ -28,8 +28,8 @@ BACKOFF = 0.4
 HOT = 1_000_000
 PORTIONS = 4
 SCALE = 1_000_000
-COUNT_BYTES = 6 << 20  # text whose n-grams a task sums at once before Spark does
-ROW_BYTES = 1 << 20  # text that a task explodes at once
+SLICE_BYTES = 1 << 20  # text that a task hashes at once
+COUNT_WORDS = 1 << 20  # words whose n-grams a task sums before Spark does
 
 
 def _grams(raw: np.ndarray, offs: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -55,25 +55,35 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 def ngram_counts(rows: DataFrame, order: int) -> DataFrame:
     """(n, gram, c) of the n-grams of two documents or more in texts (text); n = 0 has the number of all words."""
 
+    def summed(held: list[tuple[list[np.ndarray], np.ndarray]]) -> pa.RecordBatch:
+        base = np.cumsum([0, *(doc[-1] + 1 for _, doc in held)])
+        doc = np.concatenate([d + b for (_, d), b in zip(held, base[:-1], strict=True)])
+        parts = [(0, np.zeros(1, np.int64), np.array([len(doc)]), np.array([2]))]
+        for n in range(order):
+            g = np.concatenate([grams[n] for grams, _ in held])
+            live = g != 0
+            g, d = g[live], doc[live]
+            at = np.argsort(g, kind="stable")
+            g, d = g[at], d[at]
+            first = _starts(g) if len(g) else np.empty(0, np.int64)
+            pairs = np.searchsorted(_starts(g, d), np.append(first, len(g))) if len(g) else np.zeros(1, np.int64)
+            parts.append((n + 1, g[first].view(np.int64), np.diff(np.append(first, len(g))), np.diff(pairs)))
+        n = np.concatenate([np.full(len(g), n, np.int32) for n, g, _, _ in parts])
+        return pa.RecordBatch.from_arrays([pa.array(n), *(pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3))], names=["n", "gram", "c", "docs"])
+
     def run(batches):
+        held, words = [], 0
         for batch in batches:
-            for _, _, raw, offs in text_slices(batch.column(0), limit=COUNT_BYTES):
+            for _, _, raw, offs in text_slices(batch.column(0), limit=SLICE_BYTES):
                 grams, doc = _grams(raw, offs, order)
-                if not len(doc):
-                    continue
-                parts = [(0, np.zeros(1, np.int64), np.array([len(doc)]), np.array([2]))]
-                for n, g in enumerate(grams, 1):
-                    live = g != 0
-                    g, d = g[live], doc[live]
-                    at = np.argsort(g, kind="stable")
-                    g, d = g[at], d[at]
-                    first = _starts(g) if len(g) else np.empty(0, np.int64)
-                    pairs = np.searchsorted(_starts(g, d), np.append(first, len(g))) if len(g) else np.zeros(1, np.int64)
-                    parts.append((n, g[first].view(np.int64), np.diff(np.append(first, len(g))), np.diff(pairs)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.full(len(g), n, np.int32) for n, g, _, _ in parts]))] + [pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3)],
-                    names=["n", "gram", "c", "docs"],
-                )
+                if len(doc):
+                    held.append((grams, doc))
+                    words += len(doc)
+                if words >= COUNT_WORDS:
+                    yield summed(held)
+                    held, words = [], 0
+        if held:
+            yield summed(held)
 
     counted = rows.select("text").mapInArrow(run, "n int, gram long, c long, docs long").groupBy("n", "gram")
     return counted.agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")).where("docs > 1").select("n", "gram", "c")
@@ -101,7 +111,7 @@ def exploded(rows: DataFrame, order: int, backoff: float, hot, total: int) -> Da
     def run(batches):
         tables = hot.value
         for batch in batches:
-            for first, last, raw, offs in text_slices(batch.column(2), limit=ROW_BYTES):
+            for first, last, raw, offs in text_slices(batch.column(2), limit=SLICE_BYTES):
                 ids, d = batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
                 grams, doc = _grams(raw, offs, order)
                 texts = last - first
