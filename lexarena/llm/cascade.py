@@ -1,13 +1,13 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
-Each rule is a Column that says whether a text is rejected. measure() times every rule and counts its
-rejections on a sample; the cascade asks the rules in descending order of rejections per second, and
-CASE stops at the first that rejects. The order changes the work, never the verdict.
+Each rule is a Column that says whether a text is rejected. measure() times every rule on a sample and
+counts which rules reject the same texts; the cascade asks the rules in the order that rejects most
+per second among the texts that the rules before have let through, and CASE stops at the first that
+rejects. A text is split into words once, for all rules. The order changes the work, never the verdict.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +20,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 TRIM = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 4_000
+REPEATS = 3
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,14 +53,18 @@ def n_chars_of(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def n_dup_lines(text: Column) -> Column:
-    """Lines that hold a word and equal an earlier line."""
-    lines = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
-    return let(F.filter(lines, lambda x: F.btrim(x, F.lit(TRIM)) != ""), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+def lines(text: Column) -> Column:
+    """The lines of a text that hold a word."""
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(TRIM)) != "")
 
 
-def n_repeat_words(text: Column, n: int = 3) -> Column:
-    """Words inside n-word windows that occur at least twice in the text, the first occurrence included.
+def line_counts(text: Column) -> Column:
+    """struct(n_dup_lines, n_lines): lines that hold a word and equal an earlier line, and lines that hold a word."""
+    return let(lines(text), lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).cast("long").alias("n_lines")))
+
+
+def n_repeat_words(w: Column, n: int = 3) -> Column:
+    """Words inside n-word windows that occur at least twice among the words w, the first occurrence included.
 
     Windows are compared by 64-bit hashes. Only a text with an equal pair sorts (hash, position); the
     sum over repeated windows of min(n, distance from the one before) is the number of words they cover.
@@ -84,7 +89,7 @@ def n_repeat_words(text: Column, n: int = 3) -> Column:
     def count(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0)
 
-    return let(words(text), lambda w: let(windows(w), count)).cast("long")
+    return let(windows(w), count).cast("long")
 
 
 def n_shouts(text: Column) -> Column:
@@ -100,14 +105,14 @@ class Rule:
     reject: Callable[[dict[str, Column]], Column]
 
 
-def measures(text: Column) -> dict[str, Column]:
+def measures(text: Column, w: Column) -> dict[str, Column]:
+    """The measures of a text with words w. Each is an expression of its own: what no rule asks for is not computed."""
     return {
-        "n_words": n_words(text),
+        "n_words": F.size(w).cast("long"),
         "word_chars": word_chars(text),
         "n_symbols": n_chars_of(text, SYMBOLS),
-        "n_dup_lines": n_dup_lines(text),
-        "n_repeat_words": n_repeat_words(text),
-        "n_lines": F.size(F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(TRIM)) != "")),
+        "line_counts": line_counts(text),
+        "n_repeat_words": n_repeat_words(w),
         "n_exclaims": n_chars_of(text, "!"),
         "n_shouts": n_shouts(text),
     }
@@ -117,40 +122,58 @@ RULES = (
     Rule("short", lambda m: m["n_words"] < 50),
     Rule("repeats", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     Rule("symbols", lambda m: 100 * m["n_symbols"] > 10 * m["n_words"]),
-    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
-    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    Rule("duplicate_lines", lambda m: let(m["line_counts"], lambda c: 100 * c["n_dup_lines"] > 30 * c["n_lines"])),
+    Rule("word_length", lambda m: let(m["word_chars"], lambda c: (c < 2 * m["n_words"]) | (c > 15 * m["n_words"]))),
     Rule("exclaims", lambda m: 100 * m["n_exclaims"] > 30 * m["n_words"]),
     Rule("shouting", lambda m: 100 * m["n_shouts"] > 30 * m["n_words"]),
 )
 BASE = ("short", "repeats")
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on a random sample of about `rows` documents.
-
-    The sample only sets the order of the rules. It is written once, and each rule is timed as an
-    aggregate over it, less the time of the same job without a rule; a first job warms the code up.
-    """
-    total = docs.count()
-    sample = save(docs.select("text").sample(fraction=min(1.0, rows / max(total, 1)), seed=4), "rule-sample")
-    m = measures(F.col("text"))
+@dataclass(frozen=True)
+class Measured:
+    """Seconds of each rule on the sample, and how many of its texts each set of rules (bits, in the rules' order) rejects."""
 
-    def timed(reject: Column) -> tuple[float, int, int]:
-        began = time.perf_counter()
-        hit, n = sample.agg(F.count_if(reject), F.count("*")).first()
-        return time.perf_counter() - began, hit, n
+    rules: tuple[Rule, ...]
+    seconds: tuple[float, ...]
+    rejected: dict[int, int]
 
-    plain = min(timed(F.length("text") < 0)[0] for _ in range(2))
-    found = []
-    for rule in rules:
-        seconds, hit, n = timed(F.coalesce(rule.reject(m), F.lit(False)))
-        found.append((rule, max(seconds - plain, 1e-3), hit / max(n, 1)))
-    return found
 
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> Measured:
+    """Costs and rejections on a random sample of about `rows` documents; they only set the order of the rules.
 
-def ordered(measured: list[tuple[Rule, float, float]]) -> list[Rule]:
-    """The rules by rejection per cost, best first; ties by name."""
-    return [r for r, _, _ in sorted(measured, key=lambda x: (-x[2] / x[1], x[1], x[0].name))]
+    The sample is written once, with its words, as those are split for all rules alike. One job asks a text
+    every rule in turn and reads the clock before and after each, so all rules meet the same texts in the
+    same warm code; it runs REPEATS times, and a rule's cost is its least sum of a run after the first.
+    The same job counts the sets of rules that reject a text.
+    """
+    total = docs.count()
+    sample = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=min(1.0, rows / max(total, 1)), seed=4)
+    sample = save(sample.withColumn("w", words(F.col("text"))), "rule-sample")
+    m = measures(F.col("text"), F.col("w"))
+    clock = lambda: F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")  # noqa: E731 - evaluated for each row
+    steps = [clock()]
+    for rule in rules:
+        steps += [F.coalesce(rule.reject(m), F.lit(False)).cast("long"), clock()]
+    asked = sample.select(F.array(*steps).alias("t"))
+    bits = sum((F.get("t", F.lit(2 * i + 1)) * (1 << i) for i in range(len(rules))), F.lit(0).cast("long"))
+    nanos = [F.sum(F.get("t", F.lit(2 * i + 2)) - F.get("t", F.lit(2 * i))).alias(f"s{i}") for i in range(len(rules))]
+    counted = asked.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"), *nanos)
+    runs = [counted.collect() for _ in range(REPEATS)]  # at most 2 ** rules rows
+    seconds = (min(sum(r[f"s{i}"] for r in run) for run in runs[1:]) / 1e9 for i in range(len(rules)))
+    return Measured(rules, tuple(max(x, 1e-9) for x in seconds), {r["bits"]: r["n"] for r in runs[0]})
+
+
+def ordered(measured: Measured) -> list[Rule]:
+    """The rules by rejection per cost among the texts that the rules before let through; ties by cost, then name."""
+    left, left_texts, out = list(range(len(measured.rules))), dict(measured.rejected), []
+    while left:
+        hit = {i: sum(n for bits, n in left_texts.items() if bits >> i & 1) for i in left}
+        best = min(left, key=lambda i: (-hit[i] / measured.seconds[i], measured.seconds[i], measured.rules[i].name))
+        left.remove(best)
+        left_texts = {bits: n for bits, n in left_texts.items() if not bits >> best & 1}
+        out.append(measured.rules[best])
+    return out
 
 
 def rejected_by(order: list[Rule], m: dict[str, Column]) -> Column:
@@ -164,25 +187,27 @@ def rejected_by(order: list[Rule], m: dict[str, Column]) -> Column:
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the base measures, base_failed, rejected_by and kept.
 
-    A null or empty text has no words, so it fails the rule on short texts; an empty table stays empty.
-    Columns of docs of the same names are replaced, other columns and repeated rows stay.
+    A null or empty text has no words, so it fails the rule on short texts; a text of any length is measured
+    whole; an empty table stays empty. Columns of docs of the same names are replaced, other columns and
+    repeated rows stay. rejected_by is the first of the measured order, so it may differ between runs
+    where several rules reject; kept doesn't.
     """
     order = ordered(measure(docs, rules))
     text = F.col("text")
-    m = measures(text)
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = docs.withColumns({n: m[n] for n in base})
-    known = m | {n: F.col(n) for n in base}
+    whole = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words")))
+    out = docs.withColumns({"_w": whole, "_l": line_counts(text)})
+    base = {"n_words": F.col("_w.n_words"), "word_chars": word_chars(text), "n_symbols": n_chars_of(text, SYMBOLS), "n_dup_lines": F.col("_l.n_dup_lines"), "n_repeat_words": F.col("_w.n_repeat_words")}
+    out = out.withColumns(base)
+    known = measures(text, F.array()) | {n: F.col(n) for n in base} | {"line_counts": F.col("_l")}
     failed = F.lit(False)
     for rule in (r for r in rules if r.name in BASE):
         failed = failed | rule.reject(known)
-    out = out.withColumn("base_failed", failed)
-    rest = [r for r in order if r.name not in BASE]
-    out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(rejected_by(rest, known)))
-    return out.withColumn("kept", F.col("rejected_by").isNull())
+    out = out.withColumns({"base_failed": failed, "rejected_by": rejected_by(order, known)})
+    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("_w", "_l")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that no rule rejects, columns unchanged."""
+    """The documents that no rule rejects, columns unchanged; a rule's measures are computed only where it is asked."""
     order = ordered(measure(docs, rules))
-    return docs.where(rejected_by(order, measures(F.col("text"))).isNull())
+    text = F.col("text")
+    return docs.where(let(words(text), lambda w: rejected_by(order, measures(text, w))).isNull())

@@ -185,7 +185,17 @@ def test_quality_measures(spark):
 
 def test_cascade_order():
     a, b, c = (cascade.Rule(n, None) for n in "abc")
-    assert [r.name for r in cascade.ordered([(a, 1.0, 0.1), (b, 0.1, 0.1), (c, 1.0, 0.9)])] == ["b", "c", "a"]
+    names = lambda seconds, rejected: [r.name for r in cascade.ordered(cascade.Measured((a, b, c), seconds, rejected))]
+    assert names((1.0, 0.1, 1.0), {0: 10, 1: 10, 2: 10, 4: 90}) == ["b", "c", "a"]
+    # b rejects most, but only what a rejects for less: it comes last
+    assert names((0.1, 0.2, 1.0), {0: 10, 3: 50, 4: 10}) == ["a", "c", "b"]
+
+
+def test_every_rule_is_measured_and_ordered(spark):
+    pairs = [(i, "word " * n) for i, n in enumerate((3, 200, 60, 0))] + [(9, "AB cd! " * 60), (10, "a # " * 80)]
+    m = cascade.measure(docs(spark, pairs))
+    assert len(m.seconds) == len(cascade.RULES) and sum(m.rejected.values()) == len(pairs) and all(x > 0 for x in m.seconds)
+    assert {r.name for r in cascade.ordered(m)} == {r.name for r in cascade.RULES}
 
 
 # ---- packed ids
