@@ -3,19 +3,23 @@
 Documents are summed into cells (source, language, topic); raking scales the cells' token mass in turn
 to each marginal's target shares. A cell's weight over its mass, scaled so that the expected tokens
 meet the budget and no probability passes 1, is the probability of each of its documents.
+
+A cell's weight is its mass times one factor for each of its levels, so what a step writes is a table of
+one dimension's levels, and cells stay as they are: a table of any size, summed by level before anything
+is shuffled. Raking ends when a round changes no factor by more than a tolerance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexarena.llm.cascade import n_words
-from lexarena.llm.common import keep
+from lexarena.llm.common import save
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 20
-LOCAL_CELLS = 200_000
+TOLERANCE = 1e-10
 
 
 def topic_of(text: Column) -> Column:
@@ -37,67 +41,83 @@ def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return mass.where("target > 0")
 
 
-def _rake_local(cells: list, targets: dict[str, dict], rounds: int) -> list[float]:
-    """Raking of at most LOCAL_CELLS collected cells; sums run over the cells' order."""
-    weight = [float(c["mass"]) for c in cells]
-    for _ in range(rounds):
-        for dim in DIMS:
-            total: dict = {}
-            for c, w in zip(cells, weight, strict=True):
-                total[c[dim]] = total.get(c[dim], 0.0) + w
-            share = {k: targets[dim].get(k, 0.0) for k, v in total.items() if v > 0}
-            whole = sum(share.values())
-            factor = {k: (share[k] / whole / total[k] if whole else 0.0) for k in share}
-            weight = [w * factor.get(c[dim], 0.0) for c, w in zip(cells, weight, strict=True)]
-    return weight
-
-
-def _rake_spark(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    """The same on a table of cells of any size, a checkpoint each round."""
-    out = keep(cells.withColumn("weight", F.col("mass").cast("double")))
-    for _ in range(rounds):
-        for dim in DIMS:
-            total = out.groupBy(dim).agg(F.sum("weight").alias("total")).where("total > 0")
-            total = total.join(targets[dim].withColumnRenamed("level", dim), dim)
-            whole = total.agg(F.sum("target")).first()[0] or 0.0
-            factor = total.select(dim, (F.col("target") / F.lit(whole or 1.0) / F.col("total")).alias("factor"))
-            out = out.join(factor, dim, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        out = keep(out)
-    return out
+def _weighted(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+    """cells with weight: the mass times the factors of their levels; a level without a factor has 0."""
+    weight = F.col("mass").cast("double")
+    for dim, f in factors.items():
+        cells = cells.join(f.select(F.col("level").alias(dim), F.col("f").alias(f"_{dim}")), dim, "left")
+        weight = weight * F.coalesce(f"_{dim}", F.lit(0.0))
+    return cells.withColumn("weight", weight).drop(*(f"_{d}" for d in factors))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, lang, topic, mass) with weight: shares of the whole, raked to the target shares.
 
     targets gives (level, target) for each dimension, in any units. A level without a target gets none;
-    targets of levels without mass are left out. Up to local_cells cells are raked on the driver, more
-    in Spark: the same arithmetic, so the same weights up to rounding.
+    targets of levels without mass are left out. It takes at most `rounds` rounds; marginals() tells how
+    far the weights are from the targets after them.
     """
-    if cells.limit(local_cells + 1).count() > local_cells:
-        return _rake_spark(cells, targets, rounds)
-    rows = sorted(cells.collect(), key=lambda c: tuple(str(c[d]) for d in DIMS))
-    goal = {d: {r["level"]: float(r["target"]) for r in targets[d].collect()} for d in DIMS}
-    weight = _rake_local(rows, goal, rounds)
-    return cells.sparkSession.createDataFrame([(*(c[d] for d in DIMS), c["mass"], w) for c, w in zip(rows, weight, strict=True)], "source string, lang string, topic string, mass long, weight double")
+    state = None
+    for dim in DIMS:
+        goal = targets[dim].select(F.lit(dim).alias("dim"), "level", F.col("target").cast("double").alias("target"), F.lit(1.0).alias("f"), F.lit(None).cast("double").alias("old"))
+        state = goal if state is None else state.unionAll(goal)
+    state, whole = save(state, "raking"), 1.0
+    for _ in range(rounds):  # one query a round: later dimensions read the factors of the earlier ones
+        factors, out = {d: state.where(F.col("dim") == d).select("level", "target", "f") for d in DIMS}, None
+        for dim in DIMS:
+            others = _weighted(cells, {d: f for d, f in factors.items() if d != dim})
+            total = others.groupBy(F.col(dim).alias("level")).agg(F.sum("weight").alias("total")).where("total > 0")
+            new = total.join(factors[dim].withColumnRenamed("f", "old"), "level").select(F.lit(dim).alias("dim"), "level", "target", (F.col("target") / F.col("total")).alias("f"), "old")
+            factors[dim] = new.select("level", "target", "f")
+            out = new if out is None else out.unionAll(new)
+        state = save(out, "raking")
+        ratio = F.try_divide("f", "old")
+        spread = (F.try_divide(F.max(ratio), F.min(ratio)) - 1).alias("spread")  # 0 once all factors of a dimension change alike, which cancels out
+        moved = {r["dim"]: r for r in state.groupBy("dim").agg(spread, F.sum("target").alias("whole")).collect()}
+        whole = moved[DIMS[-1]]["whole"] if moved else 0.0
+        if all(r["spread"] is not None and r["spread"] <= tolerance for r in moved.values()):
+            break
+    factors = {d: state.where(F.col("dim") == d).select("level", "f") for d in DIMS}
+    return _weighted(cells, factors).withColumn("weight", F.col("weight") / F.lit(whole or 1.0))
+
+
+def marginals(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dim, level, share, target, residual) of raked cells: the shares of the weights beside those asked for."""
+    out = None
+    for dim in DIMS:
+        got = raked.groupBy(F.col(dim).alias("level")).agg(F.sum("weight").alias("share")).where("share > 0").join(targets[dim], "level")
+        whole = got.agg(F.sum("target").alias("whole"))  # one row
+        part = got.crossJoin(F.broadcast(whole)).select(F.lit(dim).alias("dim"), "level", "share", (F.col("target") / F.col("whole")).alias("target"))
+        part = part.withColumn("residual", F.col("share") - F.col("target"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
-def probabilities(cells: DataFrame, budget: float) -> DataFrame:
-    """cells with probability = min(1, scale * weight / mass), the scale such that the expected tokens are the budget.
+def scale_for(cells: DataFrame, budget: float) -> float | None:
+    """The scale with which the cells' min(mass, scale * weight) add up to the budget; None if all mass isn't more than it.
 
-    Cells in descending weight / mass saturate first: with the first k at 1, the scale is what the
-    budget leaves over the weight that is left, and k is the least that keeps the next one under 1.
-    From that k on the scales only fall, so its scale is the largest of those that fit.
+    It starts from no cell at its mass; each step puts the cells that the scale would take beyond theirs
+    at it, and divides what the budget leaves by the weight of the others. The scale only grows, so a
+    step that adds no cell is the last, and each is one sum over the cells.
     """
-    ratio = cells.where("mass > 0").withColumn("ratio", F.col("weight") / F.col("mass"))
-    order = Window.orderBy(F.desc("ratio"), *DIMS)
-    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
-    scale = (F.lit(float(budget)) - F.coalesce(F.sum("mass").over(ahead), F.lit(0))) / F.sum("weight").over(rest)
-    fits = ratio.where("ratio > 0").withColumn("scale", scale).where("scale * ratio <= 1 AND scale >= 0")
-    best = fits.agg(F.max("scale").alias("scale"))
-    both = ratio.crossJoin(F.broadcast(best))  # one row
-    p = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.coalesce("scale", F.lit(float("inf"))) * F.col("ratio"))).otherwise(0.0)
-    return both.select(*DIMS, "mass", "weight", p.alias("probability"))
+    rows = cells.where("mass > 0 AND weight > 0")
+    if (rows.agg(F.sum("mass")).first()[0] or 0) <= budget:
+        return None
+    scale, full = 0.0, -1
+    while True:
+        at_mass = F.col("weight") * F.lit(scale) >= F.col("mass")
+        n, held, rest = rows.agg(F.count_if(at_mass), F.sum(F.when(at_mass, F.col("mass"))), F.sum(F.when(~at_mass, F.col("weight")))).first()
+        if n == full or not rest:
+            return scale
+        full, scale = n, max(scale, (budget - (held or 0)) / rest)
+
+
+def probabilities(cells: DataFrame, budget: float) -> DataFrame:
+    """cells with probability = min(1, scale * weight / mass), the scale such that the expected tokens are the budget."""
+    scale = scale_for(cells, budget)
+    ratio = F.col("weight") / F.col("mass")
+    p = F.when(F.col("weight") > 0, F.lit(1.0) if scale is None else F.least(F.lit(1.0), F.lit(scale) * ratio)).otherwise(0.0)
+    return cells.where("mass > 0").select(*DIMS, "mass", "weight", p.alias("probability"))
 
 
 def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = 0.5, power: float = 0.5, seed: int = 1, rounds: int = ROUNDS) -> DataFrame:
@@ -106,21 +126,21 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     targets maps a dimension (source, lang, topic) to shares of its levels; a dimension without one is
     flattened: shares in proportion to its token mass to `power`. share is the part of all tokens to
     expect. Null sources and languages are the level ''. A document without words has probability 0 and
-    isn't sampled. Rows that repeat a doc_id are sampled together. Columns of docs named like the new
-    ones are replaced. An empty table gives an empty one.
+    isn't sampled. Rows that repeat a doc_id are sampled together. A text of any length is read whole.
+    Columns of docs named like the new ones are replaced. An empty table gives an empty one.
     """
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     text = F.col("text")
     rows = docs.withColumns({"_source": level("source"), "_lang": level("lang"), "topic": topic_of(text), "n_tokens": n_words(text)})
     cells = rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("mass"))
-    cells = keep(cells)
+    cells = save(cells, "cells")
     spark = docs.sparkSession
     goal = {}
     for dim in DIMS:
         given = (targets or {}).get(dim)
-        goal[dim] = spark.createDataFrame(list(given.items()), "level string, target double") if given else flattened(cells, dim, power)
+        goal[dim] = spark.createDataFrame([(k, float(v)) for k, v in given.items()], "level string, target double") if given else flattened(cells, dim, power)
     total = cells.agg(F.sum("mass")).first()[0] or 0
-    cells = keep(probabilities(rake(cells, goal, rounds), share * total)) if total else cells.selectExpr(*DIMS, "mass", "0.0D weight", "0.0D probability")
+    cells = probabilities(save(rake(cells, goal, rounds), "raked"), share * total) if total else cells.selectExpr(*DIMS, "mass", "0.0D weight", "0.0D probability")
     cells = cells.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight", "probability")
     out = rows.drop("weight", "probability", "sampled").join(cells, ["_source", "_lang", "topic"], "left").drop("_source", "_lang")
     out = out.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)})
@@ -151,7 +171,8 @@ def oracle(share: float = 0.5, power: float = 0.5, seed: int = 1, rounds: int =
     r AS MATERIALIZED (SELECT source, lang, topic, mass, w, w / mass AS ratio FROM w{n}),
     k AS (SELECT ratio, ({share} * (SELECT sum(mass) FROM r) - coalesce(sum(mass) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM r WHERE ratio > 0),
-    s AS (SELECT min(scale) AS scale FROM k WHERE scale * ratio <= 1 AND scale >= 0),
+    e AS (SELECT k.scale, (SELECT sum(least(r.mass, k.scale * r.w)) FROM r) AS expected FROM (SELECT DISTINCT scale FROM k WHERE scale > 0) k),
+    s AS (SELECT scale FROM e ORDER BY abs(expected - {share} * (SELECT sum(mass) FROM r)), scale LIMIT 1),
     p AS (SELECT source, lang, topic, w, least(1.0, scale * ratio) AS probability FROM r, s)
     SELECT doc_id, topic, n_tokens, round(coalesce(w, 0), 6) AS weight, round(CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 0 END, 6) AS probability,
       CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 0 END AS sampled

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexarena.llm import bitpack, cascade, decontam, graph, lm, mixing, neardup, pii, revisit, rollup, toxicity
+from lexarena.llm.common import save
 from lexarena.llm.queries import ORACLES, QUERIES, vocabulary_file
 from tests.oracle import connect, rows
 
@@ -36,17 +37,29 @@ def test_query_equals_oracle(spark, name):
 # ---- mixing
 
 
+def rake_by_hand(cells, share, rounds=20):
+    weight = [float(c[3]) for c in cells]
+    for _ in range(rounds):
+        for k, dim in enumerate(mixing.DIMS):
+            total = Counter()
+            for c, w in zip(cells, weight, strict=True):
+                total[c[k]] += w
+            weight = [w * share[dim].get(c[k], 0.0) / total[c[k]] for c, w in zip(cells, weight, strict=True)]
+    return {tuple(c[:3]): w for c, w in zip(cells, weight, strict=True)}
+
+
 def test_mixing_meets_targets_and_both_rakings_agree(spark):
     cells = spark.createDataFrame([(s, la, t, (i + 1) * 100) for i, (s, la, t) in enumerate((s, la, t) for s in "abc" for la in ("en", "fr") for t in "xy")], "source string, lang string, topic string, mass long")
     share = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.7, "fr": 0.3}, "topic": {"x": 0.5, "y": 0.5}}
     goal = {d: spark.createDataFrame(list(v.items()), "level string, target double") for d, v in share.items()}
-    local = {tuple(r[:3]): r.weight for r in mixing.rake(cells, goal).collect()}
-    wide = {tuple(r[:3]): r.weight for r in mixing.rake(cells, goal, local_cells=3).select("source", "lang", "topic", "mass", "weight").collect()}
-    assert local == pytest.approx(wide)
+    raked = save(mixing.rake(cells, goal, rounds=20), "raked")
+    local = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
+    assert local == pytest.approx(rake_by_hand([tuple(r) for r in cells.collect()], share), abs=1e-9)
+    assert max(abs(r.residual) for r in mixing.marginals(raked, goal).collect()) < 1e-9
     for k, d in enumerate(mixing.DIMS):
         for level, want in share[d].items():
             assert sum(w for key, w in local.items() if key[k] == level) == pytest.approx(want, abs=1e-6)
-    p = mixing.probabilities(mixing.rake(cells, goal), 2000.0).collect()
+    p = mixing.probabilities(raked, 2000.0).collect()
     assert sum(r.mass * r.probability for r in p) == pytest.approx(2000.0) and all(0 <= r.probability <= 1 for r in p)
 
 
