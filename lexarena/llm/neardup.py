@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarena.llm.common import chain, keep, mix, save, shingle_sets, text_slices
+from lexarena.llm.common import chain, mix, save, shingle_sets, text_slices
 from lexarena.llm.graph import components
 
 SKETCH_LONGS = 16
@@ -166,16 +166,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     # each class first tries up to three of the hubs it met: the least, the greatest and a random one
     some_of = F.array_distinct(F.array(F.min("v"), F.max("v"), F.max(F.struct(F.xxhash64("u", "v"), "v"))["v"]))
-    tried = keep(met.where(alike & close).groupBy("u").agg(some_of.alias("v")).select("u", F.explode("v").alias("v")))
-    links = keep(_confirmed(tried, sets, percent))
-    parts = keep(components(links))
+    tried = save(met.where(alike & close).groupBy("u").agg(some_of.alias("v")).select("u", F.explode("v").alias("v")), "tried")
+    links = save(_confirmed(tried, sets, percent), "links")
+    parts = components(links)
 
     # then members of one bucket meet across components
     rows_of = _labelled(shared.select("key", F.col("rep").alias("node")), parts)
     rest = _across(rows_of, reps.select(F.col("rep").alias("node"), "n_shingles", "whole", "bands"), percent, block)
-    rest = keep(rest.join(tried, ["u", "v"], "left_anti"))
+    rest = save(rest.join(tried, ["u", "v"], "left_anti"), "rest")
     if not rest.isEmpty():
-        parts = components(links.unionAll(_confirmed(rest, sets, percent)))
+        stars = parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        parts = components(stars.unionAll(_confirmed(rest, sets, percent)))
 
     class_of = _labelled(reps.select("s1", "s2", "n_shingles", F.col("rep").alias("node")), parts).withColumnRenamed("component", "component_id")
     # a doc_id with several rows joins the classes of all its rows
