@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from lexarena.llm.common import discard, save
 
 HELD = 500_000
-HOT = 1_000
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -45,25 +44,26 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def _with_least(pairs: DataFrame, most: int) -> DataFrame:
-    """pairs (u, v), at most `most` of them, with m, the least of u and its v's.
+def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (u, v) with m, the least of u and its v's; the table of m).
 
-    The nodes that hold over 1 / HOT of that many pairs are fewer than HOT: their m is broadcast, so that no
-    task gets all pairs of one; the others' m comes by a join on u.
+    The table of m is written, so that both sides of the join are plain shuffles: Spark then splits a
+    node that holds a large part of all pairs, or broadcasts m where it is small.
     """
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    hot = F.broadcast(least.where(F.col("n") * HOT > F.lit(most)).select("u", "m"))
-    others = pairs.join(hot.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
-    return pairs.join(hot, "u").select("u", "v", "m").unionAll(others.select("u", "v", "m"))
+    least = save(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return pairs.join(least, "u").select("u", "v", "m"), least
 
 
-def _star(edges: DataFrame, n: int) -> DataFrame:
-    """One large-star step then one small-star step over n edges (u, v) with u > v."""
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _with_least(both, 2 * n).where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    small = _with_least(large, 2 * n)
-    small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-    return small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _star(edges: DataFrame) -> DataFrame:
+    """One large-star step then one small-star step over edges (u, v) with u > v, written as a table."""
+    both, least = _with_least(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    large = save(both.where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+    small, low = _with_least(large)
+    small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+    out = save(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    for t in (edges, least, large, low):
+        discard(t)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -77,8 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = sign(edges)
     while seen[0]:
-        before, edges = edges, save(_star(edges, seen[0]), "edges")
-        discard(before)
+        edges = _star(edges)
         found = sign(edges)
         if found == seen:
             break
