@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, even where the optimizer would copy its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _latin_fold() -> tuple[str, str]:
     """Accented Latin letters (U+00C0 to U+024F) and the base letters they decompose to."""
     pairs = []
@@ -91,8 +97,8 @@ def identifier_from_archive_url(url: Column) -> Column:
 
 
 def strip_json_fence(reply: Column) -> Column:
-    """A reply without a leading ```json line and a trailing fence."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```json\s*", ""), r"\s*```$", ""))
+    """A reply without white space around it, a leading ```json line and a trailing fence."""
+    return F.regexp_replace(F.regexp_replace(reply, r"^\s*(?:```json\s*)?", ""), r"\s*(?:```)?\s*$", "")
 
 
 def absolute_url(base: str, url: Column) -> Column:

@@ -77,3 +77,27 @@ def run_summary(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def slowest(results: DataFrame, n: int = 5) -> DataFrame:
     return results.orderBy(F.desc_nulls_last("seconds"), "node").limit(n)
+
+
+def results_by_level(matches: DataFrame, level: Column, won: Column) -> DataFrame:
+    """(level, n, wins, win_percent) of matches by the opponent's rating level."""
+    out = matches.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.count_if(won).alias("wins"))
+    return out.withColumn("win_percent", F.round(F.col("wins") * 100.0 / F.col("n"), 6))
+
+
+def topic_success(rows: DataFrame, keywords: str, won: Column) -> DataFrame:
+    """(keyword, n, success_percent) of records by keyword."""
+    each = rows.select(F.explode(F.array_distinct(keywords)).alias("keyword"), won.alias("won"))
+    return each.groupBy("keyword").agg(F.count("*").alias("n"), F.round(F.count_if("won") * 100.0 / F.count("*"), 6).alias("success_percent"))
+
+
+def display_page(rows: DataFrame, order: list[str], size: int = 20) -> DataFrame:
+    """The first rows in order, each with how many more there are."""
+    total = rows.agg(F.greatest(F.count("*") - size, F.lit(0)).alias("more"))  # one row
+    return rows.orderBy(*order).limit(size).crossJoin(F.broadcast(total))
+
+
+def storage_size(files: DataFrame, size: Column) -> DataFrame:
+    """One row: files, bytes and megabytes."""
+    total = F.coalesce(F.sum(size), F.lit(0)).cast("long")
+    return files.agg(F.count("*").alias("files"), total.alias("bytes")).withColumn("megabytes", F.bround(F.col("bytes") / F.lit(float(1 << 20)), 2))

@@ -81,15 +81,36 @@ def migrate_ratings(ratings: DataFrame) -> DataFrame:
     return ratings.withColumn("advogado_id", replace_value("LAWYER_ID_NORMALIZED", F.col("advogado_id")))
 
 
-def migrate_decisions(decisions: DataFrame, normalize: Callable[[Column], Column]) -> DataFrame:
-    out = decisions.withColumn("numero_processo", replace_value("CASE_NUMBER", F.col("numero_processo")))
-    for c in ("polo_ativo", "polo_passivo"):
-        out = out.withColumn(c, replace_list("PARTY_NAME", F.col(c)))
-    for c in ("advogados_polo_ativo", "advogados_polo_passivo"):
-        out = out.withColumns({f"{c}_ids": replace_list("LAWYER_ID_NORMALIZED", F.col(c), normalize), c: replace_list("LAWYER_FULL_STRING", F.col(c))})
+#: The personal columns of a decision: identifier kinds of the value and, for lawyers, of the normalized name beside it.
+DECISION_KINDS = {"numero_processo": "CASE_NUMBER", "polo_ativo": "PARTY_NAME", "polo_passivo": "PARTY_NAME", "advogados_polo_ativo": "LAWYER_FULL_STRING", "advogados_polo_passivo": "LAWYER_FULL_STRING"}
+LAWYERS = ("advogados_polo_ativo", "advogados_polo_passivo")
+
+
+def migrate_decisions(decisions: DataFrame, normalize: Callable[[Column], Column], raw: str | None = None) -> DataFrame:
+    """decisions with case numbers, parties and lawyers replaced, lawyers' normalized ids in *_ids, and the same fields of a raw JSON column."""
+    out = decisions
+    if raw:
+        out = out.withColumn(raw, replace_json(F.col(raw), DECISION_KINDS))
+    for c in LAWYERS:
+        out = out.withColumn(f"{c}_ids", replace_list("LAWYER_ID_NORMALIZED", F.col(c), normalize))
+    for c, kind in DECISION_KINDS.items():
+        out = out.withColumn(c, replace_value(kind, F.col(c)) if c == "numero_processo" else replace_list(kind, F.col(c)))
     return out
 
 
+def decision_values(decisions: DataFrame, normalize: Callable[[Column], Column], seq: str) -> DataFrame:
+    """(pii_type, original_value, value_for_uuid_ref, seq) of every personal value of decisions, for extend_map()."""
+    entry = lambda kind, ref: lambda v: F.struct(F.lit(kind).alias("pii_type"), v.alias("original_value"), ref(v).alias("value_for_uuid_ref"))
+    parts = []
+    for c, kind in DECISION_KINDS.items():
+        items = F.array(F.col(c)) if c == "numero_processo" else F.col(c)
+        items = F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+        parts.append(F.transform(items, entry(kind, lambda v: v)))
+        if c in LAWYERS:
+            parts.append(F.transform(items, entry("LAWYER_ID_NORMALIZED", normalize)))
+    return decisions.select(F.col(seq).alias("seq"), F.explode(F.concat(*parts)).alias("v")).select("v.*", "seq")
+
+
 def migrate_matches(matches: DataFrame) -> DataFrame:
     out = matches.withColumn("numero_processo", replace_value("CASE_NUMBER", F.col("numero_processo")))
     for c in ("equipe_a_ids", "equipe_b_ids"):

@@ -49,6 +49,11 @@ def listing_statistics(rows: DataFrame, date: str, megabytes_each: int = 5) -> D
     )
 
 
+def listing_years(rows: DataFrame, date: str, sufix: str) -> DataFrame:
+    """(year, n, supplements) of a listing."""
+    return rows.groupBy(F.year(date).alias("year")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(sufix, F.lit("")) != "").alias("supplements"))
+
+
 def coverage(expected: DataFrame, archived: DataFrame) -> DataFrame:
     """(date, in_expected, in_archive) of every date on either side, by one full outer join."""
     e = expected.select("date").distinct().withColumn("in_expected", F.lit(True))

@@ -46,9 +46,18 @@ def insert_ignore(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def with_new_ids(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with ids that follow the table's largest. Ids are dense within the batch of new rows."""
+    """Rows with ids that follow the table's largest, dense and in order.
+
+    Rows are dealt by ranges of the order and numbered inside each; a range starts where the ranges before
+    it end. Only the ranges' sizes, one row each, come together.
+    """
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top)).withColumn("id", F.col("id") + F.col("top")).drop("top")
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    starts = sizes.select("_part", before.alias("start")).crossJoin(F.broadcast(top))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_part").withColumn("id", here + F.col("start") + F.col("top")).drop("_part", "start", "top")
 
 
 def missing_from(items: DataFrame, known: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexarena.functions.text import let
+
 KAPPA = 1e-4
 # Fixed: the tau of partial wins, and what each outcome means for team A (1 win, 0 loss, 0.5 draw).
 PARTIAL_TAU = 0.7
@@ -45,24 +47,36 @@ def outcome_of(result: Column, mapping: dict[str, str] | None = None) -> Column:
 
 
 def rate_teams(team_a: Column, team_b: Column, outcome: Column, model: Model = Model()) -> Column:
-    """struct(a, b) of two teams' ratings (arrays of struct mu, sigma) after a match; an unknown outcome raises."""
+    """struct(a, b) of two teams' ratings (arrays of struct mu, sigma) after a match; an unknown outcome raises.
+
+    The teams' sums are taken first, then what follows from them, then each player's update.
+    """
     score = F.create_map(*(F.lit(x) for kv in OUTCOMES.items() for x in kv))[outcome]
     won = F.coalesce(score, F.raise_error(F.concat(F.lit("unknown outcome "), F.coalesce(outcome, F.lit("null")))).cast("double"))
     tau2 = F.when(outcome.isin("partial_a", "partial_b"), PARTIAL_TAU**2).otherwise(model.tau**2)
     total = lambda team, f: F.aggregate(team, F.lit(0.0), lambda s, p: s + f(p))
-    v = lambda p: p["sigma"] * p["sigma"] + tau2
-    s2a, s2b = total(team_a, v), total(team_b, v)
-    c = F.sqrt(s2a + s2b + 2 * model.beta**2)
-    p = 1 / (1 + F.exp((total(team_b, lambda x: x["mu"]) - total(team_a, lambda x: x["mu"])) / c))
+    v = lambda p: p["sigma"] * p["sigma"]
+    sums = F.struct(
+        total(team_a, lambda x: x["mu"]).alias("mu_a"), total(team_b, lambda x: x["mu"]).alias("mu_b"), tau2.alias("tau2"), won.alias("won"),
+        (total(team_a, v) + F.size(team_a) * tau2).alias("s2_a"), (total(team_b, v) + F.size(team_b) * tau2).alias("s2_b"))
+
+    def chances(t: Column) -> Column:
+        c = F.sqrt(t["s2_a"] + t["s2_b"] + 2 * model.beta**2)
+        return F.struct(c.alias("c"), (1 / (1 + F.exp((t["mu_b"] - t["mu_a"]) / c))).alias("p"), t.alias("t"))
+
+    def steps(q: Column) -> Column:
+        t, c, p = q["t"], q["c"], q["p"]
+        of = lambda s2, sign: F.struct(
+            (sign * (t["won"] - p) / c).alias("omega"), (F.sqrt(s2) / c / (c * c) * p * (1 - p)).alias("delta"))
+        return F.struct(t["tau2"].alias("tau2"), of(t["s2_a"], 1).alias("a"), of(t["s2_b"], -1).alias("b"))
 
-    def update(team: Column, s2: Column, sign: int) -> Column:
-        omega = sign * (s2 / c) * (won - p)
-        delta = (F.sqrt(s2) / c) * (s2 / (c * c)) * p * (1 - p)
-        one = lambda x: F.struct(
-            (x["mu"] + v(x) / s2 * omega).alias("mu"), F.sqrt(v(x) * F.greatest(1 - v(x) / s2 * delta, F.lit(KAPPA))).alias("sigma"))
-        return F.transform(team, one)
+    def updated(u: Column) -> Column:
+        one = lambda k: lambda x: let(
+            x["sigma"] * x["sigma"] + u["tau2"],
+            lambda w: F.struct((x["mu"] + w * k["omega"]).alias("mu"), F.sqrt(w * F.greatest(1 - w * k["delta"], F.lit(KAPPA))).alias("sigma")))
+        return F.struct(F.transform(team_a, one(u["a"])).alias("a"), F.transform(team_b, one(u["b"])).alias("b"))
 
-    return F.struct(update(team_a, s2a, 1).alias("a"), update(team_b, s2b, -1).alias("b"))
+    return let(let(let(sums, chances), steps), updated)
 
 
 def win_probability(mu_a: Column, sigma2_a: Column, mu_b: Column, sigma2_b: Column, model: Model = Model()) -> Column:
@@ -70,6 +84,18 @@ def win_probability(mu_a: Column, sigma2_a: Column, mu_b: Column, sigma2_b: Colu
     return 1 / (1 + F.exp((mu_b - mu_a) / F.sqrt(sigma2_a + sigma2_b + 2 * model.beta**2)))
 
 
+def draw_probability(mu_a: Column, sigma2_a: Column, mu_b: Column, sigma2_b: Column, margin: float = 1.0, model: Model = Model()) -> Column:
+    """Chance that two teams end within `margin` of each other, by the same logistic form."""
+    c = F.sqrt(sigma2_a + sigma2_b + 2 * model.beta**2)
+    below = lambda d: 1 / (1 + F.exp((mu_a - mu_b - d) / c))
+    return below(F.lit(margin)) - below(F.lit(-margin))
+
+
+def area_ratings(matches: DataFrame, area: str, order: list[str], model: Model = Model()) -> DataFrame:
+    """Ratings of each legal area for itself: the same fold with the area as its group."""
+    return rate_sequence(matches, area, order, model)
+
+
 def decayed_sigma(sigma: Column, idle_days: Column, per_day: float = 0.01, most: float = 25.0 / 3) -> Column:
     """Sigma after idle days: its square grows by a constant a day, up to the prior."""
     return F.least(F.sqrt(sigma * sigma + F.greatest(idle_days, F.lit(0)) * per_day**2), F.lit(most))
@@ -103,26 +129,56 @@ def prepare_matches(decisions: DataFrame, mapping: dict[str, str] | None = None)
     return teams.where((F.size("team_a") > 0) & (F.size("team_b") > 0) & ~F.arrays_overlap("team_a", "team_b") & F.col("outcome").isNotNull())
 
 
-def rate_sequence(matches: DataFrame, group: str, order: list[str], model: Model = Model()) -> DataFrame:
-    """(group, player, mu, sigma, matches) after every match of each group in order.
+def rate_history(matches: DataFrame, group: str, order: list[str], stored: DataFrame | None = None, model: Model = Model(), final: bool = False) -> DataFrame:
+    """(group, order columns, player, side, mu_before, sigma_before, mu, sigma, matches) of each player of each match, in order.
 
-    Ratings depend on all earlier matches of their players, so the unit of parallel work is the group
-    (a court, an area, a component); its matches stream through one fold, sorted inside the task.
-    matches: the group and order columns, team_a and team_b (arrays of longs or strings), outcome.
+    matches: the group and order columns, team_a and team_b (arrays of longs or strings), outcome. A match
+    reads its players' latest ratings: those after their last match of the group, else the stored ones
+    (group, player, mu, sigma, matches), else the model's; matches counts the stored and this one. A rating
+    depends on all earlier matches of both teams, so a group (a court, an area) is the unit of parallel
+    work: its rows are sorted by Spark and stream through one fold, which holds its players only, never its
+    matches. With final, one row (group, player, mu, sigma, matches) of each player instead, stored ones included.
     """
-    player = dict(matches.dtypes)["team_a"].removeprefix("array<").removesuffix(">")
-    kind = dict(matches.dtypes)[group]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        default = (model.mu, model.sigma, 0)
-        for row in pdf.sort_values(order, na_position="last").itertuples(index=False):
-            a, b = list(row.team_a), list(row.team_b)
-            new_a, new_b = _update([held.get(x, default)[:2] for x in a], [held.get(x, default)[:2] for x in b], row.outcome, model)
-            for x, (mu, sigma) in zip(a + b, new_a + new_b, strict=True):
-                held[x] = (mu, sigma, held.get(x, default)[2] + 1)
-        rows = [(pdf[group].iloc[0], k, *v) for k, v in held.items()]
-        return pd.DataFrame(rows, columns=[group, "player", "mu", "sigma", "matches"])
-
-    columns = list(dict.fromkeys([group, *order, "team_a", "team_b", "outcome"]))
-    return matches.select(*columns).groupBy(group).applyInPandas(fold, f"{group} {kind}, player {player}, mu double, sigma double, matches long")
+    types = dict(matches.dtypes)
+    player, kind = types["team_a"].removeprefix("array<").removesuffix(">"), types[group]
+    order = [c for c in order if c != group]
+    rows = matches.select(group, F.lit(1).alias("_what"), *order, "team_a", "team_b", "outcome", F.lit(0.0).alias("mu"), F.lit(0.0).alias("sigma"), F.lit(0).cast("long").alias("matches"))
+    if stored is not None:
+        none = [F.lit(None).cast(types[c]).alias(c) for c in (*order,)]
+        first = stored.select(F.col(group).cast(kind), F.lit(0).alias("_what"), *none, F.array(F.col("player").cast(player)).alias("team_a"), F.array().cast(f"array<{player}>").alias("team_b"), F.lit("").alias("outcome"), "mu", "sigma", F.col("matches").cast("long"))
+        rows = rows.unionAll(first)
+    rows = rows.repartition(group).sortWithinPartitions(group, "_what", *(F.asc_nulls_last(c) for c in order))
+    end = ["player", "mu", "sigma", "matches"]
+    names = [group, *end] if final else [group, *order, "player", "side", "mu_before", "sigma_before", "mu", "sigma", "matches"]
+    kinds = {group: kind, "player": player, "side": "string", "matches": "long"} | {c: types[c] for c in order}
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names)
+
+    def fold(batches):
+        default, held, now = (model.mu, model.sigma, 0), {}, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if now is None or row[0] != now[0]:
+                    out += [(*now, k, *v) for k, v in held.items()] if final and now else []
+                    held, now = {}, (row[0],)
+                n = len(order) + 2
+                a, b, outcome = list(row[n]), list(row[n + 1]), row[n + 2]
+                if row[1] == 0:
+                    held[a[0]] = (row[n + 3], row[n + 4], row[n + 5])
+                    continue
+                old = [held.get(x, default) for x in a + b]
+                new_a, new_b = _update([x[:2] for x in old[: len(a)]], [x[:2] for x in old[len(a) :]], outcome, model)
+                for i, (x, was, (mu, sigma)) in enumerate(zip(a + b, old, new_a + new_b, strict=True)):
+                    held[x] = (mu, sigma, was[2] + 1)
+                    if not final:
+                        out.append((*now, *row[2:n], x, "a" if i < len(a) else "b", was[0], was[1], mu, sigma, was[2] + 1))
+            yield pd.DataFrame(out, columns=names)
+        if final and now:
+            yield pd.DataFrame([(*now, k, *v) for k, v in held.items()], columns=names)
+
+    return rows.mapInPandas(fold, schema)
+
+
+def rate_sequence(matches: DataFrame, group: str, order: list[str], model: Model = Model(), stored: DataFrame | None = None) -> DataFrame:
+    """(group, player, mu, sigma, matches) after every match of each group in order; see rate_history."""
+    return rate_history(matches, group, order, stored, model, final=True)

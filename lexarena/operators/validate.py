@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexarena.functions.text import let
+
 
 def _kind(v: Column) -> Column:
     """'null', 'string', 'list', 'dict' or 'other' for a VARIANT."""
@@ -26,30 +28,37 @@ def _falsy(v: Column, kind: Column) -> Column:
     return (kind == "null") | empty | ((kind == "other") & _text(v).isin("0", "false", "0.0"))
 
 
-def _side(v: Column, name: str) -> Column:
-    kind = _kind(v)
-    items = F.try_variant_get(v, "$", "array<variant>")
-    filled = F.exists(items, lambda x: ~_falsy(x, _kind(x)))
-    return (
-        F.when(_falsy(v, kind), f"{name}_missing").when(~kind.isin("string", "list"), f"{name}_type")
-        .when((kind == "list") & ~F.coalesce(filled, F.lit(False)), f"{name}_empty_items")
-    )
+def _facts(v: Column) -> Column:
+    """struct(kind, text, falsy, filled) of a VARIANT; filled: a list has an item that isn't empty."""
+    items = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    fact = lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), _falsy(x["v"], x["kind"]).alias("falsy"))
+    kinds = let(v, lambda x: F.struct(x.alias("v"), _kind(x).alias("kind")))
+    full = lambda x: F.coalesce(F.exists(items(x["v"]), lambda i: let(F.struct(i.alias("v"), _kind(i).alias("kind")), lambda y: ~_falsy(y["v"], y["kind"]))), F.lit(False))
+    return let(let(kinds, fact), lambda x: F.struct(x["kind"].alias("kind"), _text(x["v"]).alias("text"), x["falsy"].alias("falsy"), F.when(x["kind"] == "list", full(x)).alias("filled")))
+
+
+def _side(f: Column, name: str) -> Column:
+    return F.when(f["falsy"], f"{name}_missing").when(~f["kind"].isin("string", "list"), f"{name}_type").when((f["kind"] == "list") & ~f["filled"], f"{name}_empty_items")
 
 
 def reject_reason(record: Column) -> Column:
     """Why a raw decision (VARIANT) is invalid, or null; the first rule that fails names the reason."""
-    get = lambda path: F.try_variant_get(record, path, "variant")
-    number, result, parties = get("$.numero_processo"), get("$.resultado"), get("$.partes")
-    old = (_kind(parties) == "dict") & ~_falsy(parties, _kind(parties))
-    active = F.when(old, get("$.partes.requerente")).otherwise(get("$.polo_ativo"))
-    passive = F.when(old, get("$.partes.requerido")).otherwise(get("$.polo_passivo"))
-    return F.coalesce(
-        F.when(_kind(record) != "dict", "not_a_record"),
-        F.when(_falsy(number, _kind(number)), "numero_missing").when(_kind(number) != "string", "numero_type").when(~_text(number).rlike(r"(?U)\A[\d.-]{15,25}\z"), "numero_pattern"),
-        _side(active, "ativo"),
-        _side(passive, "passivo"),
-        F.when(_falsy(result, _kind(result)), "resultado_missing").when(_kind(result) != "string", "resultado_type"),
-    )
+
+    def reason(r: Column) -> Column:
+        get = lambda path: F.try_variant_get(r, path, "variant")
+        parties = _facts(get("$.partes"))
+        old = let(parties, lambda p: (p["kind"] == "dict") & ~p["falsy"])
+        sides = let(old, lambda o: F.struct(F.when(o, get("$.partes.requerente")).otherwise(get("$.polo_ativo")).alias("a"), F.when(o, get("$.partes.requerido")).otherwise(get("$.polo_passivo")).alias("p")))
+        facts = let(sides, lambda s: F.struct(_facts(get("$.numero_processo")).alias("n"), _facts(get("$.resultado")).alias("r"), _facts(s["a"]).alias("a"), _facts(s["p"]).alias("p"), _kind(r).alias("k")))
+        return let(facts, lambda f: F.coalesce(
+            F.when(f["k"] != "dict", "not_a_record"),
+            F.when(f["n"]["falsy"], "numero_missing").when(f["n"]["kind"] != "string", "numero_type").when(~f["n"]["text"].rlike(r"(?U)\A[\d.-]{15,25}\z"), "numero_pattern"),
+            _side(f["a"], "ativo"),
+            _side(f["p"], "passivo"),
+            F.when(f["r"]["falsy"], "resultado_missing").when(f["r"]["kind"] != "string", "resultado_type"),
+        ))
+
+    return let(record, reason)
 
 
 def split_valid(records: DataFrame, column: str = "record") -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarena.functions.text import tolerant_map
 from lexarena.operators import analytics, listings, queues
 from lexarena.plans.registry import register
 from lexarena.session import table
@@ -132,12 +133,13 @@ def listing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-    SELECT count(*) AS total, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'failed') AS failed,
-      round(count(*) FILTER (s = 'completed') * 100.0 / count(*), 6) AS completion_rate
-    FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS s FROM orders)""")
+    SELECT count(*) AS total, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s = 'downloading') AS downloading, count(*) FILTER (s = 'downloaded') AS downloaded,
+      count(*) FILTER (s = 'uploading') AS uploading, count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'failed') AS failed, round(count(*) FILTER (s = 'completed') * 100.0 / count(*), 6) AS completion_rate
+    FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 4 = 0 THEN 'downloading' WHEN o_orderkey % 4 = 1 THEN 'downloaded' WHEN o_orderkey % 4 = 2 THEN 'uploading' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'failed' END AS s FROM orders)""")
 def pipeline_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = queue(spark, sf_dir).withColumn("status", F.when(F.col("status") == "F", "completed").when(F.col("status") == "O", "pending").otherwise("failed"))
-    return queues.completion(named, ["pending", "completed", "failed"]).withColumn("completion_rate", F.round("completion_rate", 6))
+    under_way = F.when(F.col("status") == "F", "completed").when(F.col("url") % 4 == 0, "downloading").when(F.col("url") % 4 == 1, "downloaded").when(F.col("url") % 4 == 2, "uploading")
+    named = queue(spark, sf_dir).withColumn("status", under_way.when(F.col("status") == "O", "pending").otherwise("failed"))
+    return queues.completion(named, ["pending", "downloading", "downloaded", "uploading", "completed", "failed"]).withColumn("completion_rate", F.round("completion_rate", 6))
 
 
 _TABLES = ("customer", "lineitem", "orders", "part", "supplier", "events")
@@ -211,9 +213,9 @@ def missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(spark, sf_dir).where("in_expected AND NOT in_archive").select("date")
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def anti_join_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return queues.insert_ignore(known, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
 
 
@@ -230,12 +232,14 @@ def disjunctive_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
     WITH u AS (SELECT o_custkey AS id, max(o_totalprice) AS mu, max_by(o_orderkey, o_orderdate) IS NOT NULL AS seen FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
     SELECT c_custkey AS advogado_id, coalesce(u.mu, c_acctbal) AS mu, coalesce(CASE WHEN u.id IS NOT NULL THEN 8.0 END, CAST(c_nationkey AS DOUBLE)) AS sigma,
-      CAST(3 + CASE WHEN u.id IS NOT NULL THEN 1 ELSE 0 END AS INT) AS total_partidas FROM customer LEFT JOIN u ON u.id = c_custkey""")
+      CAST(3 + CASE WHEN u.id IS NOT NULL THEN 1 ELSE 0 END AS INT) AS total_partidas FROM customer LEFT JOIN u ON u.id = c_custkey
+    UNION ALL SELECT -s_suppkey - 1, s_acctbal, 8.0, 0 FROM supplier""")
 def upsert_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = ratings(spark, sf_dir).withColumn("total_partidas", F.lit(3))
     updates = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("advogado_id")).agg(F.max("o_totalprice").alias("mu"))
     updates = updates.withColumns({"sigma": F.lit(8.0), "increment": F.lit(True)})
-    return queues.upsert_ratings(held, updates)
+    fresh = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("advogado_id"), F.col("s_acctbal").alias("mu"), F.lit(8.0).alias("sigma"), F.lit(False).alias("increment"))
+    return queues.upsert_ratings(held, updates.unionByName(fresh))
 
 
 @register("SELECT user_id, event_id, ts, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -280,7 +284,7 @@ def daily_event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total FROM events")
 def json_field_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.from_json("props", "k long")["k"]
+    k = F.try_element_at(tolerant_map(F.col("props")), F.lit("k")).cast("long")
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 

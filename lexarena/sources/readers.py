@@ -46,6 +46,21 @@ def read_envelopes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return files.where("v IS NOT NULL").select("path", name, *fields, decisions), files.where("v IS NULL").select("path")
 
 
+def yearly_counts(replies: DataFrame) -> DataFrame:
+    """(year, items) of a listing API's replies (year, reply): the length of a JSON list, 0 for anything else."""
+    items = F.try_variant_get(F.try_parse_json("reply"), "$", "array<variant>")
+    return replies.select("year", F.coalesce(F.size(items), F.lit(0)).alias("items"))
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON state file; a missing file or one that isn't JSON is an empty table."""
+    try:
+        found = spark.read.option("wholetext", True).text(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return found.select(F.from_json("value", schema).alias("s")).where("s IS NOT NULL AND to_json(s) <> '{}'").select("s.*")
+
+
 def read_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
     """Ratings by advogado_id; a missing file is an empty table."""
     schema = "advogado_id string, mu double, sigma double, total_partidas int"

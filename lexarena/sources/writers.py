@@ -94,3 +94,15 @@ def merge_summary(summary: DataFrame, key: str, value: str) -> DataFrame:
 def compact(df: DataFrame, folder: str, files: int) -> None:
     """A table rewritten as a few files in a new folder."""
     df.repartition(files).write.mode("errorifexists").parquet(folder)
+
+
+def write_state(state: DataFrame, folder: str) -> None:
+    """A one-row state as JSON, to a new folder or over an old state."""
+    state.coalesce(1).write.mode("overwrite").json(folder)
+
+
+def replace_rows(rows: DataFrame, folder: str, version: str) -> str:
+    """All rows of a table as a new version beside the old ones; readers move on to it by its path."""
+    target = f"{folder}/version={version}"
+    rows.write.mode("errorifexists").parquet(target)
+    return target
