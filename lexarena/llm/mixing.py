@@ -19,7 +19,7 @@ from lexarena.llm.common import save
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 20
-TOLERANCE = 1e-10
+TOLERANCE = 1e-9
 
 
 def topic_of(text: Column) -> Column:

@@ -5,8 +5,9 @@ of its own; both back off to the continuation counts of the two classes together
 weighs only by what its class adds. A text's evidence is the difference of the two log-likelihoods,
 divided by length: over the whole text and, as toxic expressions are short, the largest over windows of
 1, 4, 16 and 64 words. A logistic curve fitted on labelled texts that the counts have not seen turns
-these into a score, and the same texts choose the discount: a large one leaves expressions that a class
-has shown a few times only to the shared counts.
+these into a score, and the same texts choose the discount (a large one leaves expressions that a class
+has shown a few times only to the shared counts) and the point of the curve that scores 0.5: the one
+with the highest F1.
 
 The models are fitted on a bounded sample of labelled texts (TRAIN_DOCS of each class at most, by hash
 of doc_id) with all their bigrams. What is broadcast grows with the bigrams of that sample, not with
@@ -28,6 +29,7 @@ WINDOWS = (1, 4, 16, 64)
 DISCOUNTS = (0.75, 1.5, 3.0, 6.0, 12.0)
 FIT_SHARE = 4  # one labelled text in this many fits the curve, the others the counts
 CHUNK = 1 << 20  # bigrams that the driver's arithmetic takes at once
+PARTS = 8  # in which the counts come to the driver
 
 
 def _clean(raw: np.ndarray) -> np.ndarray:
@@ -73,9 +75,16 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 def _fetched(counts: DataFrame) -> list[np.ndarray]:
-    """The columns of a table of counts; the Arrow table itself is freed."""
-    t = counts.toArrow()
-    return [t.column(c).to_numpy() for c in t.column_names]
+    """The columns of a table of counts, brought over in PARTS parts, so that no second copy of the whole is held."""
+    counts = save(counts, "toxicity-counts")
+    n, at = counts.count(), 0
+    out = [np.empty(n, np.int32 if kind == "int" else np.int64) for _, kind in counts.dtypes]
+    for p in range(PARTS):
+        t = counts.where(F.pmod(F.xxhash64("before", "word"), F.lit(PARTS)) == p).toArrow()
+        for a, c in zip(out, t.column_names, strict=True):
+            a[at : at + t.num_rows] = t.column(c).to_numpy()
+        at += t.num_rows
+    return out
 
 
 def _chunks(n: int) -> list[slice]:
@@ -88,14 +97,15 @@ class Index:
     def __init__(self, counts: DataFrame):
         before, word, *n = _fetched(counts)
         before, word = before.view(np.uint64), word.view(np.uint64)
-        key = np.empty(len(word), np.uint64)
-        for s in _chunks(len(word)):
-            key[s] = chain([before[s], word[s]])
-        order = np.argsort(key)
-        self.bigrams = key[order]
-        del key
         self.words = np.union1d(np.unique(word), np.unique(before))
-        self.word, self.before = self._places(word[order]), self._places(before[order])
+        self.bigrams = np.empty(len(word), np.uint64)
+        for s in _chunks(len(word)):
+            self.bigrams[s] = chain([before[s], word[s]])
+        self.word, self.before = self._places(word), self._places(before)
+        del before, word
+        order = np.argsort(self.bigrams).astype(np.int32)
+        self.bigrams = self.bigrams[order]
+        self.word, self.before = self.word[order], self.before[order]
         self.counts = {c: n[c][order] for c in (0, 1)}
 
     def _places(self, words: np.ndarray) -> np.ndarray:
@@ -194,6 +204,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return loss, (mean, scale, beta)
 
 
+def _best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The logit from which on predicting 1 has the highest F1 on the weighted texts; halfway to the next lower one."""
+    by = np.argsort(-z, kind="stable")
+    z, hit, said = z[by], np.cumsum((weight * y)[by]), np.cumsum(weight[by])
+    last = np.append(z[1:] != z[:-1], True)
+    f1 = np.where(last, 2 * hit / (said + (weight * y).sum()), -1)
+    i = int(f1.argmax())
+    return float((z[i] + z[i + 1]) / 2 if i + 1 < len(z) else z[i] - 1)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
@@ -229,7 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
         share = {c: total[c] / (y == c).sum() for c in (0, 1)}
         weight = np.where(y == 1, share[1], share[0])
         weight *= len(y) / weight.sum()
-        curves.append(_logistic(_features(seen["n"].to_numpy(), seen[names].to_numpy()), y, weight))
+        x = _features(seen["n"].to_numpy(), seen[names].to_numpy())
+        loss, (mean, scale, beta) = _logistic(x, y, weight)
+        beta[-1] -= _best_cut((x - mean) / scale @ beta[:-1] + beta[-1], y, weight)
+        curves.append((loss, (mean, scale, beta)))
     best = min(range(len(curves)), key=lambda i: curves[i][0])
     return {"prior": prior, "model": spark.sparkContext.broadcast(Model(index, DISCOUNTS[best])), "curve": curves[best][1], "discount": DISCOUNTS[best]}
 
@@ -249,7 +272,8 @@ def _measured(shared, names: list[str]):
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs' doc_id with held_out, score and predicted.
 
-    A text without words scores the share of toxic labels, as does every text if a class has no label.
+    A text without words scores the share of toxic labels, as does every text if a class has no label. A
+    text of any length is read whole, and equal texts score alike.
     Labels that repeat a doc_id count as toxic if any of them is; null labels are left out. Rows that
     repeat a doc_id are scored each. A null doc_id is hashed as the empty text. Extra columns are not read.
     """

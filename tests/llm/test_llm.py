@@ -371,6 +371,22 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_ranks_the_held_out_documents(spark):
+    data = DATA.replace("0.001", "0.1")
+    out = QUERIES["op8_toxicity"](spark, data).where("held_out").toPandas()
+    seen = out.merge(spark.read.parquet(f"{data}/labels.parquet").toPandas(), on="doc_id").dropna(subset=["toxic"])
+    toxic, clean = seen[seen.toxic == 1], seen[seen.toxic == 0]
+    cut = clean.score.quantile(0.9)
+    caught = (toxic.score > cut).mean()
+    assert caught >= 0.85, caught
+    assert (toxic.predicted == 1).mean() >= 0.6 and (clean.predicted == 0).mean() >= 0.9, ((toxic.predicted == 1).mean(), (clean.predicted == 0).mean())
+
+
+def test_best_cut():
+    z, y = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1.0, 0.0, 1.0, 0.0])
+    assert toxicity._best_cut(z, y, np.ones(4)) == 0.5 and toxicity._best_cut(z, np.array([1.0, 0, 0, 0]), np.ones(4)) == 2.5
+
+
 def test_toxicity_counts_every_bigram_of_its_sample(spark):
     rng = np.random.default_rng(3)
     texts = {i: [f"w{k}" for k in rng.integers(0, 60_000, 4500)] for i in range(480)}
