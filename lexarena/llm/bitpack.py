@@ -32,7 +32,9 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in `bits` bits each, first id highest, padded to a byte."""
+    """Ids in `bits` bits each, first id highest, padded to a byte; an id that needs more bits is refused."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} needs more than {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f">u{bits // 8}").tobytes()
     wide = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
@@ -187,12 +189,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int = 50_257) -> None:
+def encode_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int | None = None) -> None:
     """Tokenize docs (doc_id, text) and write their shards to path, in ascending doc_id order.
 
-    A null text is empty and holds the end id alone; a null doc_id comes first; rows that repeat a
-    doc_id are documents of their own, ordered by their texts' hash and text. Extra columns aren't read.
+    Ids take the least bits that the vocabulary (None: the tokenizer's) and the end id need. A null text is
+    empty and holds the end id alone; a null doc_id comes first; rows that repeat a doc_id are documents of
+    their own, ordered by their texts' hash and text. A text of any length is one document of one shard; an
+    empty table gives no shard. Extra columns aren't read.
     """
+    if vocabulary is None:
+        from tokenizers import Tokenizer
+
+        vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     bits = width(max(vocabulary, end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -60,11 +60,11 @@ class Items:
             out, _, _ = normal(raw, np.array([0, len(raw)]))
             for first in [*range(0, max(1, len(out) - PART), PART // 2), max(0, len(out) - PART)]:
                 part = out[first : first + PART]
-                if len(part) - q + 1 - int(rate * len(part)) * q >= 1:
+                if len(part) >= q:
                     self.ids.append(i)
                     self.bytes.append(part)
         self.length = np.array([len(b) for b in self.bytes], np.int64)
-        self.budget = (rate * self.length).astype(np.int64)
+        self.budget = np.minimum((rate * self.length).astype(np.int64), (self.length - q) // q)  # so that the bound is 1 at least
         self.least = self.length - q + 1 - self.budget * q
         self.width = 1 << max(3, int(self.budget.max(initial=1)).bit_length())
         found = [grams(b, q) for b in self.bytes]
@@ -154,11 +154,16 @@ class Items:
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, start, end, edits: the region of each document that holds what it leaks of an item.
 
-    start and end are byte offsets in the document's UTF-8 text. Null or empty texts and null items
-    match nothing, nor do items too short for the bound (fewer than about q / (1 - edit_rate * q)
-    bytes); documents or items without an id keep a null id; repeated rows give repeated matches.
-    The items reach the tasks in blocks of at most block_bytes of text, one pass over docs for each
-    block; an item over that size is a block of its own. Extra columns are not read.
+    start and end are byte offsets in the document's UTF-8 text; edits are those of the part that needs most.
+    There is one row for a document and an item, also where several rows of the benchmark have one item_id
+    (all their texts are the item) or a region is found in several parts. An item of fewer than q letters
+    and digits matches nothing; one of fewer than 2 q is found without an edit only. A fragment of an item
+    counts if it holds a whole part: surely from 3 / 2 PART - 1 letters and digits on (191). Null or empty
+    texts and null items match nothing; documents or items without an id keep a null id; repeated documents
+    give repeated rows, an empty table none. A text of any length is read whole. Extra columns are not read.
+
+    The items reach the tasks in blocks of about block_bytes of text, by a hash of item_id, one pass over
+    docs for each block; the items of one id share a block.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("text IS NOT NULL")
@@ -167,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for b in range(blocks):
-        held = [(r.item_id, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        held = [(r.item_id, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
         found = docs.mapInArrow(_scan(spark.sparkContext.broadcast(held), q, edit_rate), "doc_id long, item_id long, start long, end long, edits long")
         out = found if out is None else out.unionAll(found)
     return out

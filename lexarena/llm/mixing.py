@@ -4,9 +4,9 @@ Documents are summed into cells (source, language, topic); raking scales the cel
 to each marginal's target shares. A cell's weight over its mass, scaled so that the expected tokens
 meet the budget and no probability passes 1, is the probability of each of its documents.
 
-A cell's weight is its mass times one factor for each of its levels, so what a step writes is a table of
-one dimension's levels, and cells stay as they are: a table of any size, summed by level before anything
-is shuffled. Raking ends when a round changes no factor by more than a tolerance.
+The table of cells may have any size: a step sums it by level before anything is shuffled, and writes it
+scaled, so that the next one's plan starts from a file. Raking ends when a round's factors of each
+dimension differ by less than a tolerance.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexarena.llm.cascade import n_words
-from lexarena.llm.common import save
+from lexarena.llm.common import discard, save
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 20
@@ -41,15 +41,6 @@ def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return mass.where("target > 0")
 
 
-def _weighted(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
-    """cells with weight: the mass times the factors of their levels; a level without a factor has 0."""
-    weight = F.col("mass").cast("double")
-    for dim, f in factors.items():
-        cells = cells.join(f.select(F.col("level").alias(dim), F.col("f").alias(f"_{dim}")), dim, "left")
-        weight = weight * F.coalesce(f"_{dim}", F.lit(0.0))
-    return cells.withColumn("weight", weight).drop(*(f"_{d}" for d in factors))
-
-
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, lang, topic, mass) with weight: shares of the whole, raked to the target shares.
 
@@ -57,28 +48,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     targets of levels without mass are left out. It takes at most `rounds` rounds; marginals() tells how
     far the weights are from the targets after them.
     """
-    state = None
+    weight = F.col("mass").cast("double")
     for dim in DIMS:
-        goal = targets[dim].select(F.lit(dim).alias("dim"), "level", F.col("target").cast("double").alias("target"), F.lit(1.0).alias("f"), F.lit(None).cast("double").alias("old"))
-        state = goal if state is None else state.unionAll(goal)
-    state, whole = save(state, "raking"), 1.0
-    for _ in range(rounds):  # one query a round: later dimensions read the factors of the earlier ones
-        factors, out = {d: state.where(F.col("dim") == d).select("level", "target", "f") for d in DIMS}, None
-        for dim in DIMS:
-            others = _weighted(cells, {d: f for d, f in factors.items() if d != dim})
-            total = others.groupBy(F.col(dim).alias("level")).agg(F.sum("weight").alias("total")).where("total > 0")
-            new = total.join(factors[dim].withColumnRenamed("f", "old"), "level").select(F.lit(dim).alias("dim"), "level", "target", (F.col("target") / F.col("total")).alias("f"), "old")
-            factors[dim] = new.select("level", "target", "f")
-            out = new if out is None else out.unionAll(new)
-        state = save(out, "raking")
-        ratio = F.try_divide("f", "old")
-        spread = (F.try_divide(F.max(ratio), F.min(ratio)) - 1).alias("spread")  # 0 once all factors of a dimension change alike, which cancels out
-        moved = {r["dim"]: r for r in state.groupBy("dim").agg(spread, F.sum("target").alias("whole")).collect()}
-        whole = moved[DIMS[-1]]["whole"] if moved else 0.0
-        if all(r["spread"] is not None and r["spread"] <= tolerance for r in moved.values()):
+        cells = cells.join(targets[dim].select(F.col("level").alias(dim), F.col("target").cast("double").alias(f"t_{dim}")), dim, "left").withColumn(f"f_{dim}", F.lit(1.0))
+        weight = F.when(F.coalesce(f"t_{dim}", F.lit(0.0)) > 0, weight).otherwise(0.0)
+    state = save(cells.withColumn("weight", weight), "raking")
+    columns = state.columns
+    for _ in range(rounds):
+        for dim in DIMS:  # a table each: a step reads one, sums it by level and scales it
+            total = state.where("weight > 0").groupBy(dim).agg(F.sum("weight").alias("total"))
+            scaled = state.join(total, dim, "left").withColumn(f"f_{dim}", F.try_divide(f"t_{dim}", "total"))
+            before, state = state, save(scaled.withColumn("weight", F.col("weight") * F.coalesce(f"f_{dim}", F.lit(0.0))).select(*columns), "raking")
+            discard(before)
+        # once a dimension's factors are all alike, its shares are right; weights add up to the last one's targets
+        spread = [(F.try_divide(F.max(f"f_{d}"), F.min(f"f_{d}")) - 1) for d in DIMS]
+        whole, *spread = state.where("weight > 0").agg(F.sum("weight"), *spread).first()
+        if whole is None or max(spread) <= tolerance:
             break
-    factors = {d: state.where(F.col("dim") == d).select("level", "f") for d in DIMS}
-    return _weighted(cells, factors).withColumn("weight", F.col("weight") / F.lit(whole or 1.0))
+    return state.select(*DIMS, "mass", (F.col("weight") / F.lit(whole or 1.0)).alias("weight"))
 
 
 def marginals(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
@@ -140,7 +127,7 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
         given = (targets or {}).get(dim)
         goal[dim] = spark.createDataFrame([(k, float(v)) for k, v in given.items()], "level string, target double") if given else flattened(cells, dim, power)
     total = cells.agg(F.sum("mass")).first()[0] or 0
-    cells = probabilities(save(rake(cells, goal, rounds), "raked"), share * total) if total else cells.selectExpr(*DIMS, "mass", "0.0D weight", "0.0D probability")
+    cells = probabilities(rake(cells, goal, rounds), share * total) if total else cells.selectExpr(*DIMS, "mass", "0.0D weight", "0.0D probability")
     cells = cells.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight", "probability")
     out = rows.drop("weight", "probability", "sampled").join(cells, ["_source", "_lang", "topic"], "left").drop("_source", "_lang")
     out = out.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)})

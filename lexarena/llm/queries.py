@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, pii, revisit, rollup, toxicity
-from lexarena.llm.common import shared_dir, table
+from lexarena.llm.common import save, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,15 +160,17 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     Inserts of word counts, deletes of documents under 50 words, revisions of documents with tables to
     counts without their bars, inserts of piece counts; then the deletes once more, which change nothing.
     """
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "text").withColumn("n", cascade.n_words(F.col("text")))
+    text = F.col("text")
+    counts = {"n": cascade.n_words(text), "pieces": rollup.n_pieces(text), "bars": cascade.n_chars_of(text, "|"), "has_table": F.coalesce(F.contains(text, F.lit(" | ")), F.lit(False))}
+    docs = save(table(spark, sf_dir, "documents").select("source", "lang", *(c.alias(k) for k, c in counts.items())), "token-counts")  # each text is read once
     held = rollup.TokenTotals(spark, f"{shared_dir(spark)}/token-totals-{uuid.uuid4().hex}")
     change = lambda df, kind, tokenizer, n="n", old=None: df.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(kind).alias("change"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
     deletes = change(docs.where("n < 50"), "delete", "words-1")
-    revised = docs.where("n >= 50 AND contains(text, ' | ')").withColumn("new", F.col("n") - cascade.n_chars_of(F.col("text"), "|"))
+    revised = docs.where("n >= 50 AND has_table").withColumn("new", F.col("n") - F.col("bars"))
     held.apply("insert-words", change(docs, "insert", "words-1"))
     held.apply("delete-short", deletes)
     held.apply("revise-tables", change(revised, "revise", "words-1", "new", "n"))
-    held.apply("insert-pieces", change(docs.withColumn("n", rollup.n_pieces(F.col("text"))), "insert", "pieces-2"))
+    held.apply("insert-pieces", change(docs, "insert", "pieces-2", "pieces"))
     held.apply("delete-short", deletes)
     return held.totals()
 

@@ -1,7 +1,7 @@
 """Not-modified revisits: each takes the latest earlier full response of its canonical URL.
 
-The as-of join is a running maximum of (time, record) over full responses. A URL's timeline is cut into
-time buckets, so the rows of one URL are many window groups; what came before a bucket is a running
+The as-of join is a running maximum of (time, record) over full responses. The timeline is cut into
+buckets of about as many captures each, so the rows of one URL are many window groups, wherever they lie; what came before a bucket is a running
 maximum over its URL's buckets, a few rows a URL. Payloads don't move: responses carry their digest and
 length, and with_payload() joins bodies by record id where they are wanted.
 """
@@ -48,16 +48,16 @@ def resolve(captures: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     Last-Modified if both have it, else digests; 'mismatch' if they differ; 'unvalidated' if no validator is
     on both sides; 'no_response' without an earlier response, or without a URL or time. Only a resolved
     revisit has digest, length and headers: the response's, updated by the revisit's permitted ones.
-    Null headers are empty; repeated rows are resolved each; extra columns are not read.
+    Null headers are empty; repeated rows are resolved each; an empty table gives an empty one; a URL of any
+    length is one key; extra columns are not read.
     """
     full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("digest").isNotNull()
     rows = captures.select("record_id", "type", "status", "digest", "length", F.col("ts").cast("long").alias("ts"), canonical(F.col("url")).alias("url"), _entries(F.col("headers")).alias("headers"))
     rows = rows.where(full | (F.col("type") == "revisit"))
-    span = captures.agg(F.min("ts"), F.max("ts")).first()
-    low, high = (int(span[0] or 0), int(span[1] or 0))
-    step = max(1, -(-(high - low + 1) // buckets))
+    cuts = rows.agg(F.percentile_approx("ts", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
+    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts or [])))).cast("array<long>")
     stored = F.when(full, F.struct("ts", "record_id", "digest", "length", "headers"))
-    rows = rows.withColumns({"bucket": F.coalesce(F.floor((F.col("ts") - low) / F.lit(step)), F.lit(-1)), "stored": stored})
+    rows = rows.withColumns({"bucket": F.when(F.col("ts").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("ts")))), "stored": stored})
     inside = Window.partitionBy("url", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.max("stored").over(inside))
     before = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,12 +1,15 @@
 """Token totals kept by deltas: signed sums of inserts, deletes and revised counts, committed once per batch.
 
 A batch is summed by source, language and tokenizer version and written as one folder of deltas; a row
-in the ledger then commits it. Totals read the folders that the ledger names, so a batch that died half
-way counts nothing, its rerun overwrites its folder, and a batch that is applied again changes nothing.
+in the ledger then commits it. Each try has a folder of its own, and totals read one committed try of each
+batch: a try that died half way counts nothing, a batch that is applied again changes nothing, and of two
+writers of one batch one counts.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +24,19 @@ class TokenTotals:
         self.spark, self.path = spark, path
 
     def committed(self) -> DataFrame:
-        """(batch) of every commit."""
+        """(batch, attempt) of every batch that was committed, with the try that counts."""
         try:
-            return self.spark.read.schema("batch string").parquet(f"{self.path}/ledger").distinct()
-        except AnalysisException:  # no batch yet
-            return self.spark.createDataFrame([], "batch string")
+            ledger = self.spark.read.schema("batch string, attempt string").parquet(f"{self.path}/ledger")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            ledger = self.spark.createDataFrame([], "batch string, attempt string")  # no batch yet
+        return ledger.groupBy("batch").agg(F.min("attempt").alias("attempt"))
+
+    def _commit(self, batch: str, deltas: DataFrame) -> None:
+        attempt = uuid.uuid4().hex
+        deltas.write.parquet(f"{self.path}/deltas/{batch}/{attempt}")
+        self.spark.createDataFrame([(batch, attempt)], "batch string, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit one batch of changes; False if it was committed before.
@@ -45,8 +56,7 @@ class TokenTotals:
         tokens = F.when(F.col("change") == "revise", count("n_tokens") - count("old_tokens")).otherwise(sign * count("n_tokens"))
         keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in KEY]
         deltas = changes.groupBy(*keys).agg(F.sum(sign).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens"))
-        deltas.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        self._commit(batch, deltas)
         return True
 
     def totals(self) -> DataFrame:
@@ -54,7 +64,7 @@ class TokenTotals:
 
         The names of the batches come to the driver, their rows don't.
         """
-        names = sorted(r["batch"] for r in self.committed().collect())
+        names = sorted(f"{r['batch']}/{r['attempt']}" for r in self.committed().collect())
         if not names:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
         deltas = self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long").parquet(*(f"{self.path}/deltas/{n}" for n in names))
@@ -66,8 +76,7 @@ class TokenTotals:
         fresh = TokenTotals(self.spark, f"{self.path}-{name}")
         if not fresh.committed().where(F.col("batch") == name).isEmpty():
             return False
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{fresh.path}/deltas/{name}")
-        self.spark.createDataFrame([(name,)], "batch string").coalesce(1).write.mode("append").parquet(f"{fresh.path}/ledger")
+        fresh._commit(name, self.totals())
         return True
 
 

@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexarena.llm import bitpack, cascade, decontam, graph, lm, mixing, neardup, pii, revisit, rollup, toxicity
-from lexarena.llm.common import save
 from lexarena.llm.queries import ORACLES, QUERIES, vocabulary_file
 from tests.oracle import connect, rows
 
@@ -52,7 +51,7 @@ def test_mixing_meets_targets_and_both_rakings_agree(spark):
     cells = spark.createDataFrame([(s, la, t, (i + 1) * 100) for i, (s, la, t) in enumerate((s, la, t) for s in "abc" for la in ("en", "fr") for t in "xy")], "source string, lang string, topic string, mass long")
     share = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.7, "fr": 0.3}, "topic": {"x": 0.5, "y": 0.5}}
     goal = {d: spark.createDataFrame(list(v.items()), "level string, target double") for d, v in share.items()}
-    raked = save(mixing.rake(cells, goal, rounds=20), "raked")
+    raked = mixing.rake(cells, goal, rounds=20)
     local = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
     assert local == pytest.approx(rake_by_hand([tuple(r) for r in cells.collect()], share), abs=1e-9)
     assert max(abs(r.residual) for r in mixing.marginals(raked, goal).collect()) < 1e-9
@@ -119,6 +118,15 @@ def test_decontamination_equals_edit_distance(spark):
     assert decontam.leaks(docs(spark, pairs), bench.limit(0)).count() == 0
 
 
+def test_short_items_and_items_of_several_texts(spark):
+    item = "the quick brown fox jumps over the lazy dog and sleeps under the old oak tree until the morning comes"
+    bench = spark.createDataFrame([(1, item), (1, "zephyrs just vex"), (2, "abc defgh"), (3, "tiny"), (4, "mad lions purr")], "item_id long, text string")
+    pairs = [(10, f"x {item} y zephyrs just vex z"), (11, "zephyrs just vexed"), (12, "see abcdefgh there"), (13, "tiny things"), (14, "mad lionz purr"), (15, "mad lions purr")]
+    for size in (1, 200, decontam.BLOCK_BYTES):
+        found = sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, pairs), bench, block_bytes=size).collect())
+        assert found == [(10, 1), (11, 1), (15, 4)], found  # "abcdefgh" has 8 letters: fewer than q
+
+
 def edit_distance(item, text):
     d = np.zeros(len(text) + 1, int)
     for c in item:
@@ -167,6 +175,13 @@ def test_revisits(spark):
     merged = {e.name: e.value for e in next(r for r in got if r.record_id == 4).headers}
     assert merged == {"cache-control": "y", "content-type": "text/html", "etag": 'W/"a"'} and len(got) == 8
     assert revisit.resolve(spark.createDataFrame([], schema)).count() == 0
+    # equal times: the larger record counts; one bucket, many buckets and an outlying time give the same
+    more = [(20, "response", "http://t.org/", 5, 200, {}, "x", 1, ""), (21, "response", "http://t.org/", 5, 200, {}, "y", 1, ""), (22, "revisit", "http://t.org/", 6, 304, {}, "y", None, ""), (23, "revisit", "http://t.org/", 10**15, 304, {}, "y", None, "")]
+    for buckets in (1, 3, 64):
+        out = {r.record_id: (r.state, r.response_id) for r in revisit.resolve(spark.createDataFrame(data + more, schema), buckets).collect()}
+        assert out[22] == out[23] == ("resolved", 21) and all(out[k] == v[:2] for k, v in state.items())
+    bodies = spark.createDataFrame([(21, "body")], "record_id long, body string")
+    assert {r.record_id: r.body for r in revisit.with_payload(revisit.resolve(spark.createDataFrame(more, schema)), bodies).collect()} == {22: "body", 23: "body"}
 
 
 # ---- quality
@@ -218,6 +233,8 @@ def test_every_rule_is_measured_and_ordered(spark):
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
     assert (bitpack.unpack(bitpack.pack(ids, bits), bits, 1000) == ids).all() and len(bitpack.pack(ids, bits)) == -(-1000 * bits // 8)
+    with pytest.raises(ValueError, match="needs more than"):
+        bitpack.pack(np.array([1 << bits if bits < 32 else 1 << 33], np.uint64), bits)
     shard = bitpack.Shard(bitpack.write_shard([5, None], [300, 700], ids, bits, block=64))
     assert (shard.tokens(130, 517) == ids[130:517]).all() and (shard.document(1) == ids[300:]).all() and shard.tokens(5, 5).size == 0
 
@@ -233,11 +250,12 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in enc.encode(texts)] == want and [x.tolist() for x in enc.encode(texts)] == want
 
 
-def test_shards_round_trip(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("vocabulary", [None, 1 << 17])
+def test_shards_round_trip(spark, tmp_path, vocabulary):
     from tokenizers import Tokenizer
 
     path = f"file://{tmp_path}/shards"
-    bitpack.encode_shards(docs(spark, ODD), path, vocabulary_file("byte_bpe_50k.json"), end_id=2)
+    bitpack.encode_shards(docs(spark, ODD), path, vocabulary_file("byte_bpe_50k.json"), end_id=2, vocabulary=vocabulary)
     got = bitpack.read_documents(spark, path).orderBy("start").collect()
     t, start, want = Tokenizer.from_file(vocabulary_file("byte_bpe_50k.json")), 0, Counter()
     for i, text in ODD:
@@ -503,8 +521,8 @@ def test_rollups_are_idempotent(spark, tmp_path):
     with pytest.raises(Exception, match="unknown change"):
         totals.apply("4", first.withColumn("change", F.lit("drop")))
     assert {(r.source, r.tokenizer): (r.docs, r.tokens) for r in totals.totals().collect()} == {("a", "v1"): (1, 9), ("", "v1"): (1, 0)}
-    totals.spark.createDataFrame([("1",)], "batch string").write.mode("append").parquet(f"{totals.path}/ledger")
-    assert totals.totals().count() == 2 and totals.compact("c")
+    totals.spark.createDataFrame([("1", "zz")], "batch string, attempt string").write.mode("append").parquet(f"{totals.path}/ledger")
+    assert totals.committed().where("attempt = 'zz'").count() == 0 and totals.compact("c")
     assert rollup.TokenTotals(spark, f"{totals.path}-c").totals().count() == 2
 
 
@@ -523,3 +541,28 @@ def test_pipeline_runs_and_each_stage_takes_effect(spark):
         sizes.append(found.count())
     assert sizes == sorted(sizes, reverse=True) and 0 < sizes[-1] < sizes[0]
     assert p.run(spark, DATA).count() == sizes[-1]
+
+
+def test_pipeline_stages_on_odd_input(spark):
+    """Nulls, empty, repeated, tied and long texts, a table without rows, and extra columns with clashing names."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{i * i % 9973}" for i in range(150_000))
+    good = "It was a clear day in the town and " + " ".join(f"people{i} walked along street{i} to see house{i}." for i in range(40))
+    given = docs(spark, [*ODD, (20, good), (20, good), (21, good), (22, long), (None, good)])
+    for name, stage in p.STAGES:
+        out = stage(spark, given, DATA)
+        assert stage(spark, given.limit(0), DATA).count() == 0, name
+        if name == "token ids":
+            assert out.count() == given.count() and {"doc_id", "start", "n_tokens"} <= set(out.columns)
+            continue
+        assert out.columns == p.COLUMNS, name
+        ids = Counter(r.doc_id for r in out.collect())
+        if name == "quality rules":
+            assert ids == Counter([20, 20, 21, 22, None])
+        elif name == "near-duplicates":
+            assert ids[20] == 2 and ids[21] == 0 and ids[22] == 1 and ids[1] == ids[2] == 1 and ids[4] == 2 and ids[None] == 2
+        elif name == "decontamination":
+            assert sum(ids.values()) == given.count()
+        else:
+            assert ids[1] == ids[2] == 0 and ids[20] in (0, 2)
