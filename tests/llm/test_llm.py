@@ -122,7 +122,7 @@ def test_short_items_and_items_of_several_texts(spark):
     item = "the quick brown fox jumps over the lazy dog and sleeps under the old oak tree until the morning comes"
     bench = spark.createDataFrame([(1, item), (1, "zephyrs just vex"), (2, "abc defgh"), (3, "tiny"), (4, "mad lions purr")], "item_id long, text string")
     pairs = [(10, f"x {item} y zephyrs just vex z"), (11, "zephyrs just vexed"), (12, "see abcdefgh there"), (13, "tiny things"), (14, "mad lionz purr"), (15, "mad lions purr")]
-    for size in (1, 200, decontam.BLOCK_BYTES):
+    for size in (60, decontam.BLOCK_BYTES):
         found = sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, pairs), bench, block_bytes=size).collect())
         assert found == [(10, 1), (11, 1), (15, 4)], found  # "abcdefgh" has 8 letters: fewer than q
 
