@@ -212,7 +212,17 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("pages"), F.count_if("overlap").alias("overlaps"), F.min("turn").alias("first_page"), F.max("turn").alias("last_page"))
 
 
-@register()
+@register("""
+    WITH RECURSIVE it AS MATERIALIZED (SELECT o_orderkey AS seq, o_custkey || '/' || o_orderstatus AS url, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS number FROM orders),
+    r(seq, state) USING KEY (seq) AS (
+      SELECT seq, 0 FROM it
+      UNION
+      SELECT seq, CASE WHEN seq = u AND seq = d THEN 1 ELSE 2 END FROM (
+        SELECT *, bool_or(seq = u AND seq = d) OVER (PARTITION BY url) AS url_taken, bool_or(seq = u AND seq = d) OVER (PARTITION BY date, number) AS day_taken FROM (
+          SELECT it.*, min(seq) OVER (PARTITION BY url) AS u, min(seq) OVER (PARTITION BY date, number) AS d
+          FROM it WHERE seq IN (SELECT seq FROM recurring.r WHERE state = 0) AND (SELECT count(*) FROM r) > 0))
+      WHERE url_taken OR day_taken)
+    SELECT seq, url, date, number FROM it WHERE seq IN (SELECT seq FROM r WHERE state = 1)""")
 def greedy_batch_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders accepted in key order: refused if an accepted one has the same customer and status group, or date and priority."""
     items = table(spark, sf_dir, "orders").select(

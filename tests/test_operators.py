@@ -53,6 +53,25 @@ def test_sequence_is_an_ordered_fold(spark):
     assert rating.rate_sequence(df.where("n > 5"), "court", ["n"]).count() == 0
 
 
+def test_history_starts_from_stored_ratings(spark):
+    rows = [("g", 2, [1], [2], "win_b"), ("g", 1, [1], [2], "win_a")]
+    df = spark.createDataFrame(rows, "court string, n int, team_a array<long>, team_b array<long>, outcome string")
+    stored = spark.createDataFrame([("g", 1, 30.0, 7.0, 4), ("g", 9, 1.0, 2.0, 3)], "court string, player long, mu double, sigma double, matches long")
+    got = rating.rate_history(df, "court", ["n"], stored).orderBy("n", "side").collect()
+    assert [(r.n, r.player, r.side, r.matches) for r in got] == [(1, 1, "a", 5), (1, 2, "b", 1), (2, 1, "a", 6), (2, 2, "b", 2)]
+    assert (got[0].mu_before, got[0].sigma_before) == (30.0, 7.0) and (got[2].mu_before, got[2].sigma_before) == (got[0].mu, got[0].sigma)
+    first = rate(spark, [(30.0, 7.0)], [(25.0, 25.0 / 3)], "win_a", V)
+    assert (got[0].mu, got[1].sigma) == pytest.approx((first.a[0].mu, first.b[0].sigma))
+    final = {r.player: r for r in rating.rate_sequence(df, "court", ["n"], stored=stored).collect()}
+    assert final[9].matches == 3 and (final[1].mu, final[1].matches) == (got[2].mu, 6)
+
+
+def test_ids_are_dense_and_ordered(spark):
+    held, rows = spark.createDataFrame([(7,)], "id long"), spark.range(100).select((F.col("id") * 37 % 100).alias("k"))
+    got = {r.k: r.id for r in queues.with_new_ids(held, rows, ["k"]).collect()}
+    assert got == {k: k + 8 for k in range(100)}
+
+
 def test_matches_from_decisions(spark):
     row = lambda n, r, a, b: (n, datetime.date(2024, 1, 1), r, "s", 0, "c", a, b)
     df = spark.createDataFrame(

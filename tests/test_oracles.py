@@ -33,6 +33,10 @@ def test_greedy_dedupe_equals_a_plain_pass(spark):
     items = spark.createDataFrame([(1, "a", "d1", 1), (2, "b", "d1", 1), (3, "b", "d2", 2), (4, "a", "d3", 3), (5, "c", "d2", 2)], "seq long, url string, date string, number int")
     found = sorted(r.seq for r in accept_in_order(items).collect())
     assert found == accept_reference(items.toPandas()) == [1, 3]
+    # a chain of collisions, and nulls, which meet nothing
+    chain = [(i, f"u{i // 2}", f"d{(i + 1) // 2}", 1) for i in range(14)] + [(20, None, None, None), (21, None, None, None)]
+    linked = spark.createDataFrame(chain, "seq long, url string, date string, number int")
+    assert sorted(r.seq for r in accept_in_order(linked).collect()) == [*range(0, 14, 2), 20, 21]
     got = sorted(r.seq for r in QUERIES["greedy_batch_dedupe"](spark, DATA).collect())
     from pyspark.sql import functions as F
 
