@@ -29,7 +29,7 @@ HOT = 1_000_000
 PORTIONS = 4
 SCALE = 1_000_000
 SLICE_BYTES = 1 << 20  # text that a task hashes at once
-COUNT_WORDS = 1 << 20  # words whose n-grams a task sums before Spark does
+COUNT_WORDS = 1 << 18  # words whose n-grams a task sums before Spark does
 
 
 def _grams(raw: np.ndarray, offs: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
