@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, pii, revisit, rollup, toxicity
+from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, pii, revisit, rollup, toxicity, trie
 from lexarena.llm.common import save, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,45 @@ ORACLES["op10_token_rollups"] = r"""
       SELECT source, lang, 'words-1' AS tokenizer, 1 AS docs, CASE WHEN contains(text, ' | ') THEN n - length(regexp_replace(text, '[^|]', '', 'g')) ELSE n END AS tokens
       FROM d WHERE n >= 50 UNION ALL SELECT source, lang, 'pieces-2', 1, pieces FROM d)
     SELECT source, lang, tokenizer, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL"""
+
+
+#: One row: the table of the CRC-32 of each byte value.
+SQL_CRC_TABLE = """crc AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def sql_crc32(e: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII string, beside the table crc."""
+    codes = f"list_transform(range(1, length({e}) + 1), lambda i: CAST(ascii({e}[i]) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with its subtree sums."""
+    return trie.trie_of(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_conversation_prefix_trie"] = f"""
+    WITH {SQL_CRC_TABLE},
+    src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT conv_id, sha256(length(role) || ':' || role || text) AS turn, CAST(length(text) AS BIGINT) AS chars,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS pos FROM src),
+    c AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS name FROM t GROUP BY conv_id),
+    ch AS (SELECT conv_id, {sql_crc32("name")} % 6 AS h FROM c, crc),
+    r AS (
+      SELECT ch.conv_id, 0 AS side, t.pos, t.turn, t.chars FROM ch JOIN t ON t.conv_id = ch.conv_id - ch.conv_id % 100 AND t.pos <= h UNION ALL
+      SELECT ch.conv_id, 1, t.pos, t.turn, t.chars FROM ch JOIN t ON t.conv_id = ch.conv_id AND t.pos > h),
+    l AS (SELECT conv_id, list(turn ORDER BY side, pos) AS turns, list(chars ORDER BY side, pos) AS chars FROM r GROUP BY conv_id),
+    d AS (SELECT ch.conv_id, coalesce(turns, []) AS turns, coalesce(chars, []) AS chars, unnest(range(0, coalesce(len(turns), 0) + 1)) AS d FROM ch LEFT JOIN l USING (conv_id)),
+    p AS (
+      SELECT conv_id, CAST(d AS BIGINT) AS depth, sha256(array_to_string(turns[1:d], '')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(turns[1:d - 1], '')) END AS up,
+        CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars, d = len(turns) AS ends FROM d),
+    n AS (
+      SELECT depth, k, up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+        sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY depth, k, up),
+    kids AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    s AS (
+      SELECT p.depth, p.k, sum(n.own) AS saved_tokens, count(*) FILTER (WHERE kids.k IS NULL) AS n_leaves
+      FROM n LEFT JOIN kids USING (depth, k) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.k)
+    SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM n JOIN s USING (depth, k) LEFT JOIN kids USING (depth, k) LEFT JOIN n q ON q.k = n.up AND q.depth = n.depth - 1"""
