@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, pii, revisit, rollup, toxicity, trie
+from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, pii, repair, revisit, rollup, toxicity, trie
 from lexarena.llm.common import save, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,64 @@ ORACLES["op11_conversation_prefix_trie"] = f"""
       FROM n LEFT JOIN kids USING (depth, k) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.k)
     SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
     FROM n JOIN s USING (depth, k) LEFT JOIN kids USING (depth, k) LEFT JOIN n q ON q.k = n.up AND q.depth = n.depth - 1"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults, cost, audit and repaired digest of every conversation, after planted damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(conversations), conversations)
+
+
+def _cheapest(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edited(state: int) -> str:
+    """DuckDB SQL for the cheapest (cost, audit, output) from a state before a turn, without insertions."""
+    to = 3 if state == 2 else 2
+    keep = {0: "CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 END", 1: "CASE r WHEN 'u' THEN 2 END", 2: "CASE r WHEN 'a' THEN 3 END", 3: "CASE r WHEN 'u' THEN 2 END"}[state]
+    role = "assistant" if to == 3 else "user"
+    k = f"CASE {keep} WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 END"
+    extra = "CASE fault WHEN 'truncated' THEN 1 WHEN 'ok' THEN 0 ELSE 1000000 END"
+    return _cheapest(
+        f"{{'c': s{state}.c + 3, 'a': 'D' || s{state}.a, 'o': s{state}.o}}",
+        f"{{'c': coalesce(({k}).c, 1000000) + {extra}, 'a': 'K' || coalesce(({k}).a, ''), 'o': role || ':' || text || chr(10) || coalesce(({k}).o, '')}}",
+        f"{{'c': s{to}.c + 2 + {extra}, 'a': 'R' || s{to}.a, 'o': '{role}:' || text || chr(10) || s{to}.o}}",
+    )
+
+
+def _inserted(state: str, to: str, role: str) -> str:
+    return _cheapest(state, f"{{'c': {to}.c + 2, 'a': 'I' || {to}.a, 'o': '{role}:' || chr(10) || {to}.o}}")
+
+
+ORACLES["op12_conversation_repair"] = f"""
+    WITH RECURSIVE {SQL_CRC_TABLE},
+    named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    kinds AS (SELECT named.*, {sql_crc32("name")} % 20 AS kind FROM named, crc),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM kinds, range(2) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+    n AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM damaged)),
+    f AS (
+      SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'ok' END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM n),
+    stats AS (
+      SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+    v AS (
+      SELECT conv_id, rows AS i, {{'c': 0, 'a': '', 'o': ''}} AS s0, {{'c': 4, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s1,
+        {{'c': 2, 'a': 'I', 'o': 'assistant:' || chr(10)}} AS s2, {{'c': 0, 'a': '', 'o': ''}} AS s3 FROM stats UNION ALL
+      SELECT conv_id, i, {_inserted("w0", "x2", "user")}, {_inserted("w1", "x2", "user")}, x2, x3 FROM (
+        SELECT *, {_inserted("w2", "w3", "assistant")} AS x2, {_inserted("w3", "w2", "user")} AS x3 FROM (
+          SELECT v.conv_id, v.i - 1 AS i, {", ".join(f"{_edited(q)} AS w{q}" for q in range(4))}
+          FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i)))
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+      coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit,
+      sha256(coalesce(left(s0.o, length(s0.o) - 1), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+      LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 0 AND s.rows IS NOT NULL"""
