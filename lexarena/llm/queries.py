@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, pii, repair, revisit, rollup, toxicity, trie
+from lexarena.llm import bitpack, cascade, decontam, lm, mixing, neardup, packing, pii, repair, revisit, rollup, toxicity, trie
 from lexarena.llm.common import save, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,3 +287,11 @@ ORACLES["op12_conversation_repair"] = f"""
       sha256(coalesce(left(s0.o, length(s0.o) - 1), '')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
       LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 0 AND s.rows IS NOT NULL"""
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in the packed sequences, read back from them."""
+    path = f"{shared_dir(spark)}/packed-sequences-{uuid.uuid4().hex}"
+    packing.pack_sequences(table(spark, sf_dir, "documents"), path, vocabulary_file("word_bpe_49k.json"), end_id=1)
+    return packing.read_pieces(spark, path)
