@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexarena.functions.hashing import pii_uuid
+from lexarena.functions.text import let
+
+
+def is_blank(value: Column) -> Column:
+    """Whether a string has nothing but white space of any kind; null for null."""
+    return ~value.rlike(r"(?U)[^\s\x1C-\x1F]")
 
 
 def replace_value(kind: str, value: Column, normalize: Callable[[Column], Column] | None = None) -> Column:
     """The identifier of a value; null stays null and a blank value stays as it is."""
     reference = normalize(value) if normalize else value
-    return F.when(value.isNull() | (F.trim(value) == ""), value).otherwise(pii_uuid(kind, reference))
+    return F.when(value.isNull() | is_blank(value), value).otherwise(pii_uuid(kind, reference))
 
 
 def replace_list(kind: str, values: Column, normalize: Callable[[Column], Column] | None = None) -> Column:
@@ -22,28 +28,44 @@ def replace_list(kind: str, values: Column, normalize: Callable[[Column], Column
 
 
 def replace_keys(kind: str, values: Column) -> Column:
-    """The map with each key replaced; of keys that meet, the last one counts."""
-    entries = F.transform(F.map_entries(values), lambda e: F.struct(replace_value(kind, e["key"]).alias("key"), e["value"].alias("value")))
-    last = lambda i, e: F.forall(F.slice(entries, i + 2, F.size(entries)), lambda n: n["key"] != e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: last(i, e)))
+    """The map with each key replaced; of keys that meet, the last one counts.
+
+    Each key is replaced once; a key that comes again later is found in the sorted keys beside it.
+    """
+    names = F.transform(F.map_keys(values), lambda k: replace_value(kind, k))
+    cells = F.zip_with(names, F.map_values(values), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    placed = F.array_sort(F.transform(names, lambda k, i: F.struct(k.alias("key"), i.alias("i"))))
+    last = lambda at: F.filter(at, lambda x, i: (i + 1 == F.size(at)) | (F.get(at, i + 1)["key"] != x["key"]))
+    kept = let(placed, lambda at: F.transform(F.array_sort(F.transform(last(at), lambda x: x["i"])), lambda i: i))
+    return F.map_from_entries(let(F.struct(cells.alias("c"), kept.alias("k")), lambda s: F.transform(s["k"], lambda i: F.get(s["c"], i))))
 
 
 def replace_json(text: Column, kinds: dict[str, str]) -> Column:
-    """A JSON object with top-level string or list fields replaced; invalid JSON is returned as it is."""
-    parsed = F.from_json(text, "map<string,string>")
-    items = lambda v: F.from_json(v, "array<string>")
+    """A JSON object with top-level string fields, and the strings of list fields, replaced.
+
+    Fields that aren't named, and named ones that are neither a string nor a list, keep their type and
+    value. Null items of a named list are dropped, other items that are no strings stay. Keys come out
+    in their order in Spark's VARIANT. What isn't a JSON object is returned as it is.
+    """
+    kind_of = F.schema_of_variant
+    text_of = lambda v: F.try_variant_get(v, "$", "string")
+    named = lambda kind, v: replace_value(kind, text_of(v)).cast("variant")
+
+    def item(kind: str, v: Column) -> Column:
+        return F.when(kind_of(v) == "STRING", named(kind, v)).otherwise(v)
 
     def field(k: Column, v: Column) -> Column:
-        out = F.to_json(F.array(v))
-        out = F.substring(out, F.lit(2), F.length(out) - 2)
-        out = F.when(F.try_parse_json(v).isNotNull(), v).otherwise(out)
+        out = v
         for name, kind in kinds.items():
-            one = F.concat(F.lit('"'), replace_value(kind, v), F.lit('"'))
-            out = F.when(k == name, F.when(items(v).isNotNull(), F.to_json(replace_list(kind, items(v)))).otherwise(one)).otherwise(out)
-        return F.concat(F.lit('"'), k, F.lit('":'), F.coalesce(out, F.lit("null")))
+            items = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: x.isNotNull() & (kind_of(x) != "VOID"))
+            changed = F.when(kind_of(v) == "STRING", named(kind, v)).when(F.startswith(kind_of(v), F.lit("ARRAY")), F.transform(items, lambda x: item(kind, x)).cast("variant")).otherwise(v)  # noqa: B023
+            out = F.when(k == name, changed).otherwise(out)
+        return out
 
-    rebuilt = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(parsed), lambda e: field(e["key"], e["value"])), ","), F.lit("}"))
-    return F.when(parsed.isNull(), text).otherwise(rebuilt)
+    parsed = F.try_parse_json(text)
+    fields = let(parsed, lambda v: F.when(F.startswith(kind_of(v), F.lit("OBJECT")), F.try_variant_get(v, "$", "map<string,variant>")))
+    rebuilt = let(fields, lambda m: F.to_json(F.transform_values(m, field)))
+    return F.coalesce(rebuilt, text)
 
 
 def extend_map(known: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +76,7 @@ def extend_map(known: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFram
     originals or references go to quarantine.
     """
     ready = values.withColumn("value_for_uuid_ref", F.coalesce("value_for_uuid_ref", "original_value"))
-    blank = (F.coalesce(F.trim("original_value"), F.lit("")) == "") | (F.trim("value_for_uuid_ref") == "")
+    blank = F.coalesce(is_blank(F.col("original_value")), F.lit(True)) | is_blank(F.col("value_for_uuid_ref"))
     named = ready.where(~blank).withColumn("pii_uuid", pii_uuid(F.col("pii_type"), F.col("value_for_uuid_ref")))
     first = named.groupBy("pii_uuid").agg(*(F.min_by(c, "seq").alias(c) for c in ("original_value", "value_for_uuid_ref", "pii_type")))
     fresh = first.join(known.select("pii_uuid"), "pii_uuid", "left_anti")
@@ -104,7 +126,7 @@ def decision_values(decisions: DataFrame, normalize: Callable[[Column], Column],
     parts = []
     for c, kind in DECISION_KINDS.items():
         items = F.array(F.col(c)) if c == "numero_processo" else F.col(c)
-        items = F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+        items = F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull() & ~is_blank(x))
         parts.append(F.transform(items, entry(kind, lambda v: v)))
         if c in LAWYERS:
             parts.append(F.transform(items, entry("LAWYER_ID_NORMALIZED", normalize)))

@@ -25,12 +25,16 @@ def map_keys_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    SELECT c_custkey, {_uuid_sql("'PARTY_NAME:' || c_name")} AS name, {_uuid_sql("'CITY:' || c_mktsegment")} AS first_item, CAST(c_custkey AS VARCHAR) AS k FROM customer""")
+    WITH u AS (SELECT c_custkey, {_uuid_sql("'PARTY_NAME:' || c_name")} AS name, {_uuid_sql("'CITY:' || c_mktsegment")} AS item, {_uuid_sql("'CITY:' || c_name")} AS other FROM customer)
+    SELECT c_custkey, name, item AS first_item, CAST(c_custkey AS VARCHAR) AS k,
+      '{{"a\\"b":"true","code":"' || c_custkey || '","d":[true,null,"null"],"k":' || c_custkey || ',"l":["' || item || '","\\t",7,"' || other || '"],"m":null,"n":"' || name || '","x":"null"}}' AS j FROM u""")
 def json_fields_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.to_json(F.struct(F.col("c_name").alias("n"), F.array("c_mktsegment", "c_name").alias("l"), F.col("c_custkey").alias("k")))
-    out = table(spark, sf_dir, "customer").select("c_custkey", anonymize.replace_json(raw, {"n": "PARTY_NAME", "l": "CITY"}).alias("j"))
+    """A JSON object of each customer with one string and one list replaced; strings that look like other values, numbers, nulls and a quote in a key stay."""
+    key = F.col("c_custkey").cast("string")
+    people = F.concat(F.lit('{"n":"'), F.col("c_name"), F.lit('","code":"'), key, F.lit('","a\\"b":"true","x":"null","m":null,"d":[true,null,"null"],"k":'), key, F.lit(',"l":["'), F.col("c_mktsegment"), F.lit('",null,"\\t",7,"'), F.col("c_name"), F.lit('"]}'))
+    out = table(spark, sf_dir, "customer").select("c_custkey", anonymize.replace_json(people, {"n": "PARTY_NAME", "l": "CITY", "k": "NUMBER"}).alias("j"))
     get = lambda path: F.get_json_object("j", path)
-    return out.select("c_custkey", get("$.n").alias("name"), get("$.l[0]").alias("first_item"), get("$.k").alias("k"))
+    return out.select("c_custkey", get("$.n").alias("name"), get("$.l[0]").alias("first_item"), get("$.k").alias("k"), "j")
 
 
 @register("""
@@ -143,22 +147,22 @@ def migrated_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as decisions: a case number, a party on each side and a titled lawyer."""
     name = F.col("c_name")
-    raw = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("numero_processo"), F.array(name).alias("polo_ativo"), F.lit("kept").alias("resumo")))
+    raw = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("numero_processo"), F.array(name).alias("polo_ativo"), F.lit("kept").alias("resumo"), F.lit("true").alias("tribunal"), F.lit(1.5).alias("score")))
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", F.col("c_custkey").cast("string").alias("numero_processo"), F.array(name, F.lit(" ")).alias("polo_ativo"), F.array("c_mktsegment").alias("polo_passivo"),
+        "c_custkey", F.col("c_custkey").cast("string").alias("numero_processo"), F.array(name, F.lit(" \t")).alias("polo_ativo"), F.array("c_mktsegment").alias("polo_passivo"),
         F.array(F.concat(F.lit("Dr. "), name)).alias("advogados_polo_ativo"), F.array().cast("array<string>").alias("advogados_polo_passivo"), raw.alias("raw_json_data"))
 
 
 @register(f"""
-    SELECT c_custkey, {_uuid_sql("'CASE_NUMBER:' || c_custkey")} AS case_number, {_uuid_sql("'PARTY_NAME:' || c_name")} AS active, ' ' AS blank, {_uuid_sql("'PARTY_NAME:' || c_mktsegment")} AS passive,
+    SELECT c_custkey, {_uuid_sql("'CASE_NUMBER:' || c_custkey")} AS case_number, {_uuid_sql("'PARTY_NAME:' || c_name")} AS active, ' ' || chr(9) AS blank, {_uuid_sql("'PARTY_NAME:' || c_mktsegment")} AS passive,
       {_uuid_sql("'LAWYER_FULL_STRING:Dr. ' || c_name")} AS lawyer, {_uuid_sql("'LAWYER_ID_NORMALIZED:' || upper(c_name)")} AS lawyer_id,
-      {_uuid_sql("'CASE_NUMBER:' || c_custkey")} AS raw_number, {_uuid_sql("'PARTY_NAME:' || c_name")} AS raw_active, 'kept' AS raw_rest FROM customer""")
+      {_uuid_sql("'CASE_NUMBER:' || c_custkey")} AS raw_number, {_uuid_sql("'PARTY_NAME:' || c_name")} AS raw_active, 'kept' AS raw_rest, true AS raw_string FROM customer""")
 def migrated_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = anonymize.migrate_decisions(_people(spark, sf_dir), text.normalize_lawyer_name, "raw_json_data")
     get = lambda path: F.get_json_object("raw_json_data", path)
     return out.select(
         "c_custkey", F.col("numero_processo").alias("case_number"), F.col("polo_ativo")[0].alias("active"), F.col("polo_ativo")[1].alias("blank"), F.col("polo_passivo")[0].alias("passive"),
-        F.col("advogados_polo_ativo")[0].alias("lawyer"), F.col("advogados_polo_ativo_ids")[0].alias("lawyer_id"), get("$.numero_processo").alias("raw_number"), get("$.polo_ativo[0]").alias("raw_active"), get("$.resumo").alias("raw_rest"),
+        F.col("advogados_polo_ativo")[0].alias("lawyer"), F.col("advogados_polo_ativo_ids")[0].alias("lawyer_id"), get("$.numero_processo").alias("raw_number"), get("$.polo_ativo[0]").alias("raw_active"), get("$.resumo").alias("raw_rest"), F.contains("raw_json_data", F.lit('"score":1.5,"tribunal":"true"')).alias("raw_string"),
     )
 
 
@@ -262,8 +266,8 @@ def registry_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-    SELECT DISTINCT 'causa-database-' || strftime(o_orderdate, '%Y-%m-%d') || '-weekly' AS item, 'matches: ' || count(*) || ', files: ' || count(DISTINCT o_custkey) AS description, CAST(count(*) AS VARCHAR) AS stats_matches
-    FROM orders GROUP BY CAST(o_orderdate AS DATE), o_orderdate""".replace("causa-", "court-"))
+    SELECT DISTINCT 'court-database-' || strftime(o_orderdate, '%Y-%m-%d') || '-weekly' AS item, 'matches: ' || count(*) || ', files: ' || count(DISTINCT o_custkey) AS description, CAST(count(*) AS VARCHAR) AS stats_matches
+    FROM orders GROUP BY CAST(o_orderdate AS DATE), o_orderdate""")
 def snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("f"))
     meta = records.snapshot_metadata(F.lit("t"), {"matches": F.col("n"), "files": F.col("f")})
@@ -391,6 +395,6 @@ def standardized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "d.numero_processo", "d.resultado", "d.data_decisao", F.array_join("d.polo_ativo", "|").alias("ativo"))
 
 
-@register("SELECT page_id, coalesce(nullif(regexp_replace(url, '[^\\w.\\-]', '', 'g'), ''), 'default_filename') AS name FROM pages".replace("\\\\", "\\"))
+@register("SELECT page_id, coalesce(nullif(regexp_replace(url, '[^\\w.\\-]', '', 'g'), ''), 'default_filename') AS name FROM pages")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.sanitize_filename(F.col("url")).alias("name"))
