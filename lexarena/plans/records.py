@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarena.functions import text
-from lexarena.operators import analytics, anonymize, listings, queues, rating, records, standardize, validate
+from lexarena.operators import analytics, anonymize, listings, queues, rating, records, standardize, typed, validate
 from lexarena.plans.domain import _uuid_sql
 from lexarena.plans.registry import register
 from lexarena.session import table
-from lexarena.sources import readers
-from lexarena.streaming import metrics
+from lexarena.sources import ingest, readers
+from lexarena.sources.tables import TableStore, shared_folder
+from lexarena.streaming import items, metrics
 
 AS_OF = datetime.date(2001, 8, 1)
 
@@ -235,6 +237,17 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select("user_id", F.when(F.col("status") == "failed", "error").otherwise(F.col("status")).alias("status"), "attempts", metrics.retry_delay(F.col("attempts")).alias("delay"))
 
 
+@register("""
+    SELECT CAST(user_id AS VARCHAR) AS item, max_by(CASE event_type WHEN 'error' THEN 'failed' ELSE event_type END, (ts, event_id)) AS status,
+      count(*) FILTER (event_type = 'error') AS attempts, least(count(*) FILTER (event_type = 'error') * 2.0, 10.0) AS delay FROM events GROUP BY 1""")
+def retry_states_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """retry_delays as a keyed stream over files of events, stopped half way and started again from its checkpoint."""
+    kinds = F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), kinds.alias("status"))
+    folder = f"{shared_folder(spark)}/item-stream-{uuid.uuid4().hex}"
+    return items.replay_in_parts(events, folder, key="user_id", time="ts", tie="event_id", status="status").drop("updated")
+
+
 @register("""
     SELECT year(o_orderdate) AS year, CASE WHEN year(o_orderdate) = 1996 THEN 0 ELSE count(*) FILTER (o_orderstatus = 'P') END AS items FROM orders GROUP BY 1""")
 def yearly_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,3 +411,73 @@ def standardized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT page_id, coalesce(nullif(regexp_replace(url, '[^\\w.\\-]', '', 'g'), ''), 'default_filename') AS name FROM pages")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.sanitize_filename(F.col("url")).alias("name"))
+
+
+@register("""
+    SELECT c_custkey, c_acctbal AS first_balance, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS second_balance, c_acctbal AS restored_balance,
+      CAST(CASE WHEN c_nationkey < 5 THEN 2 ELSE 1 END AS BIGINT) AS rows_third FROM customer""")
+def versioned_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through four versions of a table: as they are, without debts, with some appended again, and the first restored."""
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    store = TableStore(spark, f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}")
+    store.commit({"customer": ("replace", people)})
+    store.commit({"customer": ("replace", store.read("customer").withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0))))}, expected=1)
+    store.commit({"customer": ("append", store.read("customer", 1).where("c_nationkey < 5"))}, expected=2)
+    store.restore(1)
+    balance = lambda version, name: store.read("customer", version).select("c_custkey", F.col("c_acctbal").alias(name))
+    counts = store.read("customer", 3).groupBy("c_custkey").agg(F.count("*").alias("rows_third"))
+    return balance(1, "first_balance").join(balance(2, "second_balance"), "c_custkey").join(balance(None, "restored_balance"), "c_custkey").join(counts, "c_custkey")
+
+
+@register(f"""
+    SELECT o_orderkey, o_orderkey % 3 <> 0 AS first_half, CAST(1 AS BIGINT) AS times, (SELECT count(*) FROM orders WHERE o_orderkey % {len(_CASES)} = 0) AS valid_in_ledger
+    FROM orders WHERE o_orderkey % {len(_CASES)} = 0""")
+def ingested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw decisions of orders in files that arrive in two parts, taken in by four runs, of which two find nothing to do or are dry."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    orders, store = table(spark, sf_dir, "orders").select("o_orderkey"), TableStore(spark, f"{folder}/store")
+    k = F.col("o_orderkey")
+    shape = F.get(F.array(*(F.lit(j) for _, j in _CASES)), (k % len(_CASES)).cast("int"))
+    lines = orders.select("o_orderkey", F.replace(shape, F.lit("%s"), F.concat(F.lpad(k.cast("string"), 15, "0"), F.lit("-1.2"))).alias("value"))
+    run = lambda **o: ingest.ingest(store, f"{folder}/in", validate.reject_reason, **o)
+    lines.where(k % 3 != 0).select("value").write.mode("append").text(f"{folder}/in")
+    run(dry_run=True)
+    run()
+    lines.where(k % 3 == 0).select("value").write.mode("append").text(f"{folder}/in")
+    run()
+    run()
+    valid = store.read("files").agg(F.sum("valid").alias("valid_in_ledger"))
+    key = F.split_part(F.get_json_object("record", "$.numero_processo"), F.lit("-"), F.lit(1)).cast("long")
+    early = store.read("records", 1).select(key.alias("o_orderkey"), F.lit(True).alias("first_half")).distinct()
+    found = store.read("records").groupBy(key.alias("o_orderkey")).agg(F.count("*").alias("times")).join(early, "o_orderkey", "left")
+    return found.withColumn("first_half", F.coalesce("first_half", F.lit(False))).crossJoin(F.broadcast(valid))  # one row
+
+
+#: Faults of an envelope by the order's key: the value put in and what is said of it.
+_ENVELOPE = '{"file_name_source":"a.pdf","extraction_timestamp":"2024-05-01T10:00:00Z","chunks_processed":1,"total_decisions_found":2,"decisions":[%s,{"numero_processo":"%d","resultado":"x","data_decisao":"2024-05-01"}]}'
+_DECISION = '{"numero_processo":"%d","resultado":"x","data_decisao":"2024-05-01","polo_ativo":["A"],"resumo":null}'
+_TYPED = [
+    (None, _ENVELOPE.replace("%s", _DECISION)),
+    (None, _ENVELOPE.replace("%s", _DECISION).replace('"chunks_processed":1', '"chunks_processed":"1"')),
+    ("$: not JSON", "{" + _ENVELOPE),
+    ("$: not an object", "[%d]"),
+    ("$.decisions: not a list", _ENVELOPE.replace("[%s,", '"x","y":[').replace("%s", _DECISION)),
+    ("$.extraction_timestamp: not a timestamp", _ENVELOPE.replace("%s", _DECISION).replace("2024-05-01T10:00:00Z", "May")),
+    ("$.chunks_processed: not a int", _ENVELOPE.replace("%s", _DECISION).replace('"chunks_processed":1', '"chunks_processed":1.5')),
+    ("$.total_decisions_found: missing", _ENVELOPE.replace("%s", _DECISION).replace("total_decisions_found", "found")),
+    ("$.decisions[0].numero_processo: not a string", _ENVELOPE.replace("%s", _DECISION.replace('"%d"', "%d"))),
+    ("$.decisions[0].polo_ativo[1]: null", _ENVELOPE.replace("%s", _DECISION.replace('["A"]', '["A",null]'))),
+    ("$.decisions[1].data_decisao: not a date", _ENVELOPE.replace("%s", _DECISION).replace('2024-05-01"}]}', '2024-02-30"}]}')),
+    ("$.decisions[0].resultado: null", _ENVELOPE.replace("%s", _DECISION.replace('"resultado":"x"', '"resultado":null'))),
+    ("$.file_name_source: missing", "{}"),
+]
+
+
+@register(f"SELECT o_orderkey, CASE o_orderkey % {len(_TYPED)} {' '.join(f"WHEN {i} THEN '{r}'" for i, (r, _) in enumerate(_TYPED) if r)} END AS fault FROM orders")
+def typed_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extraction envelope of each order, with one fault of a kind or none, and where validation stops."""
+    k = F.col("o_orderkey")
+    shape = F.get(F.array(*(F.lit(j) for _, j in _TYPED)), (k % len(_TYPED)).cast("int"))
+    documents = table(spark, sf_dir, "orders").select("o_orderkey", F.replace(shape, F.lit("%d"), k.cast("string")).alias("document"))
+    good, bad = typed.split_typed(documents, "document")
+    return good.select("o_orderkey", F.lit(None).cast("string").alias("fault")).unionByName(bad.select("o_orderkey", "fault"))
