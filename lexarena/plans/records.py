@@ -13,7 +13,7 @@ from lexarena.operators import analytics, anonymize, listings, queues, rating, r
 from lexarena.plans.domain import _uuid_sql
 from lexarena.plans.registry import register
 from lexarena.session import table
-from lexarena.sources import ingest, readers
+from lexarena.sources import ingest, listing_source, readers
 from lexarena.sources.tables import TableStore, shared_folder
 from lexarena.streaming import items, metrics
 
@@ -481,3 +481,36 @@ def typed_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "orders").select("o_orderkey", F.replace(shape, F.lit("%d"), k.cast("string")).alias("document"))
     good, bad = typed.split_typed(documents, "document")
     return good.select("o_orderkey", F.lit(None).cast("string").alias("fault")).unionByName(bad.select("o_orderkey", "fault"))
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of yearly listings of orders as archive items, which the data source reads."""
+    k = F.col("o_orderkey").cast("string")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("item-"), k).alias("identifier"), F.concat(F.lit("Diário "), k).alias("title"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("creator"), F.col("o_orderstatus").alias("collection"))
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    listing_source.write_archive(rows, folder)
+    return folder
+
+
+@register("""
+    SELECT 'item-' || o_orderkey AS identifier, 'Diário ' || o_orderkey AS title, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS creator FROM orders
+    WHERE o_orderpriority = '2-HIGH' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1998-02-28' ORDER BY date DESC, identifier LIMIT 10000""")
+def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search API's feature: a creator's items between two dates, the newest 10,000."""
+    bounds = {"creator": "2-HIGH", "start": datetime.date(1996, 3, 1), "end": datetime.date(1998, 2, 28)}
+    found = readers.search_items(listing_source.read_archive(spark, _archive(spark, sf_dir), **bounds), **bounds)
+    return found.select("identifier", "title", "date", "creator")
+
+
+@register("""
+    SELECT 'item-' || o_orderkey AS identifier, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'P' ORDER BY date DESC, identifier LIMIT 10000""")
+def archive_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 10,000 items of a collection."""
+    return readers.collection_items(listing_source.read_archive(spark, _archive(spark, sf_dir), collection="P"), "P").select("identifier", "date")
+
+
+@register("SELECT year(o_orderdate) AS year, o_orderpriority AS creator, count(*) AS items FROM orders GROUP BY 1, 2")
+def archive_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items by year and creator over every listing of the archive."""
+    return listing_source.read_archive(spark, _archive(spark, sf_dir)).groupBy(F.year("date").alias("year"), "creator").agg(F.count("*").alias("items"))

@@ -13,8 +13,8 @@ LEDGER = "path string, length long, records long, valid long, status string"
 
 
 def files_of(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, length) of a folder's files, from their listing; no file is read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length")
+    """(path, length) of a folder's files, from their listing; no file is read, and files without a byte aren't listed."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select(F.col("_metadata.file_path").alias("path"), "length")
 
 
 def ledger_of(store: TableStore, name: str, version: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tomllib
 from copy import deepcopy
+from datetime import date
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -56,7 +57,9 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON state file; a missing file or one that isn't JSON is an empty table."""
     try:
         found = spark.read.option("wholetext", True).text(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     return found.select(F.from_json("value", schema).alias("s")).where("s IS NOT NULL AND to_json(s) <> '{}'").select("s.*")
 
@@ -66,7 +69,9 @@ def read_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = "advogado_id string, mu double, sigma double, total_partidas int"
     try:
         return spark.read.schema(schema).option("header", True).csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -96,11 +101,16 @@ def search_items(items: DataFrame, creator: str | None = None, year_from: int |
     if start is not None and end is not None:
         found = found.where(F.col("date").between(F.lit(start), F.lit(end)))
     else:
-        found = found if year_from is None else found.where(F.year("date") >= year_from)
-        found = found if year_to is None else found.where(F.year("date") <= year_to)
+        found = found if year_from is None else found.where(F.col("date") >= F.lit(date(year_from, 1, 1)))
+        found = found if year_to is None else found.where(F.col("date") <= F.lit(date(year_to, 12, 31)))
     return found.orderBy(F.desc_nulls_last("date"), "identifier").limit(rows)
 
 
+def collection_items(items: DataFrame, collection: str, rows: int = 10_000) -> DataFrame:
+    """The items of a collection, newest first."""
+    return items.where(F.col("collection") == collection).orderBy(F.desc_nulls_last("date"), "identifier").limit(rows)
+
+
 def existing_items(wanted: DataFrame, inventory: DataFrame) -> DataFrame:
     """Wanted rows whose identifier the inventory holds."""
     return wanted.join(inventory.select("identifier"), "identifier", "left_semi")
