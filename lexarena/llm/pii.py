@@ -39,12 +39,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-AT = re.compile(r"\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?([A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\sdot\s)\s?[A-Za-z0-9-]{2,63}){1,4})", re.I)
+AT = re.compile(r"\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?([A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\sdot\s)\s?[A-Za-z0-9-]{2,63}(?![A-Za-z0-9-]))+)", re.I)
 IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])")
 CARD_LIKE = re.compile(r"(?<![0-9.])[0-9](?:[\x20./_-]?[0-9]){12,18}+(?![0-9])")
-PHONE_LIKE = re.compile(r"(?<![0-9+.])(?:00[1-9][0-9]|\(0?[0-9]{2,4}\)|[0-9]{3}[-.])[\x20()./0-9-]{5,16}+(?<=[0-9])(?![0-9])")
+PHONE_LIKE = re.compile(r"(?<![0-9+.])(?:00[1-9][0-9]|\(0?[0-9]{2,4}\)|[0-9]{3}[-.])[\x20()./0-9-]{4,15}[0-9](?![0-9])")
 RUN = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]{16,}+")
-VALUE = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,128})")
+VALUE = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,}+)")
 # Fixed: common top-level domains, card issuer prefixes, calling codes and marks of credentials.
 TLDS = frozenset("com org net edu gov io info biz de fr es it nl br uk us eu co".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "22")
@@ -63,7 +63,6 @@ ACCEPT = 0.9
 #: Buckets of each feature: length, entropy, digits, case, quotes, assignment, cue, neighbours.
 FEATURES = (6, 6, 5, 4, 2, 2, 3, 2)
 WIDE = max(FEATURES)
-TRAIN_PATTERNS = 20_000  # the most frequent (votes, features) that train the classifiers
 
 
 def luhn(digits: str) -> bool:
@@ -136,7 +135,7 @@ def _votes(kind: str, text: str, start: int, end: int, strict: bool) -> str:
         hexes = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", found)
         strict, loose = bool(hexes and len(found) in (32, 40, 48, 64, 128)) or found.startswith(CREDENTIALS), sign(re.search(r"[:=]\s*[\"']?$", before), re.search(r"[/\\]$|https?:\S*$", before))
         listed, form = sign(found.startswith(CREDENTIALS) or hexes, re.fullmatch(r"[A-Za-z]+[-_/][A-Za-z]+.*|.*(?:example|test|sample).*", found, re.I)), sign(entropy(found) >= 3.2, entropy(found) < 2.5)
-    return sign(strict, not strict) + loose + listed + cue + form
+    return sign(strict) + loose + listed + cue + form  # a pattern that isn't met is no vote against: other forms are as good
 
 
 def _features(kind: str, text: str, start: int, end: int) -> list[int]:
@@ -159,9 +158,10 @@ def _features(kind: str, text: str, start: int, end: int) -> list[int]:
 def _wider(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind's index, start, end) of the wider generators' candidates."""
     if re.search("at", text, re.I):
+        low = 0
         for m in AT.finditer(text):
-            local = text[max(0, m.start() - 64) : m.start()]
-            start = m.start() - (len(local) - len(local.rstrip(LOCAL)))
+            start = low + len(text[low : m.start()].rstrip(LOCAL))
+            low = m.end()
             marked = not re.search(r"\sat\s", m[0], re.I) or re.search(r"\sdot\s|[\[({]\s?dot", m[0], re.I)
             if start < m.start() and marked:
                 yield 0, start, m.end()
@@ -175,14 +175,17 @@ def _wider(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str, list[int], bool]]:
-    """(kind's index, start, end, votes, features, base) of base spans, and of wider candidates that overlap none before them."""
+    """(kind's index, start, end, votes, features, base) of base spans, and of wider candidates that overlap no base span.
+
+    Of candidates of one kind that overlap, whatever generator they come from, the one that starts first counts, or else the longer.
+    """
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     found = [(k, a, b, True) for k, a, b in base]
     reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     starts = [a for a, _ in taken]
     last = [-1] * len(KINDS)
-    for k, a, b in _wider(text):
+    for k, a, b in sorted(_wider(text), key=lambda c: (c[0], c[1], -c[2])):
         i = bisect_left(starts, b)
         if a >= last[k] and not (i and reach[i - 1] > a):
             found.append((k, a, b, False))
@@ -193,7 +196,9 @@ def candidates(text: str) -> list[tuple[int, int, int, str, list[int], bool]]:
 def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
     """(chance of a + or -, given a span; the same given none; posterior of each vote pattern) by EM over pattern counts.
 
-    Rows: labelers; columns: +, -, 0. It starts from the majority of the votes, and each chance gets half a count more.
+    Rows: labelers; columns: +, -, 0. Chances are those of a + or - among a labeler's votes, so that a
+    labeler which is silent on a form says nothing about it; 0 has the factor 1. It starts from the
+    majority of the votes, and each chance gets half a count more.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
@@ -205,7 +210,9 @@ def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[np.ndarray, np.
             table = np.full((code.shape[1], 3), 0.5)
             for j in range(code.shape[1]):
                 np.add.at(table[j], code[:, j], w)
-            chance.append(table / table.sum(1, keepdims=True))
+            table /= table[:, :2].sum(1, keepdims=True)
+            table[:, 2] = 1  # no vote, no evidence
+            chance.append(table)
         prior = ((post * n).sum() + 0.5) / (n.sum() + 1)
         logs = [np.log(c[np.arange(code.shape[1]), code]).sum(1) for c in chance]
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0] + np.log((1 - prior) / prior), -30, 30)))
@@ -238,17 +245,27 @@ def classify(features: np.ndarray, n: np.ndarray, target: np.ndarray) -> tuple[f
 
 
 def trained(rows: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
-    """A classifier for each kind that has candidates in rows (found)."""
+    """A classifier for each kind that has candidates in rows (found), trained on all of them.
+
+    What comes to the driver is counts of vote patterns, at most 3 ** 5 a kind, and for each combination of
+    feature buckets, of which a kind has 34,560, the candidates and the sum of their posteriors.
+    """
     seen = rows.select(F.explode("found").alias("c")).select("c.k", "c.votes", "c.x")
-    votes = seen.groupBy("k", "votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** 5 patterns a kind
-    shown = seen.groupBy("k", "votes", "x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k", "votes", "x").limit(TRAIN_PATTERNS).collect()
+    votes = seen.groupBy("k", "votes").agg(F.count("*").alias("n")).collect()
+    chance = []
+    for k in {r["k"] for r in votes}:
+        _, _, posterior = estimate({r["votes"]: r["n"] for r in votes if r["k"] == k})
+        chance += [(k, v, p) for v, p in posterior.items()]
+    if not chance:
+        return {}
+    posteriors = rows.sparkSession.createDataFrame(chance, "k int, votes string, p double")
+    shown = seen.groupBy("k", "votes", "x").agg(F.count("*").alias("n")).join(F.broadcast(posteriors), ["k", "votes"])
+    shown = shown.groupBy("k", "x").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("s")).orderBy("k", "x").collect()
     out = {}
-    for k in range(len(KINDS)):
-        counts = {r["votes"]: r["n"] for r in votes if r["k"] == k}
+    for k in {r["k"] for r in shown}:
         mine = [r for r in shown if r["k"] == k]
-        if mine:
-            _, _, posterior = estimate(counts)
-            out[k] = classify(np.array([list(r["x"]) for r in mine]), np.array([r["n"] for r in mine], float), np.array([posterior[r["votes"]] for r in mine]))
+        n = np.array([r["n"] for r in mine], float)
+        out[k] = classify(np.array([list(r["x"]) for r in mine]), n, np.array([r["s"] for r in mine]) / n)
     return out
 
 

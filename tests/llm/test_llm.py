@@ -124,7 +124,7 @@ def test_short_items_and_items_of_several_texts(spark):
     pairs = [(10, f"x {item} y zephyrs just vex z"), (11, "zephyrs just vexed"), (12, "see abcdefgh there"), (13, "tiny things"), (14, "mad lionz purr"), (15, "mad lions purr")]
     for size in (60, decontam.BLOCK_BYTES):
         found = sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, pairs), bench, block_bytes=size).collect())
-        assert found == [(10, 1), (11, 1), (15, 4)], found  # "abcdefgh" has 8 letters: fewer than q
+        assert found == [(10, 1), (11, 1), (12, 2), (13, 3), (15, 4)], found  # "abcdefgh" and "tiny" have fewer than q letters: whole words
 
 
 def edit_distance(item, text):
@@ -157,6 +157,50 @@ def test_banded_alignment(spark):
         assert (found[0][4] == least) if least <= int(decontam.EDIT_RATE * 80) else not found
 
 
+@pytest.mark.parametrize(("alphabet", "pairs"), [("0", 1 << 20), ("ab", 1 << 20), ("ab", 50), ("abcd", 7)])
+def test_repetitive_texts_equal_edit_distance(monkeypatch, alphabet, pairs):
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
+    monkeypatch.setattr(decontam, "RUN", 5)
+    rng = random.Random(7)
+    unit = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6)))
+    items = [(i, (unit() * 90)[: rng.randint(18, 90)].encode()) for i in range(8)]
+    texts = [(unit() * 60)[: rng.randint(0, 60)] + (unit() * 150)[: rng.randint(0, 150)] for _ in range(6)] + ["", items[0][1].decode()]
+    raw, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    built = decontam.Items(items, decontam.Q, decontam.EDIT_RATE)
+    got = {(d, i): e for d, i, _, _, e in built.matches(raw, offs, np.arange(len(raw)))}
+    want = {}
+    for i, item in items:
+        k = min(int(decontam.EDIT_RATE * len(item)), (len(item) - decontam.Q) // decontam.Q)
+        for d, text in enumerate(texts):
+            least = edit_distance(item, text.encode())
+            if least <= k:
+                want[d, i] = least
+    assert got == want and want
+
+
+def test_rows_of_one_digit_cost_little():
+    import time
+    import tracemalloc
+
+    built = decontam.Items([(i, b"0" * 400) for i in range(50)] + [(99, b"01" * 150)], decontam.Q, decontam.EDIT_RATE)
+    for text in (b"0" * 3000, b"0" * 500_000, b"01" * 20_000):
+        raw = np.frombuffer(text, np.uint8)
+        tracemalloc.start()
+        began = time.process_time()
+        found = built.matches(raw, np.array([0, len(raw)]), np.arange(len(raw)))
+        took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) in (1, 50) and took < 5 and peak < 200e6
+
+
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Paris!!!"), (2, "12345678"), (3, "to be"), (4, " .. "), (5, None), (None, "Rome")], "item_id long, text string")
+    pairs = [(10, "in PARIS, 12345678."), (11, "comparison 123456789 To-Be"), (12, "paris"), (13, "apariso"), (14, "rome, tobe"), (15, ".."), (None, "Paris"), (12, "paris")]
+    found = decontam.leaks(docs(spark, pairs), bench).collect()
+    place = lambda r: (-1 if r.doc_id is None else r.doc_id, -1 if r.item_id is None else r.item_id, r.start, r.end, r.edits)
+    assert sorted(map(place, found)) == [(-1, 1, 0, 5, 0), (10, 1, 3, 8, 0), (10, 2, 10, 18, 0), (11, 3, 21, 26, 0), (12, 1, 0, 5, 0), (12, 1, 0, 5, 0), (14, -1, 0, 4, 0), (14, 3, 6, 10, 0)]
+
+
 # ---- revisits
 
 
@@ -455,6 +499,41 @@ def test_a_million_characters_take_a_moment(unit):
     assert time.process_time() - began < 5  # quadratic scans take hours
 
 
+def test_candidates_do_not_depend_on_what_stands_later():
+    secret = "password = hunter22x is the login."
+    run = "id a1B2c3D4e5F6g7H8"
+    spans = lambda text: {text[a:b] for k, a, b, _, _, base in pii.candidates(text) if k == 4 and not base}
+    assert spans(secret) == {"hunter22x"}
+    for text in (f"{secret} {run}", f"{run} {secret}", f"{run} {secret} {run}", f"{secret} {secret} {run}"):
+        assert spans(text) == {"hunter22x", "a1B2c3D4e5F6g7H8"}
+    phones = "call 301-555-1352 or (301) 555-1353, then 0044 20 7946 0958"
+    assert [phones[a:b] for k, a, b, *_ in pii.candidates(phones) if k == 3] == ["301-555-1352", "(301) 555-1353", "0044 20 7946 0958"]
+
+
+def test_candidates_are_whole_values():
+    value, local = "aB3$" * 60, "a.b" * 50
+    text = f'passphrase: "{value}" and {local} [at] host [dot] com'
+    found = [(text[a:b], k) for k, a, b, *_ in pii.candidates(text)]
+    assert (value, 4) in found and (f"{local} [at] host [dot] com", 0) in found
+    deep = "x [at] a [dot] bb [dot] cc [dot] dd [dot] ee [dot] ff end"
+    assert [deep[a:b] for k, a, b, *_ in pii.candidates(deep)] == [deep[:-4]]
+
+
+def test_planted_passwords_are_found_among_other_candidates(spark):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyz23456789") for _ in range(n)) + "7q"
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    pairs = []
+    for i in range(120):
+        parts = [f"the password = {word(9)}", f'a token = "{hexes(40)}"', "some plain words"]
+        rng.shuffle(parts)
+        pairs.append((i, " and ".join(parts)))
+    out = {r.doc_id: r for r in pii.find(docs(spark, pairs)).collect()}
+    want = {i: [m.span(1) for m in re.finditer(r"password = (\S+)", t)] for i, t in pairs}
+    caught = sum(f"secret:{a}:{b}" in out[i].spans.split(",") for i, spans in want.items() for a, b in spans)
+    assert caught >= 0.95 * len(pairs)
+
+
 def test_pii_query_shape_and_added_spans(spark):
     import hashlib
 
