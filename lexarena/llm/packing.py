@@ -17,18 +17,21 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexarena.llm.bitpack import pack, unpack, width
+from lexarena.llm.common import text_slices
 
 WINDOW = 2048
 GROUP_TOKENS = 1 << 22
+SLICE_BYTES = 1 << 22
 Piece = tuple[int | None, int, np.ndarray, int]  # doc_id, ids of its document before it, ids, ids of its document
 
 
@@ -158,7 +161,7 @@ class Words:
         pieces = list(islice(reversed(self.index), end - k))[::-1]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, end - k)
-        ids = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         while end > len(self.lengths):
             self.lengths, self.starts = (np.concatenate((a, np.zeros(len(a), a.dtype))) for a in (self.lengths, self.starts))
         while self.used + len(ids) > len(self.flat):
@@ -167,22 +170,28 @@ class Words:
         self.flat[self.used : self.used + len(ids)] = ids
         self.known, self.used, self.chars = end, self.used + len(ids), self.chars + sum(map(len, pieces))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if self.known > self.PIECES or self.chars > self.CHARS:
-            self.clear()
-        cut = []
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            cut.append(np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces)))
-        if len(self.index) > self.known:
-            self._learn()
-        out = []
-        for k in cut:
-            n = self.lengths[k]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.starts[k] - (ends - n), n)])
-        return out
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (no nulls); pieces are looked up once for each slice of SLICE_BYTES."""
+        for first, last, _, _ in text_slices(texts, SLICE_BYTES):
+            if self.known > self.PIECES or self.chars > self.CHARS:
+                self.clear()
+            some = texts.slice(first, last - first).cast(pa.large_string())
+            split = pc.split_pattern(pc.replace_substring(some, "\n", " "), " ")
+            coded = pc.list_flatten(split).dictionary_encode()
+            pieces = coded.dictionary
+            # what is ASCII may be lower-cased here, so that fewer pieces are new; special tokens are written in lower case
+            plain = pc.and_(pc.string_is_ascii(pieces), pc.invert(pc.match_substring(pieces, "<|")))
+            pieces = pc.if_else(plain, pc.ascii_lower(pieces), pieces).to_pylist()
+            number = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            if len(self.index) > self.known:
+                self._learn()
+            n, starts = self.lengths[number], self.starts[number]
+            at, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
+            for low, high in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True):
+                k = at[low:high]
+                size = n[k]
+                ends = np.cumsum(size)
+                yield self.flat[np.arange(ends[-1]) + np.repeat(starts[k] - (ends - size), size)]
 
 
 _words: dict[str, Words] = {}
@@ -226,16 +235,14 @@ def pack_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int, wind
 
         enc, held, size = words(tokenizer), [], 0
         for rows in batches:
-            for first in range(0, rows.num_rows, 64):
-                some = rows.slice(first, 64)
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    n, whole = len(ids), len(ids) // window * window
-                    for start in range(0, whole, window):
-                        write([(doc, start, ids[start : start + window], n)])
-                    if n > whole:
-                        held.append((doc, whole, ids[whole:].copy(), n))
-                        size += n - whole
+            for doc, ids in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
+                n, whole = len(ids), len(ids) // window * window
+                for start in range(0, whole, window):
+                    write([(doc, start, ids[start : start + window], n)])
+                if n > whole:
+                    held.append((doc, whole, ids[whole:].copy(), n))
+                    size += n - whole
                 if size >= group_tokens:
                     full, held = fill(best_fit_decreasing(held, window), window)
                     size = sum(len(p[2]) for p in held)
