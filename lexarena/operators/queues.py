@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarena.sources.tables import written
+
 
 def by_status(queue: DataFrame, status: str) -> DataFrame:
     return queue.where(F.col("status") == status).orderBy(F.asc_nulls_last("created_at"), "url")
@@ -52,7 +54,7 @@ def with_new_ids(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFra
     it end. Only the ranges' sizes, one row each, come together.
     """
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
     starts = sizes.select("_part", before.alias("start")).crossJoin(F.broadcast(top))

@@ -113,22 +113,36 @@ CASES = [
 ]
 
 
-@register(" UNION ALL ".join(f"SELECT '{n}' AS name, {'NULL' if r is None else repr(r)} AS reject_reason" for n, _, r in CASES))
+def _case(values: list) -> str:
+    """DuckDB SQL for the value of a customer's case, by its key."""
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
+    return f"CASE c_custkey % {len(values)} {whens} END"
+
+
+def _dealt(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
+    """(c_custkey, json): each customer with one of the texts, by its key."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.get(F.array(*(F.lit(t) for t in texts)), (F.col("c_custkey") % len(texts)).cast("int")).alias("json"))
+
+
+@register(f"SELECT c_custkey, {_case([n for n, _, _ in CASES])} AS name, {_case([r for _, _, r in CASES])} AS reject_reason FROM customer")
 def validate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, j) for n, j, _ in CASES], "name string, json string")
-    return rows.select("name", validate.reject_reason(F.parse_json("json")).alias("reject_reason"))
+    """A raw decision of each customer, one of the cases, and why it is rejected."""
+    names = F.get(F.array(*(F.lit(n) for n, _, _ in CASES)), (F.col("c_custkey") % len(CASES)).cast("int"))
+    return _dealt(spark, sf_dir, [j for _, j, _ in CASES]).select("c_custkey", names.alias("name"), validate.reject_reason(F.parse_json("json")).alias("reject_reason"))
 
 
 @register("""
-    SELECT * FROM (VALUES (1, '1', 'x', DATE '2024-05-06', 'A', ''), (2, '2', 'decided', DATE '2024-01-01', 'L1|L2', 'M'), (3, '', '', DATE '2024-01-01', '', '')) t(id, numero_processo, resultado, data_decisao, ativo, passivo)""")
+    SELECT c_custkey, t.* EXCLUDE (id) FROM customer JOIN (VALUES (0, '1', 'x', DATE '2024-05-06', 'A', ''), (1, '2', 'decided', DATE '2024-01-01', 'L1|L2', 'M'), (2, '', '', DATE '2024-01-01', '', ''))
+      t(id, numero_processo, resultado, data_decisao, ativo, passivo) ON t.id = c_custkey % 3""")
 def standardize_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw decision of each customer under one of three layouts as a canonical one."""
     raw = [
-        (1, '{"process_number":"1","outcome":"x","decision":"y","decision_date":"2024-05-06","active_party":"A"}'),
-        (2, '{"numero_processo":"2","outcome":"","decision":"decided","active_party":["P"],"advogados_ativo":["L1","L2"],"passive_party":"M"}'),
-        (3, "{}"),
+        '{"process_number":"1","outcome":"x","decision":"y","decision_date":"2024-05-06","active_party":"A"}',
+        '{"numero_processo":"2","outcome":"","decision":"decided","active_party":["P"],"advogados_ativo":["L1","L2"],"passive_party":"M"}',
+        "{}",
     ]
-    rows = spark.createDataFrame(raw, "id int, json string").withColumn("d", standardize.standardize(F.parse_json("json"), F.lit("2024-01-01").cast("date")))
-    return rows.select("id", "d.numero_processo", "d.resultado", "d.data_decisao", F.array_join("d.polo_ativo", "|").alias("ativo"), F.array_join("d.polo_passivo", "|").alias("passivo"))
+    rows = _dealt(spark, sf_dir, raw).withColumn("d", standardize.standardize(F.parse_json("json"), F.lit("2024-01-01").cast("date")))
+    return rows.select("c_custkey", "d.numero_processo", "d.resultado", "d.data_decisao", F.array_join("d.polo_ativo", "|").alias("ativo"), F.array_join("d.polo_passivo", "|").alias("passivo"))
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +241,7 @@ def greedy_batch_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders accepted in key order: refused if an accepted one has the same customer and status group, or date and priority."""
     items = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("seq"), F.concat_ws("/", "o_custkey", "o_orderstatus").alias("url"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("number"))
-    return dedupe.accept_in_order(items, checkpoint=bool(spark.conf.get("spark.checkpoint.dir", None)))
+    return dedupe.accept_in_order(items)
 
 
 @register(r"""

@@ -256,10 +256,11 @@ def yearly_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.yearly_counts(per_year.select("year", F.when(F.col("year") == 1996, '{"error":1}').otherwise(F.to_json("keys")).alias("reply")))
 
 
-@register("SELECT count(*) AS n FROM range(100000) a(id) JOIN (SELECT id, 2 * id AS value FROM range(100000) t(id)) b USING (id) WHERE value % 2 = 0")
+@register("SELECT count(*) AS n FROM orders a JOIN (SELECT o_orderkey, 2 * o_custkey AS value FROM orders) b USING (o_orderkey) WHERE value % 4 = 0")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.range(100_000)
-    return a.join(spark.range(100_000).withColumn("value", F.col("id") * 2), "id").where("value % 2 = 0").agg(F.count("*").alias("n"))
+    """Two projections of orders joined by key, filtered and counted."""
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return a.select("o_orderkey").join(a.select("o_orderkey", (F.col("o_custkey") * 2).alias("value")), "o_orderkey").where("value % 4 = 0").agg(F.count("*").alias("n"))
 
 
 @register("SELECT count(*) AS files, CAST(sum(strlen(html)) AS BIGINT) AS bytes, round_even(sum(strlen(html)) / 1048576.0, 2) AS megabytes FROM pages")
@@ -272,10 +273,12 @@ def display_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.display_page(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"])
 
 
-@register("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+@register("SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW'")
 def registry_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("n_nationkey"))
-    return table(spark, sf_dir, "nation").select("n_nationkey").subtract(have)
+    """Customers of the urgent registry that the low one doesn't have."""
+    orders = table(spark, sf_dir, "orders")
+    of = lambda priority: orders.where(F.col("o_orderpriority") == priority).select("o_custkey")
+    return of("1-URGENT").subtract(of("5-LOW"))
 
 
 @register("""
@@ -324,9 +327,11 @@ def listing_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.listing_years(rows, "o_orderdate", "sufix")
 
 
-@register("SELECT 1 AS ok")
+@register("SELECT 'customer' AS name, count(*) > 0 AS ok FROM customer UNION ALL SELECT 'orders', count(*) > 0 FROM orders UNION ALL SELECT 'events', count(*) > 0 FROM events")
 def health_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT 1 AS ok")
+    """Whether tables can be read and have rows."""
+    probe = lambda name: table(spark, sf_dir, name).agg((F.count("*") > 0).alias("ok")).select(F.lit(name).alias("name"), "ok")
+    return probe("customer").unionByName(probe("orders")).unionByName(probe("events"))
 
 
 @register("""
