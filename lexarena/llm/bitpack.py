@@ -105,7 +105,7 @@ class Encoder:
     white space are encoded whole.
     """
 
-    CACHE = 1_000_000
+    CACHE = 1 << 18
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
