@@ -46,12 +46,15 @@ def outcome_of(result: Column, mapping: dict[str, str] | None = None) -> Column:
     return F.get(F.array(pairs[F.lower(F.translate(F.trim(result), " ", "_"))]), F.lit(0))
 
 
-def rate_teams(team_a: Column, team_b: Column, outcome: Column, model: Model = Model()) -> Column:
+def rate_teams(team_a: Column, team_b: Column, outcome: Column, model: Model = Model(), weight: Column | None = None) -> Column:
     """struct(a, b) of two teams' ratings (arrays of struct mu, sigma) after a match; an unknown outcome raises.
 
+    A weight (none or null: 1) multiplies how far the match moves the means and narrows the deviations.
+
     The teams' sums are taken first, then what follows from them, then each player's update.
     """
     score = F.create_map(*(F.lit(x) for kv in OUTCOMES.items() for x in kv))[outcome]
+    weight = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
     won = F.coalesce(score, F.raise_error(F.concat(F.lit("unknown outcome "), F.coalesce(outcome, F.lit("null")))).cast("double"))
     tau2 = F.when(outcome.isin("partial_a", "partial_b"), PARTIAL_TAU**2).otherwise(model.tau**2)
     total = lambda team, f: F.aggregate(team, F.lit(0.0), lambda s, p: s + f(p))
@@ -67,7 +70,7 @@ def rate_teams(team_a: Column, team_b: Column, outcome: Column, model: Model = M
     def steps(q: Column) -> Column:
         t, c, p = q["t"], q["c"], q["p"]
         of = lambda s2, sign: F.struct(
-            (sign * (t["won"] - p) / c).alias("omega"), (F.sqrt(s2) / c / (c * c) * p * (1 - p)).alias("delta"))
+            (sign * (t["won"] - p) / c * weight).alias("omega"), (F.sqrt(s2) / c / (c * c) * p * (1 - p) * weight).alias("delta"))
         return F.struct(t["tau2"].alias("tau2"), of(t["s2_a"], 1).alias("a"), of(t["s2_b"], -1).alias("b"))
 
     def updated(u: Column) -> Column:
@@ -101,7 +104,7 @@ def decayed_sigma(sigma: Column, idle_days: Column, per_day: float = 0.01, most:
     return F.least(F.sqrt(sigma * sigma + F.greatest(idle_days, F.lit(0)) * per_day**2), F.lit(most))
 
 
-def _update(a: list[tuple[float, float]], b: list[tuple[float, float]], outcome: str, m: Model) -> tuple[list, list]:
+def _update(a: list[tuple[float, float]], b: list[tuple[float, float]], outcome: str, m: Model, weight: float) -> tuple[list, list]:
     tau2 = PARTIAL_TAU**2 if outcome.startswith("partial") else m.tau**2
     va, vb = [s * s + tau2 for _, s in a], [s * s + tau2 for _, s in b]
     s2a, s2b = sum(va), sum(vb)
@@ -110,7 +113,7 @@ def _update(a: list[tuple[float, float]], b: list[tuple[float, float]], outcome:
     p = 1 / (1 + math.exp((sum(x for x, _ in b) - sum(x for x, _ in a)) / c))
     out = []
     for team, v, s2, sign in ((a, va, s2a, 1), (b, vb, s2b, -1)):
-        omega, delta = sign * s2 / c * (OUTCOMES[outcome] - p), math.sqrt(s2) / c * s2 / c2 * p * (1 - p)
+        omega, delta = weight * sign * s2 / c * (OUTCOMES[outcome] - p), weight * math.sqrt(s2) / c * s2 / c2 * p * (1 - p)
         out.append([(mu + w / s2 * omega, math.sqrt(w * max(1 - w / s2 * delta, KAPPA))) for (mu, _), w in zip(team, v, strict=True)])
     return out[0], out[1]
 
@@ -132,8 +135,8 @@ def prepare_matches(decisions: DataFrame, mapping: dict[str, str] | None = None)
 def rate_history(matches: DataFrame, group: str, order: list[str], stored: DataFrame | None = None, model: Model = Model(), final: bool = False) -> DataFrame:
     """(group, order columns, player, side, mu_before, sigma_before, mu, sigma, matches) of each player of each match, in order.
 
-    matches: the group and order columns, team_a and team_b (arrays of longs or strings), outcome. A match
-    reads its players' latest ratings: those after their last match of the group, else the stored ones
+    matches: the group and order columns, team_a and team_b (arrays of longs or strings), outcome, and
+    a weight if there is such a column (see rate_teams). A match reads its players' latest ratings: those after their last match of the group, else the stored ones
     (group, player, mu, sigma, matches), else the model's; matches counts the stored and this one. A rating
     depends on all earlier matches of both teams, so a group (a court, an area) is the unit of parallel
     work: its rows are sorted by Spark and stream through one fold, which holds its players only, never its
@@ -142,10 +145,11 @@ def rate_history(matches: DataFrame, group: str, order: list[str], stored: DataF
     types = dict(matches.dtypes)
     player, kind = types["team_a"].removeprefix("array<").removesuffix(">"), types[group]
     order = [c for c in order if c != group]
-    rows = matches.select(group, F.lit(1).alias("_what"), *order, "team_a", "team_b", "outcome", F.lit(0.0).alias("mu"), F.lit(0.0).alias("sigma"), F.lit(0).cast("long").alias("matches"))
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in types else F.lit(1.0)
+    rows = matches.select(group, F.lit(1).alias("_what"), *order, "team_a", "team_b", "outcome", F.lit(0.0).alias("mu"), F.lit(0.0).alias("sigma"), F.lit(0).cast("long").alias("matches"), weight.alias("_weight"))
     if stored is not None:
         none = [F.lit(None).cast(types[c]).alias(c) for c in (*order,)]
-        first = stored.select(F.col(group).cast(kind), F.lit(0).alias("_what"), *none, F.array(F.col("player").cast(player)).alias("team_a"), F.array().cast(f"array<{player}>").alias("team_b"), F.lit("").alias("outcome"), "mu", "sigma", F.col("matches").cast("long"))
+        first = stored.select(F.col(group).cast(kind), F.lit(0).alias("_what"), *none, F.array(F.col("player").cast(player)).alias("team_a"), F.array().cast(f"array<{player}>").alias("team_b"), F.lit("").alias("outcome"), "mu", "sigma", F.col("matches").cast("long"), F.lit(1.0))
         rows = rows.unionAll(first)
     rows = rows.repartition(group).sortWithinPartitions(group, "_what", *(F.asc_nulls_last(c) for c in order))
     end = ["player", "mu", "sigma", "matches"]
@@ -167,7 +171,7 @@ def rate_history(matches: DataFrame, group: str, order: list[str], stored: DataF
                     held[a[0]] = (row[n + 3], row[n + 4], row[n + 5])
                     continue
                 old = [held.get(x, default) for x in a + b]
-                new_a, new_b = _update([x[:2] for x in old[: len(a)]], [x[:2] for x in old[len(a) :]], outcome, model)
+                new_a, new_b = _update([x[:2] for x in old[: len(a)]], [x[:2] for x in old[len(a) :]], outcome, model, row[n + 6])
                 for i, (x, was, (mu, sigma)) in enumerate(zip(a + b, old, new_a + new_b, strict=True)):
                     held[x] = (mu, sigma, was[2] + 1)
                     if not final:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarena.functions import hashing, text
-from lexarena.operators import anonymize, dedupe, listings, rating, standardize, validate
+from lexarena.operators import anonymize, dedupe, listings, rating, rating_blocks, standardize, validate
 from lexarena.plans.registry import register
 from lexarena.session import table
 
@@ -174,24 +174,24 @@ def rate_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", six(F.col("r.a")[0]["mu"], "mu_a"), six(F.col("r.a")[0]["sigma"], "sigma_a"), six(F.col("r.b")[0]["mu"], "mu_b"), six(F.col("r.b")[0]["sigma"], "sigma_b"))
 
 
-def _fold_sql(stored: bool, columns: str) -> str:
+def _fold_sql(stored: bool, columns: str, weight: str = "1.0") -> str:
     """DuckDB SQL for the ordered fold: one recursion a match of each court, ratings kept by player."""
     mu, sigma, n = ("coalesce(20.0 + s_nationkey, 25.0)", "CASE WHEN s_nationkey IS NULL THEN 25.0 / 3 ELSE 7.0 END", "CASE WHEN s_nationkey IS NULL THEN 0 ELSE 10 END") if stored else ("25.0", "25.0 / 3", "0")
     return f"""
     WITH RECURSIVE lines AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS b FROM lineitem GROUP BY 1),
     m AS MATERIALIZED (SELECT o_orderpriority AS court, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS i,
-        CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 ELSE 0.5 END AS won, list_concat([-1 - o_custkey], b) AS players FROM orders JOIN lines ON l_orderkey = o_orderkey),
-    p AS MATERIALIZED (SELECT court, i, won, unnest(players) AS player, generate_subscripts(players, 1) = 1 AS is_a FROM m),
+        CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 ELSE 0.5 END AS won, CAST({weight} AS DOUBLE) AS weight, list_concat([-1 - o_custkey], b) AS players FROM orders JOIN lines ON l_orderkey = o_orderkey),
+    p AS MATERIALIZED (SELECT court, i, won, weight, unnest(players) AS player, generate_subscripts(players, 1) = 1 AS is_a FROM m),
     r(court, player, i, mu, sigma, n, mu_before, sigma_before) USING KEY (court, player) AS (
       SELECT DISTINCT court, player, CAST(0 AS BIGINT), CAST({mu} AS DOUBLE), CAST({sigma} AS DOUBLE), CAST({n} AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
         FROM p LEFT JOIN supplier ON s_suppkey = player
       UNION
-      SELECT q.court, q.player, q.step, q.mu + q.v / q.c * (CASE WHEN is_a THEN 1 ELSE -1 END) * (won - pa),
-        sqrt(q.v * greatest(1 - q.v / q.s2 * (sqrt(q.s2) / q.c * q.s2 / (q.c * q.c) * pa * (1 - pa)), 0.0001)), n + 1, q.mu, q.sigma
+      SELECT q.court, q.player, q.step, q.mu + q.v / q.c * (CASE WHEN is_a THEN 1 ELSE -1 END) * (won - pa) * weight,
+        sqrt(q.v * greatest(1 - q.v / q.s2 * (sqrt(q.s2) / q.c * q.s2 / (q.c * q.c) * pa * (1 - pa) * weight), 0.0001)), n + 1, q.mu, q.sigma
       FROM (SELECT *, 1 / (1 + exp((mu_b - mu_a) / c)) AS pa, CASE WHEN is_a THEN s2a ELSE s2b END AS s2
         FROM (SELECT *, sqrt(s2a + s2b + 2 * (25.0 / 6) ^ 2) AS c
           FROM (SELECT x.*, sum(v) FILTER (is_a) OVER w AS s2a, sum(v) FILTER (NOT is_a) OVER w AS s2b, sum(mu) FILTER (is_a) OVER w AS mu_a, sum(mu) FILTER (NOT is_a) OVER w AS mu_b
-            FROM (SELECT p.court, p.player, p.i AS step, p.won, p.is_a, s.mu, s.sigma, s.n, s.sigma ^ 2 + (25.0 / 15) ^ 2 AS v
+            FROM (SELECT p.court, p.player, p.i AS step, p.won, p.weight, p.is_a, s.mu, s.sigma, s.n, s.sigma ^ 2 + (25.0 / 15) ^ 2 AS v
               FROM p JOIN (SELECT max(i) + 1 AS step FROM r) t ON p.i = t.step JOIN recurring.r s ON s.court = p.court AND s.player = p.player) x
             WINDOW w AS (PARTITION BY court, step)))) q)
     SELECT court, player, {columns} FROM r WHERE i > 0"""
@@ -205,18 +205,41 @@ def rate_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("court", "player", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "matches")
 
 
+@register(_fold_sql(False, "round(mu, 6) AS mu, round(sigma, 6) AS sigma, n AS matches", "CASE WHEN o_totalprice >= 150000 THEN 1.5 ELSE 0.5 END"))
+def rate_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As rate_sequential, with three times as much weight on matches about large sums."""
+    sums = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_totalprice") >= 150000, 1.5).otherwise(0.5).alias("weight"))
+    matches = _matches(spark, sf_dir).withColumns({"team_a": F.array(-1 - F.col("o_custkey"))}).join(sums, "l_orderkey")
+    out = rating.rate_sequence(matches, "court", ["date", "l_orderkey"])
+    return out.select("court", "player", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "matches")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored rating of ten matches for each supplier in each court."""
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player"), (20.0 + F.col("s_nationkey")).alias("mu"), F.lit(7.0).alias("sigma"), F.lit(10).alias("matches"))
+    courts = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("court")).distinct()
+    return people.withColumn("court", F.explode(F.array(*(F.lit(c) for c in sorted(r["court"] for r in courts.collect())))))  # a handful of courts
+
+
 @register(_fold_sql(True, "round(mu_before, 6) AS mu_before, round(sigma_before, 6) AS sigma_before, round(mu, 6) AS mu, round(sigma, 6) AS sigma, n AS matches"))
 def rate_history_from_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each player's last match in each court: ratings before and after it, from suppliers' stored ratings of ten matches."""
     matches = _matches(spark, sf_dir).withColumns({"team_a": F.array(-1 - F.col("o_custkey"))})
-    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player"), (20.0 + F.col("s_nationkey")).alias("mu"), F.lit(7.0).alias("sigma"), F.lit(10).alias("matches"))
-    courts = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("court")).distinct()
-    stored = people.withColumn("court", F.explode(F.array(*(F.lit(c) for c in sorted(r["court"] for r in courts.collect())))))  # a handful of courts
-    rows = rating.rate_history(matches, "court", ["date", "l_orderkey"], stored)
+    rows = rating.rate_history(matches, "court", ["date", "l_orderkey"], _stored(spark, sf_dir))
     last = rows.groupBy("court", "player").agg(F.max_by(F.struct("mu_before", "sigma_before", "mu", "sigma", "matches"), F.struct("date", "l_orderkey")).alias("r"))
     return last.select("court", "player", *(F.round(f"r.{c}", 6).alias(c) for c in ("mu_before", "sigma_before", "mu", "sigma")), "r.matches")
 
 
+@register(_fold_sql(True, "round(mu, 6) AS mu, round(sigma, 6) AS sigma, n AS matches"))
+def rate_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings after all matches of each court, from the stored ones, folded by blocks of time and by the players they link."""
+    matches = _matches(spark, sf_dir).withColumns({"team_a": F.array(-1 - F.col("o_custkey"))})
+    stored = _stored(spark, sf_dir)
+    final = rating_blocks.rate_history_in_blocks(matches, "court", ["date", "l_orderkey"], stored, blocks=6)[1]
+    played = final.join(stored.select("court", "player", F.lit(True).alias("was_stored")), ["court", "player"], "left").where("was_stored IS NULL OR matches > 10")
+    return played.select("court", "player", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "matches")
+
+
 @register("""
     WITH p AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
     c AS (SELECT conv_id, turn, turn // 2 AS chunk, false AS overlap FROM p UNION ALL SELECT conv_id, turn, turn // 2 + 1, true FROM p WHERE (turn + 1) % 2 = 0 AND turn < last)
