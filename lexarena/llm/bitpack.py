@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexarena.llm.common import few_texts
+
 MAGIC = b"LXTS0001"
 BLOCK = 1 << 14
 SHARD_TOKENS = 1 << 22
@@ -230,7 +232,8 @@ def encode_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    rows.select("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
+    with few_texts(docs.sparkSession):
+        rows.select("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 COLUMNS = ["part", "seq", "first_doc", "last_doc", "n_docs", "n_tokens", "data"]

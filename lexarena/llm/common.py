@@ -34,17 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def freeing(spark: SparkSession):
-    """Queries that end in here delete their own shuffle files: what they wrote is what is read from then on."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def freeing(spark: SparkSession):
+    """Queries that end in here delete their own shuffle files: what they wrote is what is read from then on."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def few_texts(spark: SparkSession):
+    """Queries that end in here hand Python a thousand rows at once: ten thousand whole texts would stand in memory twice."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends in files every executor can reach."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarena.llm.common import chain, save, text_slices, word_hashes
+from lexarena.llm.common import chain, few_texts, save, text_slices, word_hashes
 
 ORDER = 2
 BACKOFF = 0.4
@@ -217,7 +217,8 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = save(ngram_counts(rows, order), "ngram-counts")
+    with few_texts(spark):
+        counts = save(ngram_counts(rows, order), "ngram-counts")
     total = (counts.where("n = 0").first() or {"c": 0})["c"]
     often = counts.where((F.col("n") > 0) & (F.col("c") >= F.lit(max(total, 1) / hot))).orderBy("gram").toPandas()  # at most hot of each order
     tables = [often[often["n"] == n] for n in range(1, order + 1)]
@@ -232,7 +233,8 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         todo = exploded(some, order, backoff, shared, total).withColumns({"num": F.lit(None).cast("long"), "top": F.col("o"), "m": m})
         done = None
         for o in range(order, 0, -1):
-            joined = save(_level(todo, counts, o, backoff, total), "ngram-rows")
+            with few_texts(spark):
+                joined = save(_level(todo, counts, o, backoff, total), "ngram-rows")
             ended = joined.where("o = 0").select("d", "n_words", "doc_id", "micro", "m")
             done = ended if done is None else done.unionAll(ended)
             todo = joined.where("o > 0")
