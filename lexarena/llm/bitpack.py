@@ -107,7 +107,7 @@ class Encoder:
     white space are encoded whole.
     """
 
-    CACHE = 1 << 18
+    CACHE = 1 << 19
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
