@@ -113,8 +113,8 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 20)
         first = last
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of its text) of every word, in order; fold lower-cases A-Z."""
+def word_hashes(raw: np.ndarray, offs: np.ndarray, fold: bool = True, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of its text) of every word, in order; fold lower-cases A-Z. With most, only a word's first bytes, so many at most, are hashed."""
     n = len(raw)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -125,6 +125,8 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[n
     before[1:] |= space[:-1]
     after[:-1] |= space[1:]
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    if most is not None:
+        end = np.minimum(end, start + most)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(((_LOWER[raw] if fold else raw).astype(np.uint64) + np.uint64(1)) * _power("p", n), out=total[1:])
     h = mix((total[end] - total[start]) * _power("inv", n)[start])

@@ -1,8 +1,10 @@
 """Toxicity from two Kneser-Ney bigram models, one of toxic and one of ordinary texts.
 
 Words are the letters and digits of a text in lower case. Each class has interpolated Kneser-Ney counts
-of its own; both back off to the continuation counts of the two classes together, so a rare expression
-weighs only by what its class adds. A text's evidence is the difference of the two log-likelihoods,
+of its own: bigrams back off to words, words to their stems (the first STEM bytes, as inflected and compound
+words of one stem are many and each of them rare), and both classes' stems to the continuation counts of the
+two together, so a rare expression weighs only by what its class adds. A word that neither class has
+shown weighs as its stem does. A text's evidence is the difference of the two log-likelihoods,
 divided by length: over the whole text and, as toxic expressions are short, the largest over windows of
 1, 4, 16 and 64 words. A logistic curve fitted on labelled texts that the counts have not seen turns
 these into a score, and the same texts choose the discount (a large one leaves expressions that a class
@@ -27,6 +29,7 @@ from lexarena.llm.decontam import _ALNUM
 TRAIN_DOCS = 8_000
 WINDOWS = (1, 4, 16, 64)
 DISCOUNTS = (0.75, 1.5, 3.0, 6.0, 12.0)
+STEM = 6  # bytes of a word that it shares with the words of its stem
 FIT_SHARE = 4  # one labelled text in this many fits the curve, the others the counts
 CHUNK = 1 << 20  # bigrams that the driver's arithmetic takes at once
 PARTS = 8  # in which the counts come to the driver
@@ -53,8 +56,13 @@ def _ngrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return word, before, chain([before, word]), doc
 
 
+def _stems(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The stem of every word: a hash of its first STEM bytes."""
+    return word_hashes(_clean(raw), offs, most=STEM)[0]
+
+
 def _counts(texts: DataFrame) -> DataFrame:
-    """(before, word, ordinary, toxic) of every bigram, summed over texts (text, toxic)."""
+    """(before, word, stem, ordinary, toxic) of every bigram, summed over texts (text, toxic)."""
 
     def run(batches):
         for batch in batches:
@@ -67,11 +75,11 @@ def _counts(texts: DataFrame) -> DataFrame:
                 _, at, back = np.unique(both, return_index=True, return_inverse=True)
                 n1 = np.bincount(back, weights=toxic, minlength=len(at)).astype(np.int64)
                 n0 = np.bincount(back, weights=~toxic, minlength=len(at)).astype(np.int64)
-                cells = [before[at].view(np.int64), word[at].view(np.int64), n0, n1]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["before", "word", "ordinary", "toxic"])
+                cells = [before[at].view(np.int64), word[at].view(np.int64), _stems(raw, offs)[at].view(np.int64), n0, n1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["before", "word", "stem", "ordinary", "toxic"])
 
-    rows = texts.select("text", "toxic").mapInArrow(run, "before long, word long, ordinary long, toxic long")
-    return rows.groupBy("before", "word").agg(F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic"))
+    rows = texts.select("text", "toxic").mapInArrow(run, "before long, word long, stem long, ordinary long, toxic long")
+    return rows.groupBy("before", "word").agg(F.max("stem").alias("stem"), F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic"))
 
 
 def _fetched(counts: DataFrame) -> list[np.ndarray]:
@@ -95,14 +103,17 @@ class Index:
     """The counted bigrams in order of their hashes, and their words; the models of all discounts share it."""
 
     def __init__(self, counts: DataFrame):
-        before, word, *n = _fetched(counts)
-        before, word = before.view(np.uint64), word.view(np.uint64)
+        before, word, stem, *n = _fetched(counts)
+        before, word, stem = before.view(np.uint64), word.view(np.uint64), stem.view(np.uint64)
         self.words = np.union1d(np.unique(word), np.unique(before))
         self.bigrams = np.empty(len(word), np.uint64)
         for s in _chunks(len(word)):
             self.bigrams[s] = chain([before[s], word[s]])
         self.word, self.before = self._places(word), self._places(before)
-        del before, word
+        of = np.zeros(len(self.words), np.uint64)  # a text's start has the stem 0
+        of[self.word] = stem
+        self.stems, self.stem = np.unique(of, return_inverse=True)
+        del before, word, stem, of
         order = np.argsort(self.bigrams).astype(np.int32)
         self.bigrams = self.bigrams[order]
         self.word, self.before = self.word[order], self.before[order]
@@ -128,15 +139,22 @@ class Model:
     def __init__(self, index: Index, d: float):
         words, w, v, n = index.words, index.word, index.before, index.counts
         pooled = index.total(w, lambda s: None) + 1.0  # distinct contexts in either class, one more for the unseen
-        shared = pooled / (pooled.sum() + len(words))
-        rest = 1.0 / (pooled.sum() + len(words))
-        lower, back, unseen, total = {}, {}, {}, {}
+        by_stem = lambda x: np.bincount(index.stem, weights=x, minlength=len(index.stems))
+        pooled_stem = by_stem(pooled)
+        shared = pooled_stem / (pooled_stem.sum() + len(words))
+        rest = 1.0 / (pooled_stem.sum() + len(words))
+        within = pooled / pooled_stem[index.stem]  # of the words of a stem, in either class
+        lower, back, unseen, total, stems = {}, {}, {}, {}, {}
         for c in (0, 1):
             kinds = index.total(w, lambda s: n[c][s] > 0)
             all_kinds = max(kinds.sum(), 1)
             gap = np.minimum(kinds, d).sum() / all_kinds
-            lower[c] = np.maximum(kinds - d, 0) / all_kinds + gap * shared
-            unseen[c] = gap * rest
+            kinds_stem = by_stem(kinds)
+            gap_stem = np.minimum(kinds_stem, d).sum() / all_kinds
+            stems[c] = np.maximum(kinds_stem - d, 0) / all_kinds + gap_stem * shared
+            lower[c] = np.maximum(kinds - d, 0) / all_kinds + gap * stems[c][index.stem] * within
+            stems[c] = gap * stems[c]
+            unseen[c] = gap * gap_stem * rest
             total[c] = index.total(v, lambda s: n[c][s])
             freed = index.total(v, lambda s: np.minimum(n[c][s], d))
             back[c] = np.where(total[c] > 0, freed / np.maximum(total[c], 1), 1.0)
@@ -148,6 +166,8 @@ class Model:
         self.words = words
         self.word = np.log(lower[1] / lower[0]).astype(np.float32)
         self.context = np.log(back[1] / back[0]).astype(np.float32)
+        self.stems = index.stems
+        self.stem = np.log(stems[1] / stems[0]).astype(np.float32)
         self.unseen = float(np.log(unseen[1] / unseen[0]))
 
     def evidence(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +179,10 @@ class Model:
         if not len(word):
             return n, out
         w = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        s = np.where(self.words[w] == word, self.word[w], np.float32(self.unseen))
+        stem = _stems(raw, offs)
+        at = np.minimum(np.searchsorted(self.stems, stem), len(self.stems) - 1)
+        s = np.where(self.stems[at] == stem, self.stem[at], np.float32(self.unseen))
+        s = np.where(self.words[w] == word, self.word[w], s)
         v = np.empty_like(w)
         v[1:] = w[:-1]
         v[0] = 0

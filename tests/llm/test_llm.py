@@ -444,6 +444,22 @@ def test_toxicity_ranks_the_held_out_documents(spark):
     assert (toxic.predicted == 1).mean() >= 0.6 and (clean.predicted == 0).mean() >= 0.9, ((toxic.predicted == 1).mean(), (clean.predicted == 0).mean())
 
 
+def test_toxicity_by_stem(spark):
+    """Toxic words that no two texts share, but for their stem."""
+    rng = random.Random(4)
+    pairs = []
+    for i in range(600):
+        text = [f"{rng.choice('abcdefgh') * 7}{rng.randrange(10**9)}" for _ in range(60)]
+        for k in range(4 if i % 5 == 1 else 0):
+            text[rng.randrange(60)] = f"scoundrel{i}x{k}"
+        pairs.append((i, " ".join(text)))
+    scores = toxicity.score(docs(spark, pairs), spark.createDataFrame([(i, int(i % 5 == 1)) for i, _ in pairs], "doc_id long, toxic int"))
+    held = [(r.score, r.doc_id % 5 == 1) for r in scores.where("held_out").collect()]
+    clean = sorted(s for s, toxic in held if not toxic)
+    caught = [s > clean[int(0.9 * len(clean))] for s, toxic in held if toxic]
+    assert len(caught) >= 10 and sum(caught) / len(caught) > 0.9, sum(caught) / len(caught)
+
+
 def test_best_cut():
     z, y = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1.0, 0.0, 1.0, 0.0])
     assert toxicity._best_cut(z, y, np.ones(4)) == 0.5 and toxicity._best_cut(z, np.array([1.0, 0, 0, 0]), np.ones(4)) == 2.5
