@@ -74,9 +74,13 @@ def first_fault(value: Column, spec: Spec, path: Column | None = None) -> Column
     return let(value, inside)
 
 
-def split_typed(documents: DataFrame, column: str, spec: Spec = ENVELOPE) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, rejected rows with fault) of JSON strings; what isn't JSON has the fault '$: not JSON'."""
+def with_fault(documents: DataFrame, column: str, spec: Spec = ENVELOPE) -> DataFrame:
+    """documents with fault: the first one of a JSON string, null if it has none; what isn't JSON has the fault '$: not JSON'."""
     parsed = F.try_parse_json(F.col(column))
-    fault = F.when(parsed.isNull(), "$: not JSON").otherwise(first_fault(parsed, spec))
-    marked = documents.withColumn("fault", fault)
+    return documents.withColumn("fault", F.when(parsed.isNull(), "$: not JSON").otherwise(first_fault(parsed, spec)))
+
+
+def split_typed(documents: DataFrame, column: str, spec: Spec = ENVELOPE) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected rows with fault) of JSON strings, each a walk of its own over all of them; with_fault takes one."""
+    marked = with_fault(documents, column, spec)
     return marked.where("fault IS NULL").drop("fault"), marked.where("fault IS NOT NULL")

@@ -12,7 +12,7 @@ from lexarena.functions import text
 from lexarena.operators import analytics, anonymize, listings, queues, rating, records, standardize, typed, validate
 from lexarena.plans.domain import _uuid_sql
 from lexarena.plans.registry import register
-from lexarena.session import table
+from lexarena.session import spread, table
 from lexarena.sources import ingest, listing_source, readers
 from lexarena.sources.tables import TableStore, shared_folder
 from lexarena.streaming import items, metrics
@@ -150,7 +150,8 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as decisions: a case number, a party on each side and a titled lawyer."""
     name = F.col("c_name")
     raw = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("numero_processo"), F.array(name).alias("polo_ativo"), F.lit("kept").alias("resumo"), F.lit("true").alias("tribunal"), F.lit(1.5).alias("score")))
-    return table(spark, sf_dir, "customer").select(
+    people = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 20_000)
+    return people.select(
         "c_custkey", F.col("c_custkey").cast("string").alias("numero_processo"), F.array(name, F.lit(" \t")).alias("polo_ativo"), F.array("c_mktsegment").alias("polo_passivo"),
         F.array(F.concat(F.lit("Dr. "), name)).alias("advogados_polo_ativo"), F.array().cast("array<string>").alias("advogados_polo_passivo"), raw.alias("raw_json_data"))
 
@@ -440,7 +441,7 @@ def versioned_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw decisions of orders in files that arrive in two parts, taken in by four runs, of which two find nothing to do or are dry."""
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    orders, store = table(spark, sf_dir, "orders").select("o_orderkey"), TableStore(spark, f"{folder}/store")
+    orders, store = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 200_000), TableStore(spark, f"{folder}/store")
     k = F.col("o_orderkey")
     shape = F.get(F.array(*(F.lit(j) for _, j in _CASES)), (k % len(_CASES)).cast("int"))
     lines = orders.select("o_orderkey", F.replace(shape, F.lit("%s"), F.concat(F.lpad(k.cast("string"), 15, "0"), F.lit("-1.2"))).alias("value"))
@@ -483,9 +484,9 @@ def typed_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extraction envelope of each order, with one fault of a kind or none, and where validation stops."""
     k = F.col("o_orderkey")
     shape = F.get(F.array(*(F.lit(j) for _, j in _TYPED)), (k % len(_TYPED)).cast("int"))
-    documents = table(spark, sf_dir, "orders").select("o_orderkey", F.replace(shape, F.lit("%d"), k.cast("string")).alias("document"))
-    good, bad = typed.split_typed(documents, "document")
-    return good.select("o_orderkey", F.lit(None).cast("string").alias("fault")).unionByName(bad.select("o_orderkey", "fault"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100_000)
+    documents = orders.select("o_orderkey", F.replace(shape, F.lit("%d"), k.cast("string")).alias("document"))
+    return typed.with_fault(documents, "document").select("o_orderkey", "fault")
 
 
 def _archive(spark: SparkSession, sf_dir: str) -> str:
