@@ -109,14 +109,14 @@ def rate_history_in_blocks(matches: DataFrame, group: str, order: list[str], sto
         if Folder(spark, folder).names():
             known = spark.read.schema(ratings.replace("next int, ", "")).parquet(folder).select(F.col("next_unit").alias("unit"), "player", "mu", "sigma", "matches")
         now = dealt.where(F.col("block") == number).drop("block")
-        rows = rate_history(now, "unit", [group, *order], known, model).drop("unit")
+        rows = rate_history(now, "unit", [group, *order], known, model, packed=False).drop("unit")
         rows.write.parquet(f"{path}/history/block={number}")
         rows = spark.read.schema(rows.schema).parquet(f"{path}/history/block={number}")
         ends = rows.groupBy(group, "player").agg(F.max_by(F.struct("mu", "sigma", "matches"), "matches").alias("r"))
         after = plays.where(F.col("block") == number).select("next", "next_unit", F.col(group).alias("_g"), F.col("player").alias("_p"))
         hand_on(ends.join(after, met).select("next", "next_unit", group, "player", "r.mu", "r.sigma", "r.matches"))
         out.append(f"{path}/history/block={number}")
-    history = rate_history(matches.where("false"), group, order, None, model)
+    history = rate_history(matches.where("false"), group, order, None, model, packed=False)
     if out:
         history = spark.read.schema(history.schema).parquet(*out)
     final = spark.read.schema(ratings.replace("next int, ", "")).option("recursiveFileLookup", "true").parquet(f"{path}/ratings/next={LAST}")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lexarena.operators import rating
 from lexarena.plans import catalogue
 from lexarena.session import spread
 from lexarena.sources import ingest
@@ -44,3 +45,14 @@ def test_records_are_asked_once_and_an_empty_run_commits_nothing(spark, tmp_path
     assert run() == {"pending": 1, "completed": 1, "failed": 0} and asked.value == 3
     assert run() == {"pending": 0, "completed": 0, "failed": 0} and store.version() == 1 and asked.value == 3
     assert [(r.records, r.valid) for r in store.read("files").collect()] == [(2, 1)] and [r.record for r in store.read("records").collect()] == ['{"n":1}']
+
+
+def test_last_matches_are_those_of_the_history(spark):
+    rows = [(f"c{n % 2}", n, [n % 7, 100 + n % 3], [10 + n % 5], ("win_a", "win_b", "draw")[n % 3]) for n in range(60)]
+    matches = spark.createDataFrame(rows, "court string, n long, team_a array<long>, team_b array<long>, outcome string")
+    stored = spark.createDataFrame([("c0", 1, 30.0, 5.0, 4), ("c0", 999, 30.0, 5.0, 4)], "court string, player long, mu double, sigma double, matches long")
+    columns = ["court", "player", "mu_before", "sigma_before", "mu", "sigma", "matches"]
+    want = {}
+    for r in sorted(rating.rate_history(matches, "court", ["n"], stored, packed=False).collect(), key=lambda r: r.n):
+        want[r.court, r.player] = tuple(r[c] for c in columns)
+    assert sorted(tuple(r) for r in rating.last_matches(matches, "court", ["n"], stored).select(*columns).collect()) == sorted(want.values())
