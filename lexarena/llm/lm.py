@@ -85,7 +85,8 @@ def ngram_counts(rows: DataFrame, order: int) -> DataFrame:
         if held:
             yield summed(held)
 
-    counted = rows.select("text").mapInArrow(run, "n int, gram long, c long, docs long").groupBy("n", "gram")
+    # tasks have summed what they hold already: another sum before the shuffle would find few equal n-grams
+    counted = rows.select("text").mapInArrow(run, "n int, gram long, c long, docs long").repartition("gram").groupBy("n", "gram")
     return counted.agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")).where("docs > 1").select("n", "gram", "c")
 
 
