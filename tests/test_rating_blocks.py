@@ -1,12 +1,14 @@
 """The rating fold by blocks and units against the plain fold."""
 
 import random
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexarena.operators import rating
-from lexarena.operators.rating_blocks import components, rate_history_in_blocks, units_of
+from lexarena.operators.rating_blocks import components, linked, rate_history_in_blocks, rate_sequence_in_blocks, units_of
 
 SCHEMA = "court string, day int, n int, team_a array<string>, team_b array<string>, outcome string, weight double"
 
@@ -79,3 +81,27 @@ def test_weights(spark):
     one, two, none = row.select(*(rating.rate_teams(F.col("a"), F.col("b"), F.lit("win_b"), weight=w) for w in (None, F.col("w"), F.lit(0)))).first()
     assert two.a[0].mu - 25 == pytest.approx(2 * (one.a[0].mu - 25)) and two.b[0].sigma < one.b[0].sigma
     assert none.a[0].mu == 25 and none.a[0].sigma == pytest.approx((64 + rating.Model().tau ** 2) ** 0.5)
+
+
+def test_final_ratings_alone_write_no_history(spark):
+    matches = _matches(spark).withColumnRenamed("n", "number")
+    stored = spark.createDataFrame([("g", "p1", 30.0, 7.0, 4), ("g", "nobody", 1.0, 2.0, 3), (None, "p2", 28.0, 5.0, 2)], "court string, player string, mu double, sigma double, matches long")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("ratings-*"))
+    final = rate_sequence_in_blocks(matches, "court", ["day", "number"], stored, blocks=3).collect()
+    (folder,) = set(shared.glob("ratings-*")) - before
+    assert _plain(final) == _plain(rating.rate_sequence(matches, "court", ["day", "number"], stored=stored).collect())
+    assert (folder / "ratings").exists() and not (folder / "history").exists()
+
+
+def test_a_task_links_its_players_before_spark_does(spark):
+    """As many rows as players, not as many as players of matches; blocks stay apart."""
+    rows = [(b, [10 * b + i % 4, 10 * b + (i + 1) % 4]) for b in (0, 1) for i in range(50)] + [(1, []), (1, [99])]
+    found = linked(spark.createDataFrame(rows, "block int, _nodes array<long>").coalesce(1)).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1, 0), (0, 2, 0), (0, 3, 0), (1, 11, 10), (1, 12, 10), (1, 13, 10)]
+
+
+def test_lists_of_a_sliced_column():
+    column = pa.array([[1, 2], [], [3], [4, 5]])
+    assert rating.lists(column.slice(1, 2)) == [[], [3]] and rating.lists(pa.array([["x"], None])) == [["x"], None]
+    assert rating.lists(pa.array([[1, None]])) == [[1, None]] and rating.values(pa.array([1.5, None])) == [1.5, None]
