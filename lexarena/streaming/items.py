@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -15,6 +16,8 @@ from lexarena.streaming.metrics import read_stream, run_available
 
 STATE = "item string, kind string, status string, attempts long, delay double, updated timestamp, tie long"
 NEVER_LATE = "36500 days"
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+FILE_ROWS = 500_000  # events of a file that replay_in_parts lets arrive
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,26 +37,30 @@ class ItemStates(StatefulProcessor):
         self.handle = handle
         self.item = handle.getValueState("item", "status string, attempts long, micros long, tie long")
 
-    def _row(self, key: tuple, kind: str, status: str, attempts: int, micros: int, tie: int) -> pd.DataFrame:
-        updated = pd.Timestamp(micros, unit="us")
-        return pd.DataFrame({"item": [key[0]], "kind": [kind], "status": [status], "attempts": [attempts], "delay": [min(attempts * self.base, self.limit)], "updated": [updated], "tie": [tie]})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, attempts, micros, tie = self.item.get() if self.item.exists() else (None, 0, None, None)
-        for batch in rows:
-            attempts += int((batch["status"] == self.failed).sum())
-            for s, m, t in zip(batch["status"], batch["micros"], batch["tie"], strict=True):
-                if micros is None or (m, t) > (micros, tie):
-                    status, micros, tie = s, int(m), int(t)
+    def _row(self, key: tuple, kind: str, status: str, attempts: int, micros: int, tie: int) -> Row:
+        return Row(item=key[0], kind=kind, status=status, attempts=attempts, delay=min(attempts * self.base, self.limit), updated=EPOCH + timedelta(microseconds=micros), tie=tie)
+
+    def _waits(self, status: str | None, attempts: int) -> bool:
+        """Whether an item in that state has been given a timer."""
+        return status == self.failed and attempts <= self.most
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # each call of the state or the timers goes to the JVM and back: an item without a timer has none listed
+        status, attempts, micros, tie = self.item.get() or (None, 0, None, None)
+        waited = self._waits(status, attempts)
+        for row in rows:
+            attempts += row.status == self.failed
+            if micros is None or (row.micros, row.tie) > (micros, tie):
+                status, micros, tie = row.status, row.micros, row.tie
         self.item.update((status, attempts, micros, tie))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if waited else ():
             self.handle.deleteTimer(timer)
-        if status == self.failed and attempts <= self.most:
+        if self._waits(status, attempts):
             start = micros // 1000 if self.event_time else timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer(start + int(1000 * min(attempts * self.base, self.limit)))
         yield self._row(key, "state", status, attempts, micros, tie)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         status, attempts, micros, tie = self.item.get()
         if status == self.failed:
             yield self._row(key, "retry", status, attempts, micros, tie)
@@ -88,7 +95,7 @@ def item_stream(events: DataFrame, key: str, time: str, tie: str, status: str, l
     if late is not None:
         rows = rows.withWatermark("at", late)
     mode = "ProcessingTime" if late is None else "EventTime"
-    return rows.groupBy("item").transformWithStateInPandas(ItemStates(event_time=late is not None, **rules), STATE, "Update", mode)
+    return rows.groupBy("item").transformWithState(ItemStates(event_time=late is not None, **rules), STATE, "Update", mode)
 
 
 def follow_items(store: TableStore, name: str, stream: DataFrame, checkpoint: str, run: Callable[..., StreamingQuery] = run_available) -> StreamingQuery:
@@ -106,11 +113,16 @@ def last_states(store: TableStore, name: str) -> DataFrame:
 
 
 def replay_in_parts(events: DataFrame, folder: str, parts: int = 4, **columns) -> DataFrame:
-    """An event table as files that arrive in two halves, followed by a stream that is stopped between them and started again."""
+    """An event table as files that arrive in two halves, followed by a stream that is stopped between them and started again.
+
+    A half is parts / 2 batches; a batch is as many files of about FILE_ROWS events as it takes, so that no task writes a whole part.
+    """
     spark = events.sparkSession
     store, landing = TableStore(spark, f"{folder}/store"), f"{folder}/landing"
-    dealt = events.withColumn("_part", F.pmod(F.xxhash64(*events.columns), F.lit(parts)))
-    for half in (F.col("_part") < parts // 2, F.col("_part") >= parts // 2):
-        dealt.where(half).repartition(parts // 2, "_part").drop("_part").write.mode("append").parquet(landing)
-        follow_items(store, "states", item_stream(read_stream(spark, landing, events), late=NEVER_LATE, **columns), f"{folder}/checkpoint")
+    files = max(1, math.ceil(events.count() / (parts * FILE_ROWS)))
+    dealt = events.withColumn("_half", F.pmod(F.xxhash64(*events.columns), F.lit(2)))
+    for half in (0, 1):
+        dealt.where(F.col("_half") == half).drop("_half").repartition(parts // 2 * files).write.mode("append").parquet(landing)
+        stream = item_stream(read_stream(spark, landing, events, files), late=NEVER_LATE, **columns)
+        follow_items(store, "states", stream, f"{folder}/checkpoint")
     return last_states(store, "states")

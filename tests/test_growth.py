@@ -1,5 +1,6 @@
 """Work that must not grow faster than the tables: how often rows are walked, and over how many tasks."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lexarena.operators import rating
@@ -7,6 +8,7 @@ from lexarena.plans import catalogue
 from lexarena.session import spread
 from lexarena.sources import ingest
 from lexarena.sources.tables import TableStore
+from lexarena.streaming import items
 
 DATA = "/root/testdata/sf0.001"
 
@@ -56,3 +58,51 @@ def test_last_matches_are_those_of_the_history(spark):
     for r in sorted(rating.rate_history(matches, "court", ["n"], stored, packed=False).collect(), key=lambda r: r.n):
         want[r.court, r.player] = tuple(r[c] for c in columns)
     assert sorted(tuple(r) for r in rating.last_matches(matches, "court", ["n"], stored).select(*columns).collect()) == sorted(want.values())
+
+
+def test_an_item_of_a_batch_costs_three_calls_at_most_without_timers():
+    calls, timers = [], []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def listTimers(self):
+            calls.append("list")
+            return iter(timers)
+
+        def deleteTimer(self, at):
+            timers.remove(at)
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    states = items.ItemStates(event_time=True)
+    states.init(Handle())
+    event = lambda status, second: Row(status=status, micros=second * 1_000_000, tie=0)
+    send = lambda *events: [(r.status, r.attempts, r.updated.second) for r in states.handleInputRows(("a",), iter(events), None)]
+    assert send(event("pending", 2), event("failed", 1)) == [("pending", 1, 2)] and calls == ["get", "update"]
+    assert send(event("failed", 3)) == [("failed", 2, 3)] and calls[2:] == ["get", "update"] and timers == [7000]
+    assert send(event("failed", 4)) == [("failed", 3, 4)] and calls[4:] == ["get", "update", "list"] and timers == [10_000]
+    assert send(event("failed", 5)) == [("failed", 4, 5)] and timers == []
+    assert send(event("done", 6)) == [("done", 4, 6)] and calls[-2:] == ["get", "update"]
+
+
+def test_parts_of_a_replay_arrive_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(items, "FILE_ROWS", 10)
+    events = spark.range(100).select((F.col("id") % 7).alias("item"), F.timestamp_seconds(F.col("id") + 1).alias("ts"), F.col("id").alias("tie"), F.lit("failed").alias("status"))
+    found = items.replay_in_parts(events, f"file://{tmp_path}", key="item", time="ts", tie="tie", status="status")
+    assert {(r.item, r.attempts) for r in found.collect()} == {(str(k), 15 if k < 2 else 14) for k in range(7)}
+    files = list((tmp_path / "landing").glob("*.parquet"))
+    assert len(files) == 12 and len(list((tmp_path / "checkpoint/offsets").glob("[0-9]"))) >= 4
