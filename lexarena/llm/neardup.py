@@ -11,9 +11,9 @@ A second odd sketch folds the whole set instead of samples. Its XOR never counts
 differ in, and counts nearly all of them while they are few, so it tells 0.78 from 0.8.
 
 No bucket is enumerated: each member meets one random member (the hub) of each of its buckets and tries
-three of those that pass. Only members that stay in different components then meet each other, in a join
-by blocks of a bucket whose condition reads the whole-set sketches and the first bucket that the two share:
-it puts out little more than links, each once. Copies are one row per class.
+three of those that pass. Only members that stay in different components then meet each other, by pairs of blocks of a
+bucket, in tasks that compare the whole-set sketches of many members at once and the first bucket that two share:
+they put out little more than links, each once. Copies are one row per class.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from lexarena.llm.graph import components
 SKETCH_LONGS = 16
 WHOLE_LONGS = 32
 BLOCK = 1_000  # members of a bucket that a task compares with as many others
+PAIRS = 1 << 15  # pairs of members that a task compares at once: their sketches take 24 MB
 SLICE_ROWS = 1 << 10  # texts sketched at once: counting their bits takes 16 KB a text
 
 
@@ -202,13 +203,59 @@ def _across(rows: DataFrame, classes: DataFrame, percent: int, block: int) -> Da
     members = rows.join(sizes, "key").join(classes, "node").withColumn("light", F.col("component") != F.col("main"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    kept = ("node", "component", "n_shingles", "whole", "bands")
-    x = members.select("key", own("blocks", 1).alias("i"), every("light_blocks").alias("j"), F.struct(*kept, "light").alias("x"))
-    y = members.where("light").select("key", every("blocks").alias("i"), own("light_blocks", 2).alias("j"), F.struct(*kept).alias("y"))
-    once = F.expr("x.component <> y.component AND (NOT x.light OR x.node < y.node)")
-    first = F.expr("array_intersect(x.bands, y.bands)[0] = key")  # a pair meets once, in the first bucket that it shares
-    found = x.join(y, ["key", "i", "j"]).where(once & F.expr(_close(percent, "x", "y")) & first)
-    return found.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
+    kept = ("light", "node", "component", "n_shingles", "whole", "bands")
+    x = members.select("key", own("blocks", 1).alias("i"), every("light_blocks").alias("j"), F.lit(True).alias("left"), *kept)
+    y = members.where("light").select("key", every("blocks").alias("i"), own("light_blocks", 2).alias("j"), F.lit(False).alias("left"), *kept)
+    met = x.unionAll(y).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            where = [now.column(c).to_numpy() for c in ("key", "i", "j")]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in where])) + 1
+            starts = [0, *new.tolist()]
+            yield from met_in(now, starts)  # the last pair of blocks may go on in the next batch
+            held = now.slice(starts[-1])
+        if held is not None and len(held):
+            yield from met_in(held.combine_chunks(), [0, len(held)])
+
+    def met_in(rows: pa.Table, bounds: list[int]):
+        if len(bounds) < 2:  # no pair of blocks is whole yet
+            return
+        flat = lambda c: rows.column(c).chunk(0).flatten().to_numpy().reshape(len(rows), -1)
+        whole, band = flat("whole").view(np.uint64), flat("bands")
+        key, node, component, size = (rows.column(c).to_numpy() for c in ("key", "node", "component", "n_shingles"))
+        left, light = (rows.column(c).to_numpy() for c in ("left", "light"))
+        us, vs = [], []
+        for first, last in zip(bounds, bounds[1:], strict=False):
+            side = left[first:last]
+            a, b = first + np.flatnonzero(side), first + np.flatnonzero(~side)
+            step = max(1, PAIRS // max(1, len(b)))
+            for at in range(0, len(a), step):
+                p, q = a[at : at + step, None], b[None, :]
+                # of two light members the smaller one meets the larger; a pair meets once, in the first bucket that it shares
+                i, j = np.nonzero((component[p] != component[q]) & (~light[p] | (node[p] < node[q])) & (100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])))
+                if not len(i):
+                    continue
+                p, q = p[i, 0], q[0, j]
+                near = np.bitwise_count(whole[p] ^ whole[q]).sum(axis=1, dtype=np.int64) <= _most_ones(size[p] + size[q], percent)
+                p, q = p[near], q[near]
+                same = band[p] == band[q]
+                met = same.any(axis=1) & (band[p, same.argmax(axis=1)] == key[p]) if len(p) else near[:0]
+                us.append(np.maximum(node[p], node[q])[met])
+                vs.append(np.minimum(node[p], node[q])[met])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long").distinct()
+
+
+def _most_ones(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The most ones of the XOR of whole-set sketches of linked sets with so many hashes together; as in _close."""
+    m, d = 64 * WHOLE_LONGS, sizes * (100 - percent) / (100.0 + percent)
+    q = (1 - np.exp(-2 * d / m)) / 2
+    return np.minimum(d + 1e-6, m * q + 6 * np.sqrt(m * q * (1 - q)))
 
 
 def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:

@@ -661,3 +661,27 @@ def test_pipeline_stages_on_odd_input(spark):
             assert sum(ids.values()) == given.count()
         else:
             assert ids[1] == ids[2] == 0 and ids[20] in (0, 2)
+
+
+def test_members_across_components_meet_in_blocks(spark):
+    """Pairs of a bucket's blocks are compared in tasks, many at once: not row by row in the condition of a join."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    sets = [np.concatenate([base[: 400 - 6 * n], rng.integers(0, 1 << 62, 6 * n, dtype=np.uint64)]) if n % 3 else rng.integers(0, 1 << 62, 40 + n, dtype=np.uint64) for n in range(30)]
+    whole = neardup.odd(np.repeat(np.arange(30), [len(s) for s in sets]), np.concatenate(sets), 30, neardup.WHOLE_LONGS)
+    bands = [[1000 + (n % 2), 2000, 3000 + n] for n in range(30)]
+    classes = spark.createDataFrame([(n, len(sets[n]), whole[n].view(np.int64).tolist(), bands[n]) for n in range(30)], "node long, n_shingles long, whole array<long>, bands array<long>")
+    component = {n: 0 if n in (0, 4, 8) else n for n in range(30)}
+    rows = spark.createDataFrame([(k, n, component[n]) for n in range(30) for k in bands[n][:2]], "key long, node long, component long").repartition(5)
+    want = set()
+    for u in range(30):
+        for v in range(u):
+            a, b = len(sets[u]), len(sets[v])
+            ones = int(np.bitwise_count(whole[u] ^ whole[v]).sum())
+            if component[u] != component[v] and 100 * min(a, b) >= 80 * max(a, b) and ones <= neardup._most_ones(np.array([a + b]), 80)[0]:
+                want.add((u, v))
+    assert len(want) >= 10
+    for block in (4, 1000):
+        found = neardup._across(rows, classes, 80, block)
+        assert sorted((r.u, r.v) for r in found.collect()) == sorted(want)
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
